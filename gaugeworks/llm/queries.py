@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import exact_dedup
+from gaugeworks.llm import exact_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_url_filter": url_filter.op8_url_filter,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op7_quality_rules": quality_rules.SQL,
 }
