@@ -197,25 +197,34 @@ class Utf8Stream:
 
 
 class Codec:
-    """Text to ids and back; pieces that return are kept in a bounded memory."""
+    """Text to ids and back; words that return are kept in a bounded memory."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.stream = Utf8Stream(self.transducer.merges.token)
         self.remembered = remembered
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _pieces(self, text: str) -> tuple[int, ...]:
+        encode = self.transducer.encode
+        return tuple(chain.from_iterable([encode(p.encode()) for p in self.split(text)]))
 
     def encode(self, text: str) -> list[int]:
-        known, encode = self.pieces, self.transducer.encode
-        parts = self.split(text)
-        for p in set(parts).difference(known):
-            if len(p) < 64:
-                known[p] = tuple(encode(p.encode()))
-        out = list(chain.from_iterable([known[p] if p in known else encode(p.encode()) for p in parts]))
-        if len(known) > self.remembered:
+        """A space between two characters that aren't white space starts a piece, so what lies between such spaces is coded apart."""
+        first, *rest = text.split(" ")
+        known = self.known
+        new = set(rest).difference(known)
+        if new and len(known) > self.remembered:
             known.clear()
-        return out
+            new = set(rest)
+        for w in new:
+            if not w or w[0].isspace() or w[-1].isspace():
+                return [*self._pieces(text)]
+            known[w] = self._pieces(" " + w)
+        if first[-1:].isspace():
+            return [*self._pieces(text)]
+        return [*self._pieces(first), *chain.from_iterable(map(known.__getitem__, rest))]
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.stream.feed(ids) + self.stream.close()
