@@ -107,9 +107,9 @@ def answered(packed: DataFrame, answer: Callable[[int, np.ndarray, list[bytes],
         table = table.sort_by("block")
         kind = table.column("kind")[0].as_py()
         replies = answer(kind, table.column("n").to_numpy(), table.column("data").to_pylist())
-        return pa.table({"kind": table.column("kind"), "part": table.column("part"), "block": table.column("block"), "data": pa.array(replies, pa.binary())})
+        return pa.table({"kind": table.column("kind"), "part": table.column("part"), "block": table.column("block"), "n": table.column("n"), "data": pa.array(replies, pa.binary())})
 
-    return packed.groupBy("kind", "part").applyInArrow(run, "kind int, part int, block long, data binary")
+    return packed.groupBy("kind", "part").applyInArrow(run, PACKED)
 
 
 def joined(answers: list[dict], kind: int, dtype) -> np.ndarray:
