@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe_codec, exact_dedup, lang_id, lattice_lm, packing, quality_rules, repeats, url_filter
+from gaugeworks.llm import bpe_codec, exact_dedup, lang_id, lattice_lm, packing, quality_rules, repeats, shingle_join, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,8 +11,9 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_lang_id": lang_id.op6_lang_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
-    "op9_repeats": repeats.op9_repeats,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_repeats": repeats.op9_repeats,
+    "op10_shingle_join": shingle_join.op10_shingle_join,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
