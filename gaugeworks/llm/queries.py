@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe_codec, exact_dedup, lang_id, lattice_lm, packing, quality_rules, repeats, shingle_join, url_filter
+from gaugeworks.llm import bpe_codec, exact_dedup, lang_id, lattice_lm, packing, quality_rules, repeats, shingle_join, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_lattice_lm": lattice_lm.op3_lattice_lm,
     "op4_bpe_codec": bpe_codec.op4_bpe_codec,
     "op5_packing": packing.op5_packing,
