@@ -17,14 +17,15 @@ own; a null doc_id is kept; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,60 +40,73 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """The library's ids. The pattern's matches are encoded one by one, and those that return come from memory."""
+    """The library's ids, packed. Words that return come from a bounded memory.
 
-    def __init__(self, path: str, pattern: str, remembered: int = 400_000):
+    A space between two characters that aren't white space always starts a match of the pattern, so the
+    parts between such spaces are encoded apart. Texts with other white space beside a space go to the
+    library whole.
+    """
+
+    def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.split, self.remembered, self.known = regex.compile(pattern).findall, remembered, {}
+        self.width, self.code = ("<u2", "H") if self.size <= 65536 else ("<u4", "I")
+        self.end = array(self.code, [END]).tobytes()
+        self.remembered, self.known = remembered, {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = self.split(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids and the end id of each text."""
+        split = [t.split(" ") for t in texts]
         known = self.known
-        new = list(set(parts).difference(known))
-        if new:
-            if len(known) > self.remembered:
-                known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = tuple(e.ids)
-        out = list(chain.from_iterable(map(known.__getitem__, parts)))
-        out.append(END)
-        return np.array(out, dtype=np.uint32)
+        if len(known) > self.remembered:
+            known.clear()
+        new = list(set(chain.from_iterable(split)).difference(known))
+        known.update(zip(new, self._library([" " + w for w in new])))
+        for w in new:
+            if not w or w[0].isspace() or w[-1].isspace():
+                known[w] = None
+        firsts = iter(self._library([parts[0] for parts in split]))
+        out = []
+        for text, parts in zip(texts, split):
+            coded = [*map(known.__getitem__, parts)]
+            coded[0] = next(firsts)  # no space before it
+            if parts[0][-1:].isspace() or None in coded:
+                coded = self._library([text])
+            out.append(b"".join(coded) + self.end)
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
-def _tokenise(path: str, pattern: str):
+def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = encoder_of(path, pattern)
+        encoder = encoder_of(path)
         df = np.zeros(encoder.size, np.int32)
         mixed = np.arange(encoder.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).astype(np.int64)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                kinds = np.unique(ids)
-                df[kinds] += 1
-                rows.append((doc_id, uid, len(ids), int(mixed[kinds].min()), ids.astype("<u4" if encoder.size > 65536 else "<u2").tobytes(), None))
-                uid += 1
-                held += 4 * len(ids)
-                if held > 8 << 20:
-                    yield _rows(rows)
-                    rows, held = [], 0
-            if rows:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows = []
+                for doc_id, packed in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids = np.frombuffer(packed, encoder.width)
+                    kinds = np.unique(ids)
+                    df[kinds] += 1
+                    rows.append((doc_id, uid, len(ids), int(mixed[kinds].min()), packed, None))
+                    uid += 1
                 yield _rows(rows)
         yield _rows([(None, -1, 0, 0, None, df)])
 
@@ -231,22 +245,20 @@ def _pack(idf: np.ndarray, mean: float, width: str, window: int, shard_tokens: i
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, window: int = WINDOW, shard_tokens: int = 1 << 20, shard_docs: int = 2000, query_terms: int = 16, neighbours: int = 12) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = 1 << 20, shard_docs: int = 2000, query_terms: int = 16, neighbours: int = 12) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    import public_tokenizers
-
-    path, pattern = path or vocabulary_path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
+    path = path or vocabulary_path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = materialise(rows.mapInArrow(_tokenise(path, pattern), TOKENS), "packing-tokens")
+    tokens = materialise(rows.mapInArrow(_tokenise(path), TOKENS), "packing-tokens")
     texts = tokens.filter("uid >= 0")
-    size = encoder_of(path, pattern).size
+    encoder = encoder_of(path)
     n, total = texts.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
-    df = np.zeros(size)
+    df = np.zeros(encoder.size)
     for at, count in tokens.filter("uid < 0").select(F.posexplode("df")).filter("col > 0").groupBy("pos").agg(F.sum("col")).collect():  # a row per id of the vocabulary
         df[at] = count
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
     dealt = texts.repartitionByRange("sketch", "uid").sortWithinPartitions("sketch", "uid").select("doc_id", "ids")
-    run = _pack(idf, max(1.0, (total or 0) / max(n, 1)), "<u4" if size > 65536 else "<u2", window, shard_tokens, shard_docs, query_terms, neighbours)
+    run = _pack(idf, max(1.0, (total or 0) / max(n, 1)), encoder.width, window, shard_tokens, shard_docs, query_terms, neighbours)
     return dealt.mapInArrow(run, PIECES)
 
 

@@ -247,7 +247,7 @@ def _cut_out(names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 50_000, held_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 4_000, held_bytes: int = 4 << 20) -> DataFrame:
     """docs with their texts cut, and _gw_bytes, _gw_removed, _gw_spans, _gw_sha256 of what was cut and kept."""
     spark = docs.sparkSession
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))

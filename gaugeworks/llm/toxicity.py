@@ -1,14 +1,14 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as its own vector (if the learning rows have it often enough) and as the mean of the vectors
+A word enters as its own vector (if the learning rows tell enough about it) and as the mean of the vectors
 of its character trigrams. Two gated recurrent layers read a window of WINDOW words in either direction,
 attention pools their states, and a linear layer gives the window's logit. A document's windows overlap
 by half and cover the whole text; its score is the calibrated largest logit. What a word contributes to
 the gates is computed once per distinct word.
 
 Learning: at most `max_rows` labelled rows (half of them toxic if there are as many, dealt by a hash of
-the id, each of at most `max_chars` characters) are brought to the driver. Word vectors start with the
-word's log-odds; the windows that learn are each document's one or two with the highest log-odds and, for
+the id, each of at most `max_chars` characters) are brought to the driver. Words whose frequency differs
+between the classes beyond chance have vectors, which start with the log-odds; the windows that learn are each document's one or two with the highest log-odds and, for
 rows that are not toxic, a random one. A fifth of the rows is set aside for the logistic calibration,
 where rows count by how many of their class the sample left out.
 
@@ -245,7 +245,7 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
-def train(rows: list[tuple[str, int]], left_out: tuple[float, float] = (1.0, 1.0), max_words: int = 4000, epochs: int = 5, batch: int = 256, seed: int = 7) -> Scorer:
+def train(rows: list[tuple[str, int]], left_out: tuple[float, float] = (1.0, 1.0), max_words: int = 4000, epochs: int = 3, batch: int = 256, seed: int = 7) -> Scorer:
     """rows: (text, label). left_out: rows of the table per row of the sample, for labels 0 and 1."""
     labels = np.array([y for _, y in rows])
     if not len(rows) or labels.min() == labels.max():
@@ -258,12 +258,17 @@ def train(rows: list[tuple[str, int]], left_out: tuple[float, float] = (1.0, 1.0
             seen[y].update(set(words) - {""})
     many = {y: max(1, int(((labels == y) & ~aside).sum())) for y in (0, 1)}
 
-    def odds(w: str) -> float:
+    def odds(w: str) -> tuple[float, float]:
+        """Log-odds of a word, shrunk, and the likelihood ratio against its being as frequent in either class."""
         a, b = seen[1][w], seen[0][w]
-        return math.log((a / many[1] + 0.5 / many[1]) / (b / many[0] + 0.5 / many[0])) * (1 - 1 / (1 + 0.5 * (a + b)))
+        e = (a + b) * many[1] / (many[0] + many[1])
+        ratio = 2 * ((a * math.log(a / e) if a else 0) + (b * math.log(b / (a + b - e)) if b else 0))
+        return math.log((a + 0.5) / many[1] / ((b + 0.5) / many[0])) * (1 - 1 / (1 + 0.5 * (a + b))), ratio
 
     told = {w: odds(w) for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 3}
-    chosen = sorted(told, key=lambda w: (-abs(told[w]) * math.sqrt(seen[0][w] + seen[1][w]), w))[:max_words]
+    # As many words as there are to try, so strong must a word's ratio be.
+    chosen = sorted((w for w in told if told[w][1] >= 2 * math.log(len(told) + 1)), key=lambda w: (-told[w][1], w))[:max_words]
+    told = {w: told[w][0] for w in chosen}
     vocabulary = {w: i + 1 for i, w in enumerate(chosen)}
     network = Network(vocabulary, np.clip(np.array([0.0, *(told[w] for w in chosen)]), -3, 3), seed)
     # The windows that learn.
