@@ -55,22 +55,46 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.width, self.code = ("<u2", "H") if self.size <= 65536 else ("<u4", "I")
         self.end = array(self.code, [END]).tobytes()
-        self.remembered, self.known = remembered, {}
+        self.opens = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.size)])
+        self.remembered, self.known, self.marks = remembered, {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Each word with a space before it. Many go through the library as one text: an id that begins with a space begins a word."""
+        out = []
+        for a in range(0, len(words), 4000):
+            part = words[a : a + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(part):
+                out += self._library([" " + w for w in part])
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            ends = (np.append(cuts[1:], len(ids)) * size).tolist()
+            out += [raw[x:y] for x, y in zip((cuts * size).tolist(), ends)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids and the end id of each text."""
         split = [t.split(" ") for t in texts]
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        new = list(set(chain.from_iterable(split)).difference(known))
-        known.update(zip(new, self._library([" " + w for w in new])))
-        for w in new:
-            if not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
+        new = set(chain.from_iterable(split)).difference(known)
+        bad = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
+        known.update(dict.fromkeys(bad))
+        new.difference_update(bad)
+        # Punctuation after a letter is a match of its own, so the word before it is coded without it.
+        tails = {w: base for w in new if w[-1] in ".,!?" and (base := w.rstrip(".,!?")) and base[-1].isalpha()}
+        plain = [*new.difference(tails), *set(tails.values()).difference(new, known)]
+        known.update(zip(plain, self._spaced(plain)))
+        for w, base in tails.items():
+            tail = w[len(base) :]
+            if tail not in self.marks:
+                self.marks[tail] = self._library([tail])[0]
+            known[w] = known[base] + self.marks[tail]
         firsts = iter(self._library([parts[0] for parts in split]))
         out = []
         for text, parts in zip(texts, split):
@@ -78,7 +102,8 @@ class Encoder:
             coded[0] = next(firsts)  # no space before it
             if parts[0][-1:].isspace() or None in coded:
                 coded = self._library([text])
-            out.append(b"".join(coded) + self.end)
+            coded.append(self.end)
+            out.append(b"".join(coded))
         return out
 
 
