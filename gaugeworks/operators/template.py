@@ -49,6 +49,18 @@ def _value(text: str, scope: dict[str, object]) -> Column:
     return value
 
 
+class _Loop:
+    """The body of a loop; `end` is where it ended once it was rendered."""
+
+    def __init__(self, parts: list[str], start: int, scope: dict[str, object], name: str):
+        self.parts, self.start, self.scope, self.name, self.end = parts, start, scope, name, start
+
+    def render(self, item: Column, index: Column) -> Column:
+        loop = {"index": (index + 1).cast("string"), "index0": index.cast("string")}
+        columns, self.end = _compiled(self.parts, self.start, self.scope | {self.name: item, "loop": loop}, True)
+        return F.concat(F.lit(""), *columns)
+
+
 def _compiled(parts: list[str], at: int, scope: dict[str, object], inner: bool) -> tuple[list[Column], int]:
     out: list[Column] = []
     while at < len(parts):
@@ -65,16 +77,10 @@ def _compiled(parts: list[str], at: int, scope: dict[str, object], inner: bool)
             m = _FOR.match(word)
             if not m:
                 raise TemplateError(f"{text} is not supported")
-            items, end = _value(m[2], scope), None
-
-            def body(item, index, name=m[1], start=at):
-                nonlocal end
-                loop = {"index": (index + 1).cast("string"), "index0": index.cast("string")}
-                columns, end = _compiled(parts, start, scope | {name: item, "loop": loop}, True)
-                return F.concat(F.lit(""), *columns)
-
-            out.append(F.coalesce(F.array_join(F.transform(items, body), ""), F.lit("")))
-            at = end
+            items = _value(m[2], scope)
+            body = _Loop(parts, at, scope, m[1])
+            out.append(F.coalesce(F.array_join(F.transform(items, body.render), ""), F.lit("")))
+            at = body.end
         elif text:
             out.append(F.lit(text))
     if inner:
