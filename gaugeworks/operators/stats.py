@@ -99,27 +99,18 @@ def _beta_share(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - _beta_share(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, value, c, d = 1e-300, 1.0, 1.0, 0.0
-    for i in range(400):
+    # Lentz's evaluation of 1 / (1 + d1 / (1 + d2 / (1 + ...)))
+    tiny, c, d = 1e-300, 1.0, 0.0
+    value = 1.0
+    for i in range(1, 500):
         m = i // 2
-        if i == 0:
-            term = 1.0
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 + term * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + term / c if i else 1.0
-        c = c if abs(c) > tiny else tiny
-        if i == 0:
-            value = d
-            c = 1.0
-            continue
+        term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + term * d or tiny)
+        c = 1 + term / c or tiny
         value *= c * d
         if abs(1 - c * d) < 1e-15:
             break
-    return front * value
+    return front / value
 
 
 def t_quantile(p: float, df: float) -> float:
