@@ -50,13 +50,13 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.withColumn("seq", F.lit(self._next())).select(*[c.split()[0] for c in self._schema(name).split(", ")]).write.mode("append").parquet(f"{self.root}/{name}")
 
-    def _one(self, name: str, **values) -> None:
-        fields = [c.split() for c in self._schema(name).split(", ")][:-1]
+    def _one(self, table: str, /, _now: dict | None = None, **values) -> None:
+        fields = [c.split() for c in self._schema(table).split(", ")][:-1]
         row = tuple(values.get(f) for f, _ in fields)
         stamped = self.spark.createDataFrame([row], ", ".join(f"{f} {t}" for f, t in fields))
-        for column, at in values.get("_now", {}).items():
+        for column, at in (_now or {}).items():
             stamped = stamped.withColumn(column, at)
-        self.append(name, stamped)
+        self.append(table, stamped)
 
     def runs(self) -> DataFrame:
         return latest(self.records("runs"), ["id"], ["seq"]).drop("seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
@@ -24,7 +26,9 @@ class MetricStore:
 
     def emit(self, points: DataFrame) -> None:
         """Queue points (run_id, step_id, metric_name, metric_value, unit); they are stamped now and kept as a plan."""
-        points = points.select("run_id", "step_id", "metric_name", "metric_value", "unit", F.current_timestamp().alias("created_at"), F.monotonically_increasing_id().alias("ord"))
+        now = time.time_ns()
+        stamp = F.timestamp_micros(F.lit(now // 1000))
+        points = points.select("run_id", "step_id", "metric_name", "metric_value", "unit", stamp.alias("created_at"), (F.monotonically_increasing_id() + F.lit(now)).alias("ord"))
         self.pending = points if self.pending is None else self.pending.unionByName(points)
 
     def emit_one(self, run_id: int, name: str, value: float, unit: str | None = None, step_id: int | None = None) -> None:
