@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,6 +60,26 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return first.filter("_gw_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def release() -> None:
+    """Give back what a task's buffers held: workers live on, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run):
+    """A function over batches that releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return outer
+
+
 def vocabulary_path(name: str) -> str:
     """A public tokenizer's file; GAUGEWORKS_TOKENIZERS points elsewhere if set."""
     folder = os.environ.get("GAUGEWORKS_TOKENIZERS")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, materialise, row_key
+from gaugeworks.llm.common import documents, materialise, released, row_key
 
 #: A-Z only: the 26 other pairs of Unicode stay apart.
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -38,6 +38,7 @@ def rank(doc_id: int | None, uid: int) -> tuple:
 
 
 def _fold_rows(combine_bytes: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         entries: dict[tuple, list] = {}
@@ -101,6 +102,7 @@ class Directory:
             pending += [(bucket, 2 * prefix, depth + 1), (twin, 2 * prefix + 1, depth + 1)]
 
 
+@released
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries in key order: chain equal keys, compare bytes, tell each entry its class."""
     schema = pa.schema([("entry_id", pa.int64()), ("keep_null", pa.bool_()), ("keep_doc", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64())])
@@ -133,7 +135,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 64 << 20, combine_bytes: int = 48 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 64 << 20, combine_bytes: int = 24 << 20) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 and _k, the row's key for keep_rows()."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("_k"), F.col("text").cast("string").cast("binary").alias("text"))

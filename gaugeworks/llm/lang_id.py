@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, fold, id_text
+from gaugeworks.llm.common import documents, fold, id_text, released
 
 UNKNOWN = "und"
 MARK = "\x02"
@@ -154,14 +154,14 @@ class Identifier:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "table", "sizes")}
 
-    def _fresh(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.table, self.sizes = np.zeros((1, len(self.models.languages))), np.zeros(1)
 
-    def entropies(self, texts: list[str | None], remembered: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str | None], remembered: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
         """Per text: summed log-probabilities by language, and the number of characters they are of."""
         if not hasattr(self, "known") or len(self.known) > remembered:
-            self._fresh()
+            self.forget()
         split = [(t or "").lower().split() for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known))
@@ -170,8 +170,8 @@ class Identifier:
             cleaned.setdefault(letters_of(token), []).append(token)
         words = [w for w in cleaned if w and len(w) <= 4096]
         rows = [np.zeros((0, self.table.shape[1]))]
-        for a in range(0, len(words), 50_000):
-            rows.append(self.models.word_scores(words[a : a + 50_000]))
+        for a in range(0, len(words), 20_000):
+            rows.append(self.models.word_scores(words[a : a + 20_000]))
         at = len(self.sizes)
         place = {w: at + i for i, w in enumerate(words)}
         self.table = np.concatenate([self.table, *rows])
@@ -243,14 +243,17 @@ def identifier(docs: DataFrame, max_rows: int = 4000, max_languages: int = 100,
 
 
 def _judge(model):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = model.value
+        judge.forget()
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
                 langs, scores, rejected = judge.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
                 columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_gw_text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(n for n in batch.schema.names if n != "_gw_text"), "_gw_lang", "_gw_score", "_gw_rejected"])
+        judge.forget()
 
     return run
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.blocks import PACKED, answered, columns_of, joined, packed_batch, packed_rows, unpacked, with_answers, write_blocks
-from gaugeworks.llm.common import documents, fold, materialise, vocabulary_path
+from gaugeworks.llm.common import documents, fold, materialise, released, vocabulary_path
 
 SPACE = "▁".encode()
 NEVER = -1e30
@@ -215,6 +215,7 @@ def _distinct(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.nda
 def _count(path: str, parts: int):
     """Rows of kind 0: counts of the block's words; of kind 1: expected uses of the pieces."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = pieces_of(path)
         for batch in batches:
@@ -260,6 +261,7 @@ def _sum_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(path: str, weights: np.ndarray, n: int, v: int, discount: float, end_count: int):
     """n, v: tokens and kinds of them, ends included."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = pieces_of(path)
         below = n + 0.1 * (v + 1)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.blocks import PACKED, answered, columns_of, joined, packed_batch, packed_rows, unpacked, with_answers, write_blocks
-from gaugeworks.llm.common import documents, materialise
+from gaugeworks.llm.common import documents, materialise, released
 from gaugeworks.llm.windows import C1, C2, bytes_of, digit_hashes, loaded_words, super_windows
 
 LENGTH = 200
@@ -53,6 +53,7 @@ def _runs(payload: bytes, length: int):
 
 
 def _announce(length: int, parts: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -98,6 +99,7 @@ def _spans(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
 def _sort_out(length: int):
     """Intervals that are certain, and the bytes of runs that need more digits."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -181,6 +183,7 @@ def _own(length: int, held_bytes: int):
     def out(spans):
         return pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.binary())], names=["block", "spans"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
@@ -220,6 +223,7 @@ def _pack_windows(length: int):
 
 
 def _cut_out(names: list[str]):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, told in zip(batch.column(0), batch.column(1)):

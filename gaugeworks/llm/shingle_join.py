@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.blocks import unpacked, with_answers, write_blocks
-from gaugeworks.llm.common import documents, materialise, row_key
+from gaugeworks.llm.common import documents, materialise, released, row_key
 from gaugeworks.llm.windows import C1, C2, C3
 
 WORDS, COORDINATES, MAX_DEPTH = 5, 64, 3
@@ -79,6 +79,7 @@ class Shingler:
         return np.min(parts, axis=0) >> np.uint64(32)
 
 
+@released
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
@@ -192,6 +193,7 @@ def _wanted(slack: float):
     return run
 
 
+@released
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the rows that cells want of them: one row per cell and set, with its shingles."""
     shingler = Shingler()
@@ -236,6 +238,7 @@ def shared_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
 
 
 def _verify(threshold: float, slack: float):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for rows in groups(batches, 3):

@@ -43,26 +43,36 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return best & np.int64((1 << int(bits)) - 1)
 
 
-def super_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def super_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, at_once: int = 1 << 20) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows of one text that share their minimal gram.
 
     data holds the texts one after another, starts and ends bound them. Returns per run: index of its
-    text, first window's place in data, number of windows, hash of the minimal gram.
+    text, first window's place in data, number of windows, hash of the minimal gram. Whole texts of about
+    `at_once` bytes are worked on together.
     """
-    empty = np.zeros(0, np.int64)
-    if len(data) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + at_once, side="right")))
+        a, b = int(starts[first]), int(ends[last - 1])
+        if b - a >= length:
+            text, place, n, gram = _runs_of(data[a:b], starts[first:last] - a, ends[first:last] - a, length)
+            out.append((text + first, place + a, n, gram))
+        first = last
+    return tuple(np.concatenate(column) for column in zip(*out))
+
+
+def _runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     hashes = gram_hashes(data)
     minima = window_minima(hashes, length - GRAM + 1)
-    text = np.repeat(np.arange(len(starts)), np.maximum(ends - starts - length + 1, 0))
+    counts = np.maximum(ends - starts - length + 1, 0)
+    text = np.repeat(np.arange(len(starts)), counts)
     if not len(text):
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    firsts = np.cumsum(np.maximum(ends - starts - length + 1, 0)) - np.maximum(ends - starts - length + 1, 0)
-    place = starts[text] + np.arange(len(text)) - firsts[text]
+        return text, text, text, np.zeros(0, np.uint64)
+    place = np.arange(len(text)) + (starts - np.cumsum(counts) + counts)[text]
     anchor = minima[place]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    sizes = np.diff(np.append(new, len(text)))
-    return text[new], place[new], sizes, hashes[anchor[new]]
+    return text[new], place[new], np.diff(np.append(new, len(text))), hashes[anchor[new]]
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
