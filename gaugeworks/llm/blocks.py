@@ -7,7 +7,6 @@ and the owners of key ranges tell each other are sorted arrays, one per (block,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import work_folder
+from gaugeworks.llm.common import work_folder, work_table
 
 BLOCK_BYTES = 4 << 20
 
@@ -63,7 +62,7 @@ def write_blocks(rows: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) ->
     import pyarrow.compute  # noqa: F401
 
     spark = rows.sparkSession
-    table = f"gaugeworks_{name}_{uuid.uuid4().hex}"
+    table = work_table(name)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = rows.mapInArrow(_cut(block_bytes), "block long, n long, n_bytes long, payload binary")
     blocks.write.bucketBy(buckets, "block").option("path", work_folder(spark, name)).format("parquet").saveAsTable(table)

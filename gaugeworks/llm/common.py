@@ -21,10 +21,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+class Work:
+    """The folders and tables that were written while it was open; drop() deletes them."""
+
+    open: Work | None = None
+
+    def __init__(self):
+        self.folders: list[str] = []
+        self.tables: list[str] = []
+
+    def __enter__(self) -> Work:
+        self.outer, Work.open = Work.open, self
+        return self
+
+    def __exit__(self, *_) -> None:
+        Work.open = self.outer
+
+    def drop(self, spark: SparkSession) -> None:
+        for table in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        for folder in self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders, self.tables = [], []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if Work.open is not None:
+        Work.open.folders.append(path)
+    return path
+
+
+def work_table(name: str) -> str:
+    """A fresh table name."""
+    table = f"gaugeworks_{name}_{uuid.uuid4().hex}"
+    if Work.open is not None:
+        Work.open.tables.append(table)
+    return table
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
