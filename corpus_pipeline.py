@@ -9,6 +9,9 @@
 Every stage but the last returns the columns of its input. A stage's rows are whole rows of its input; only
 repeat_removal changes a value (text, and n_chars with it). Null texts, nulls in other columns, repeated
 rows and empty tables are dealt with by the operators; of repeated rows stages 2 and 3 keep one.
+
+A stage's result has to be written before the next stage is called, as the pipeline does: a stage first
+deletes the working files of the one before it.
 """
 
 from __future__ import annotations
@@ -18,31 +21,47 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import exact_dedup as equal
 from gaugeworks.llm import lang_id, packing, repeats, shingle_join
-from gaugeworks.llm.common import documents, fold, keep_rows, materialise
+from gaugeworks.llm.common import Work, documents, fold, keep_rows, materialise
+
+
+_last = Work()
+
+
+def _fresh(spark: SparkSession) -> Work:
+    """A place for this stage's working files; those of the stage before go."""
+    global _last
+    _last.drop(spark)
+    _last = Work()
+    return _last
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = lang_id.identifier(docs.filter(fold(3) != 1))
-    return lang_id.identified(docs, model).filter("not _gw_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with _fresh(spark):
+        model = lang_id.identifier(docs.filter(fold(3) != 1))
+        return lang_id.identified(docs, model).filter("not _gw_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, equal.exact_dedup(docs).filter("kept"))
+    with _fresh(spark):
+        return keep_rows(docs, equal.exact_dedup(docs).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, shingle_join.shingle_join(docs).filter("keeper"))
+    with _fresh(spark):
+        return keep_rows(docs, shingle_join.shingle_join(docs).filter("keeper"))
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeats.remove_repeats(docs)
+    with _fresh(spark):
+        cut = repeats.remove_repeats(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    with _fresh(spark):
+        return packing.pack_documents(docs)
 
 
 STAGES = [
@@ -58,7 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), Work()
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        with Work() as own:
+            docs = materialise(made, f"pipeline-{name}")
+        before.drop(spark)
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
