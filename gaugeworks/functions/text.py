@@ -110,7 +110,8 @@ def parsed_timestamp(text: Column) -> Column:
 
 def duration_text(start: Column, end: Column) -> Column:
     """Seconds with three decimals; null while running."""
-    return F.format_string("%.3fs", (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6))
+    seconds = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
+    return F.when(seconds.isNotNull(), F.format_string("%.3fs", seconds))
 
 
 def number_text(x: Column, signed: bool = False) -> Column:
@@ -118,7 +119,7 @@ def number_text(x: Column, signed: bool = False) -> Column:
     whole = F.format_string("%.0f", x)
     small = F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
     usual = F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
-    text = F.when(x == F.floor(x), whole).when(F.abs(x) < 0.001, small).otherwise(usual)
+    text = F.when(x == F.floor(x), whole).when(F.abs(x) < 0.001, small).when(x.isNotNull(), usual)
     return F.concat(F.when((x > 0) & F.lit(signed), "+").otherwise(""), text)
 
 

@@ -152,3 +152,21 @@ def map_rows(rows: DataFrame, function: Callable, schema: str, workers: int | No
 
     out = rows.mapInPandas(run, schema)
     return out.orderBy(index) if order == "input" and index else out
+
+
+def chat(rows: DataFrame, messages: str, spec: ModelSpec, call: Callable[[str, str | None, list[dict]], dict] | None = None, workers: int | None = None) -> DataFrame:
+    """rows with `reply` (content, tokens) of a conversation column (array of role and content).
+
+    Without `call` the random sampler answers the last message and counts its words; `call(provider, model, messages)`
+    returns {"content", "tokens"}.
+    """
+    last = F.element_at(F.col(messages), -1)["content"]
+    if call is None:
+        return rows.withColumn("_t", random_text(last)).withColumn("reply", F.struct(F.col("_t").alias("content"), F.size(F.split("_t", " ")).cast("long").alias("tokens"))).drop("_t")
+    import json
+
+    def one(text: str) -> str:
+        return json.dumps(call(spec.provider, spec.model, json.loads(text)))
+
+    told = external(rows.withColumn("_m", F.to_json(messages)), "_m", one, workers)
+    return told.withColumn("reply", F.from_json("response", "content string, tokens long")).drop("_m", "response", "latency_ms")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import hashing, json_values, similarity, text
-from gaugeworks.operators import compare, confusion, latest, prepare, stats, template
+from gaugeworks.operators import compare, confusion, latest, prepare, sampling, stats, template
+from gaugeworks.plans import store
 from gaugeworks.sources import metrics as metric_source
 from gaugeworks.streaming import events as event_stream
 
@@ -369,3 +370,73 @@ def token_estimate(spark, sf_dir):
 def keyword_labels(spark, sf_dir):
     said = F.concat("text", F.when(F.col("turn") % 3 == 0, " It CRASHES").when(F.col("turn") % 3 == 1, " Show me").otherwise(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.keyword_label(said, text.TICKET_RULES_SHORT, "billing").alias("label"))
+
+
+@query("""SELECT conv_id, turn, 'q' || conv_id AS sample_id, text AS question, CASE turn % 3 WHEN 0 THEN 'given' WHEN 1 THEN 'a' || chr(10) || 'b' ELSE '' END AS context, ['yes', 'no', 'maybe'][turn % 3 + 1] AS gold_answer FROM conversations""")
+def question_rows(spark, sf_dir):
+    """Turns as biomedical rows: a plain context, a nested one or none; answers under three names."""
+    rows, k = table(spark, sf_dir, "conversations"), F.col("turn") % 3
+    json = F.when(k == 0, F.to_json(F.struct(F.col("text").alias("question"), F.lit("given").alias("abstract"), F.lit(" YES").alias("final_decision"), F.concat(F.lit("q"), "conv_id").alias("id"))))
+    json = json.when(k == 1, F.to_json(F.struct(F.col("text").alias("query"), F.struct(F.array(F.lit("b")).alias("zz"), F.lit("a").alias("contexts")).alias("context"), F.lit("no").alias("answer"), F.concat(F.lit("q"), "conv_id").alias("qid"))))
+    json = json.otherwise(F.to_json(F.struct(F.col("text").alias("input"), F.lit("Maybe ").alias("target"), F.concat(F.lit("q"), "conv_id").alias("question_id"))))
+    return prepare.question_rows(rows.select("conv_id", "turn", json.alias("json"))).select("conv_id", "turn", "sample_id", "question", "context", "gold_answer")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS first, chr(65 + (p_partkey % 2)::INT) AS golden FROM part""")
+def json_choices(spark, sf_dir):
+    """Choices from JSON text, an array or an object, and golden labels from a padded, lower-case label."""
+    even = F.col("p_size") % 2 == 0
+    json = F.when(even, F.to_json(F.array("p_brand", "p_type"))).otherwise(F.to_json(F.struct(F.col("p_brand").alias("B"), F.col("p_type").alias("A"))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", prepare.choices_from_json(json, ("A", "B")).alias("c"), F.when(F.col("p_partkey") % 2 == 0, " a ").otherwise("b").alias("label"))
+    told = prepare.labelled(F.col("c"), prepare.label_answer(F.col("label"), ("A", "B"), F.size("c")), ("A", "B"))
+    return rows.select("p_partkey", F.get("c", F.lit(0)).alias("first"), told["golden"].alias("golden"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 7)::DOUBLE END AS d, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 7 END::VARCHAR AS s FROM events")
+def typed_fields(spark, sf_dir):
+    """Fields as their inferred type; values that don't fit are null."""
+    v = F.when(F.col("event_id") % 4 == 0, F.lit('{"x":null}')).otherwise(F.concat(F.lit('{"x":'), F.col("event_id") % 7, F.lit("}")))
+    v = json_values.parsed(v)
+    return table(spark, sf_dir, "events").select("event_id", json_values.typed(v, "x", "DOUBLE").alias("d"), json_values.typed(v, "x", "STRING").alias("s"))
+
+
+@query("SELECT event_id, printf('%.3fs', value) AS duration, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS created FROM events WHERE round(value, 2) = value")
+def time_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("round(value, 2) = value")
+    end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1e6).cast("long"))
+    return rows.select("event_id", text.duration_text(F.col("ts"), end).alias("duration"), text.timestamp_text(F.col("ts")).alias("created"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.0f', o_totalprice) ELSE rtrim(rtrim(printf('%.4f', o_totalprice), '0'), '.') END AS price FROM orders")
+def number_texts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.number_text(F.col("o_totalprice")).alias("price"))
+
+
+@query("SELECT c_custkey, ['yes', 'no', 'maybe'][('0x' || substr(sha256('|' || c_name), 1, 15))::BIGINT % 3 + 1] AS label FROM customer")
+def sampled_labels(spark, sf_dir):
+    """The seeded label sampler: the same answer for the same prompt."""
+    return table(spark, sf_dir, "customer").select("c_custkey", sampling.random_label(F.col("c_name"), F.array(*[F.lit(x) for x in text.SHORT_LABELS])).alias("label"))
+
+
+@query("""SELECT user_id AS run_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'failed' ELSE 'running' END AS status FROM events GROUP BY user_id""")
+def event_states(spark, sf_dir):
+    """The state that a run's last event implies: purchases complete it, sign-ups fail it, others start it."""
+    kind = F.when(F.col("event_type") == "purchase", "run.completed").when(F.col("event_type") == "signup", "run.failed").otherwise("run.started")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), kind.alias("event_type"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
+    return store.event_states(rows)
+
+
+@query("""SELECT c_custkey, CASE WHEN o.s IS NULL THEN 'new' WHEN o.s = 'F' THEN 'reuse' ELSE 'again' END AS decision FROM customer
+LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey""")
+def memo_decisions(spark, sf_dir):
+    """What a step does when it is asked for: start, run again, or reuse the stored output."""
+    stored = latest.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    rows = table(spark, sf_dir, "customer").join(stored, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", F.when(F.col("o_orderstatus").isNull(), "new").when(F.col("o_orderstatus") == "F", "reuse").otherwise("again").alias("decision"))
+
+
+@query("""SELECT k::VARCHAR AS step_key, '$.p' AS path, '"' || x || '"' AS run_a, '"' || y || '"' AS run_b FROM (SELECT a.k, a.h AS x, b.h AS y FROM """ + _EVEN + " a JOIN " + _ODD + """ b ON a.k = b.k) WHERE x <> y""")
+def output_differences(spark, sf_dir):
+    """Field by field, the outputs of steps that both runs have."""
+    sides = [_run_steps(spark, sf_dir, even).withColumn("output", F.to_json(F.struct(F.col("input_hash").alias("p")))) for even in (True, False)]
+    return compare.output_differences(compare.step_rows(*sides))

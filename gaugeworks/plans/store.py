@@ -40,10 +40,13 @@ class Store:
     def _schema(self, name: str) -> str:
         return {"workflows": tables.WORKFLOWS, "runs": tables.RUNS, "steps": tables.STEPS, "events": tables.EVENTS}[name] + ", seq long"
 
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def records(self, name: str) -> DataFrame:
         """All records of a table; an empty one if nothing was written yet."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        there = self._there(name)
         schema = _parse_datatype_string(self._schema(name))
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
 
@@ -75,6 +78,12 @@ class Store:
     def list_steps(self, run_id: int) -> DataFrame:
         return self.steps(run_id).orderBy("started_at", "id")
 
+    def create_tables(self) -> None:
+        """Empty tables where there are none yet; harmless if they are there."""
+        for name in ("workflows", "runs", "steps", "events"):
+            if not self._there(name):
+                self.spark.createDataFrame([], self._schema(name)).write.mode("append").parquet(f"{self.root}/{name}")
+
     # Runs
 
     def event(self, run_id: int, kind: str, message: str | None = None, data: str | None = None) -> None:

@@ -48,6 +48,8 @@ def test_token_estimate(spark):
 def test_durations(spark):
     a, b = F.timestamp_micros(F.lit(0)), F.timestamp_micros(F.lit(1_234_000))
     assert one(spark, text.duration_text(a, b)) == "1.234s"
+    assert one(spark, text.duration_text(a, F.lit(None).cast("timestamp"))) is None
+    assert one(spark, text.numbers_text(F.array(F.lit(None).cast("double"), F.lit(0.5)), True)) == "-, +0.5"
     assert one(spark, text.timestamp_text(b)) == "1970-01-01T00:00:01.234000Z"
     assert one(spark, F.unix_micros(text.parsed_timestamp(F.lit("nonsense")))) == 0
 
