@@ -31,13 +31,18 @@ STOP_WORDS = (
 #: measure, least, most (None: no bound). Each is a ratio of the projection's columns.
 THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 25.0),
-    ("symbols_per_word", None, 0.5),
+    ("symbols_per_word", None, 0.1),
     ("exclaims_per_word", None, 0.6),
     ("distinct_stop_words", 2.0, None),
     ("dup_line_ratio", None, 0.5),
 )
 
 
+def _once(column: Column) -> Column:
+    """The same value, fenced: filters on what follows aren't rewritten into it, so it is computed once per row."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
@@ -52,7 +57,7 @@ def measured(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     """doc_id and the columns that the thresholds speak of."""
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.array_remove(F.split("text", BLANKS), "").alias("words"))
+    rows = rows.select("doc_id", "text", _once(F.array_remove(F.split("text", BLANKS), "")).alias("words"))
     n = F.size("words")
     windows = F.transform(F.arrays_zip("words", F.slice("words", 2, n), F.slice("words", 3, n)), lambda w: F.xxhash64(w))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -62,9 +67,9 @@ def measured(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
         F.length(F.array_join("words", "")).alias("word_chars"),
         (F.length("text") - F.length(_without(text, SYMBOLS))).alias("n_symbols"),
         (F.length("text") - F.length(_without(text, "!"))).alias("n_exclaims"),
-        lines.alias("lines"),
+        _once(lines).alias("lines"),
         # arrays_zip pads to the longest array: the last two entries are no windows
-        F.when(n >= 3, F.slice(windows, F.lit(1), n - 2)).otherwise(F.array().cast("array<bigint>")).alias("windows"),
+        _once(F.when(n >= 3, F.slice(windows, F.lit(1), n - 2)).otherwise(F.array().cast("array<bigint>"))).alias("windows"),
         F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in dict.fromkeys([*stop_words, *(w.capitalize() for w in stop_words), *(w.upper() for w in stop_words)])]))).alias("distinct_stop_words"),
     )
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -72,10 +77,10 @@ def measured(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
         "*",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))).alias("sorted"),
+        _once(F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))))).alias("sorted"),
     ).drop("lines", "windows")
     twice = F.filter("sorted", lambda x, i: (x.h == F.get("sorted", i + 1).h) | (x.h == F.get("sorted", i - 1).h))
-    rows = rows.select("*", twice.alias("twice")).drop("sorted")
+    rows = rows.select("*", _once(twice).alias("twice")).drop("sorted")
     covered = F.size(F.array_distinct(F.flatten(F.transform("twice", lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2)))))
     return rows.select(
         "doc_id",
@@ -129,8 +134,8 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
   len(list_intersect(words, [{stop}])) AS stops FROM w LEFT JOIN v USING (r)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 25 * n_words AND n_symbols <= 0.5 * n_words
-  AND n_exclaims <= 0.6 * n_words AND stops >= 2 AND n_dup_lines <= 0.5 * n_lines AS kept FROM f
+  NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 25 * n_words AND n_symbols / n_words <= 0.1
+  AND n_exclaims / n_words <= 0.6 AND stops >= 2 AND n_dup_lines <= 0.5 * n_lines AS kept FROM f
 """
 
 
