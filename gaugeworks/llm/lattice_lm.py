@@ -13,7 +13,9 @@ The whole-word edge also remembers the document: the t-th token has probability
     (1 - m) P(word) + m n / t,      m = MEMORY * t / (t + HALFWAY)
 
 where n of the t tokens before it are the same word, so the text's probability is a product of proper
-conditional ones.
+conditional ones. Counts are also kept by class (the learning rows' language, the MOST_CLASSES - 1 most
+frequent ones and the rest): a text's probability is the mixture of those that the classes give it, each
+of them OWN parts its class's and 1 - OWN parts the whole corpus's. A text's own language isn't used.
 
 c: count of the word, N: learning tokens, V: distinct ones, D: the absolute discount n1 / (n1 + 2 n2).
 Piece weights start from the scores of the vocabulary file and are fitted by one expectation step over
@@ -43,12 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.blocks import PACKED, answered, columns_of, joined, packed_batch, packed_rows, unpacked, with_answers, write_blocks
+from gaugeworks.llm.blocks import PACKED, answered, columns_of, packed_batch, packed_rows, unpacked, with_answers, write_blocks
 from gaugeworks.llm.common import documents, fold, materialise, released, vocabulary_path
 
 SPACE = "▁".encode()
 NEVER = -1e30
 MEMORY, HALFWAY = 0.3, 100
+MOST_CLASSES, OWN = 8, 0.95
 LONGEST = 512  # bytes of a word that vectorised recursion takes; longer ones go one by one
 
 
@@ -212,8 +215,8 @@ def _distinct(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.nda
     return [names[i] for i in order.tolist()], [place[i] for i in ids], hashes[order]
 
 
-def _count(path: str, parts: int):
-    """Rows of kind 0: counts of the block's words; of kind 1: expected uses of the pieces."""
+def _count(path: str, parts: int, classes: int):
+    """Rows of kind 0: counts of the block's words, and 255ths of them by class; of kind 1: expected uses of the pieces."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +224,14 @@ def _count(path: str, parts: int):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 table = unpacked(payload.as_py())
-                texts = table.column("text").to_pylist()
+                names, ids, hashes = _distinct(table.column("text").to_pylist())
                 used = np.flatnonzero(~table.column("held_out").to_numpy(zero_copy_only=False))
-                names, ids, hashes = _distinct(texts)
-                counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *(ids[i] for i in used.tolist())]), minlength=len(names)).astype(np.int32)
-                rows = packed_rows(0, block, hashes, [counts], parts)
+                kind = table.column("class").to_numpy()
+                at = np.concatenate([np.zeros(0, np.int64), *(ids[i] * classes + kind[i] for i in used.tolist())])
+                by_class = np.bincount(at, minlength=len(names) * classes).reshape(len(names), classes)
+                counts = by_class.sum(axis=1).astype(np.int32)
+                shares = np.rint(255 * by_class / np.maximum(counts, 1)[:, None]).astype(np.uint8)
+                rows = packed_rows(0, block, hashes, [counts, *(np.ascontiguousarray(shares[:, k]) for k in range(classes))], parts)
                 seen = np.flatnonzero(counts)
                 uses = expected_counts(trie, trie.start, [names[i] for i in seen.tolist()], counts[seen])
                 rows.append((1, 0, block, len(used), uses.astype(np.float32).tobytes()))
@@ -234,17 +240,34 @@ def _count(path: str, parts: int):
     return run
 
 
-def _total(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
-    """The first block of a range is told the range's statistics too: tokens, kinds, kinds seen once and twice."""
-    keys, counts = columns_of(sizes, data, [np.uint64, np.int32])
-    _, place = np.unique(keys, return_inverse=True)
-    whole = np.bincount(place, weights=counts).astype(np.int64)
-    told = whole[place]
-    ends = np.cumsum(sizes)
-    out = [told[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-    statistics = np.array([whole.sum(), (whole > 0).sum(), (whole == 1).sum(), (whole == 2).sum()], np.int64)
-    out[0] += statistics.tobytes()
-    return out
+def _total(classes: int):
+    """Whole counts and their shares by class. The first block of a range is told the range's statistics too:
+    tokens, kinds, kinds seen once and twice, and by class tokens and (fractional) kinds."""
+
+    def answer(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
+        keys, counts, *shares = columns_of(sizes, data, [np.uint64, np.int32, *[np.uint8] * classes])
+        _, place = np.unique(keys, return_inverse=True)
+        whole = np.bincount(place, weights=counts)
+        own = np.stack([np.bincount(place, weights=counts * (x / 255.0)) for x in shares], axis=1)
+        part = own / np.maximum(whole, 1)[:, None]
+        told, shown = whole.astype(np.int64)[place], np.rint(255 * part).clip(0, 255).astype(np.uint8)[place]
+        ends = np.cumsum(sizes)
+        out = [told[a:b].tobytes() + np.ascontiguousarray(shown[a:b].T).tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        statistics = np.array([whole.sum(), (whole > 0).sum(), (whole == 1).sum(), (whole == 2).sum(), *own.sum(axis=0), *part.sum(axis=0)])
+        out[0] += statistics.tobytes()
+        return out
+
+    return answer
+
+
+def _answers(told: list[dict] | None, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's whole counts and their shares by class, in order of the words' hashes."""
+    counts, shares = [np.zeros(0, np.int64)], [np.zeros((0, classes))]
+    for a in sorted(told or (), key=lambda a: a["part"]):
+        n = a["n"]
+        counts.append(np.frombuffer(a["data"], np.int64, n))
+        shares.append(np.frombuffer(a["data"], np.uint8, n * classes, 8 * n).reshape(classes, n).T / 255.0)
+    return np.concatenate(counts), np.concatenate(shares)
 
 
 def _sum_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,36 +281,49 @@ def _sum_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["docs", "uses"])
 
 
-def _score(path: str, weights: np.ndarray, n: int, v: int, discount: float, end_count: int):
-    """n, v: tokens and kinds of them, ends included."""
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def _score(path: str, weights: np.ndarray, n: float, v: float, discount: float, ends: np.ndarray, tokens: np.ndarray, kinds: np.ndarray):
+    """n, v: tokens and kinds of them, ends included. By class: documents, tokens (ends included) and kinds of words."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = pieces_of(path)
+        classes, end_count = len(ends), ends.sum()
         below = n + 0.1 * (v + 1)
-        free = discount * (v - (end_count > 0)) / n if n else 1.0
         end_base = np.log10((end_count + 0.1) / below) if n else 0.0
-        end_score = np.log10(max(end_count, 0.1) / n) if n else 0.0
+        if n:
+            own, rest = OWN / np.maximum(tokens, 1), (1 - OWN) / n
+            free = np.maximum(OWN * discount * kinds / np.maximum(tokens, 1) + (1 - OWN) * discount * (v - (end_count > 0)) / n, 1e-12)
+            end = np.log(np.maximum(ends, 0.1) * own + end_count * rest)
+        else:
+            own, rest, free, end = np.zeros(classes), 0.0, np.ones(classes), np.zeros(classes)
+        prior = np.log((ends + 0.5) / (end_count + 0.5 * classes))
         for batch in batches:
             for payload, told in zip(batch.column(0), batch.column(1)):
                 table = unpacked(payload.as_py())
                 names, ids, _ = _distinct(table.column("text").to_pylist())
-                c = joined(_plain(told.as_py()), 0, np.int64) if names else np.zeros(0, np.int64)
+                c, shares = _answers(told.as_py(), classes)
                 base = np.log10((c + 0.1) / below) if n else np.zeros(len(c))
-                inner = np.log10(np.maximum(free, 1e-12)) + marginals(trie, weights, names) / np.log(10)
-                with np.errstate(divide="ignore"):
-                    whole = np.where(c > 0, np.log10(np.maximum(c - discount, 0) / max(n, 1)), -np.inf)
-                score = np.logaddexp(whole * np.log(10), inner * np.log(10))
+                kept = np.maximum(c - discount, 0.0)[:, None]
+                score = np.logaddexp(_log(kept * (shares * own + rest)), marginals(trie, weights, names)[:, None] + np.log(free))
                 known = (c > 0).astype(np.int64)
-                out = [(len(i) + 1, int(known[i].sum()) + (end_count > 0), n, float(base[i].sum() + end_base), _remembering(score[i], i, end_score)) for i in ids]
+                out = []
+                for i in ids:
+                    whole = _remembering(score[i], i, end) + prior
+                    top = whole.max()
+                    out.append((len(i) + 1, int(known[i].sum()) + int(end_count > 0), int(n), float(base[i].sum() + end_base), float((top + np.log(np.exp(whole - top).sum())) / np.log(10))))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 yield from pa.table([table.column("doc_id"), table.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).combine_chunks().to_batches()
 
     return run
 
 
-def _remembering(score: np.ndarray, ids: np.ndarray, end: float) -> float:
-    """Log10 probability of a document. score: natural logs of its tokens' static probabilities."""
+def _remembering(score: np.ndarray, ids: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Log-probability of a document by class. score: its tokens' static ones, a row each; end: the end's."""
     t = np.arange(len(ids) + 1)
     m = MEMORY * t / (t + HALFWAY)
     order = np.argsort(ids, kind="stable")
@@ -295,39 +331,43 @@ def _remembering(score: np.ndarray, ids: np.ndarray, end: float) -> float:
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(ids) else t[:0]
     before = np.empty(len(ids))
     before[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    with np.errstate(divide="ignore"):
-        shown = np.log(m[:-1] * before / np.maximum(t[:-1], 1))
-    return float(np.logaddexp(np.log1p(-m[:-1]) + score, shown).sum() / np.log(10) + np.log10(1 - m[-1]) + end)
-
-
-def _plain(told: list[dict] | None) -> list[dict]:
-    """Answers without the statistics that the first block of a range gets."""
-    return [a | {"data": a["data"][: 8 * a["n"]]} for a in told or ()]
+    shown = _log(m[:-1] * before / np.maximum(t[:-1], 1))
+    return np.logaddexp(np.log1p(-m[:-1])[:, None] + score, shown[:, None]).sum(axis=0) + np.log1p(-m[-1]) + end
 
 
-def lattice_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
-    """docs: doc_id, text. held_out: boolean column; the other rows are learned from."""
+def lattice_scores(docs: DataFrame, held_out, path: str | None = None, class_column: str | None = "lang") -> DataFrame:
+    """docs: doc_id, text and, if it is there, a class to learn by. held_out: boolean column; the other rows are learned from."""
     spark = docs.sparkSession
     path = path or vocabulary_path("piece_bpe_32k.model")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    name = F.col(class_column).cast("string") if class_column in docs.columns else F.lit(None).cast("string")
+    sizes = docs.select(name.alias("class"), held_out.alias("held_out")).filter("not held_out").groupBy("class").count()
+    listed = [r["class"] for r in sizes.filter("class is not null").orderBy(F.desc("count"), "class").limit(MOST_CLASSES - 1).collect()]
+    place = F.lit(len(listed))
+    for i, x in enumerate(listed):
+        place = F.when(name == x, F.lit(i)).otherwise(place)
+    classes = len(listed) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), place.cast("long").alias("class"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = write_blocks(rows, "lattice")
     parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialise(blocks.select("block", "payload").mapInArrow(_count(path, parts), PACKED), "lattice-counts")
-    told = materialise(answered(packed.filter("kind = 0"), _total), "lattice-totals")
-    extra = F.length("data") - 8 * F.col("n")
-    words = [sum(x) for x in zip(*(np.frombuffer(r[0], np.int64).tolist() for r in told.filter(extra > 0).select(F.expr("substring(data, cast(8 * n + 1 as int))")).collect()))] or [0, 0, 0, 0]  # four numbers per range
+    packed = materialise(blocks.select("block", "payload").mapInArrow(_count(path, parts, classes), PACKED), "lattice-counts")
+    told = materialise(answered(packed.filter("kind = 0"), _total(classes)), "lattice-totals")
+    size = F.lit(8 + classes) * F.col("n")
+    extra = told.filter(F.length("data") > size).select(F.substring("data", (size + 1).cast("int"), F.lit(1 << 30)))
+    words = sum((np.frombuffer(r[0], np.float64) for r in extra.collect()), np.zeros(4 + 2 * classes))  # a few numbers per range
     summed = packed.filter("kind = 1").select("n", "data").mapInArrow(_sum_uses, "docs long, uses array<double>")
-    docs_used = packed.filter("kind = 1").agg(F.sum("n")).first()[0] or 0
     trie = pieces_of(path)
     uses = np.zeros(len(trie.pieces))
     for at, x in summed.select(F.posexplode("uses")).groupBy("pos").agg(F.sum("col")).collect():  # one row per piece
         uses[at] = x
-    # The file's weights count as one use per piece on average, so no piece loses its probability.
+    # The file's weights count as a tenth of a use per piece on average, so no piece loses its probability.
     fitted = uses + len(uses) * np.exp(trie.start) * 0.1
     weights = np.log(fitted / fitted.sum())
-    tokens, kinds, once, twice = words
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    run = _score(path, weights, tokens + docs_used, kinds + (docs_used > 0), min(discount, 0.95), docs_used)
+    ends = np.zeros(classes)
+    for r in sizes.select(F.when(F.col("class").isin(listed), F.col("class")).alias("class"), "count").groupBy("class").agg(F.sum("count").alias("count")).collect() if listed else sizes.agg(F.lit(None).alias("class"), F.coalesce(F.sum("count"), F.lit(0)).alias("count")).collect():
+        ends[listed.index(r["class"]) if r["class"] is not None else classes - 1] += r["count"]
+    tokens, kinds, once, twice = words[:4]
+    discount = min(once / (once + 2 * twice), 0.95) if once and twice else 0.5
+    run = _score(path, weights, tokens + ends.sum(), kinds + (ends.sum() > 0), discount, ends, words[4 : 4 + classes] + ends, words[4 + classes :])
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return with_answers(blocks.select("block", "payload"), told, "told").select("payload", "told").mapInArrow(run, schema)
 

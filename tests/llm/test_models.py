@@ -58,7 +58,7 @@ def test_memory_is_a_distribution():
     for n in (1, 2, 3):
         total = 0.0
         for ids in product((0, 1), repeat=n):
-            whole = 10 ** lattice_lm._remembering(np.log([p[i] for i in ids]), np.array(ids), 0.0)
+            whole = math.exp(lattice_lm._remembering(np.log([[p[i]] for i in ids]), np.array(ids), np.zeros(1))[0])
             total += whole / (1 - lattice_lm.MEMORY * n / (n + lattice_lm.HALFWAY))
         expect = 1.0
         for t in range(n):
