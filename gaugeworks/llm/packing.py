@@ -18,19 +18,20 @@ own; a null doc_id is kept; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, materialise, vocabulary_path
+from gaugeworks.llm.common import documents, materialise, release, released, vocabulary_path
 
 END, WINDOW = 0, 1024
 K1, B = 1.2, 0.75
@@ -47,7 +48,7 @@ class Encoder:
     library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,6 +58,7 @@ class Encoder:
         self.end = array(self.code, [END]).tobytes()
         self.opens = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.size)])
         self.remembered, self.known, self.marks = remembered, {}, {}
+        self.odd_end = re.compile(r"(?:^|\0)(?:\s|\0|$)|\s(?:\0|$)").search
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,16 +78,16 @@ class Encoder:
             out += [raw[x:y] for x, y in zip((cuts * size).tolist(), ends)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids and the end id of each text."""
-        split = [t.split(" ") for t in texts]
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that aren't remembered yet; None for those that white space sticks to."""
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        new = set(chain.from_iterable(split)).difference(known)
-        bad = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-        known.update(dict.fromkeys(bad))
-        new.difference_update(bad)
+        new = set(words).difference(known)
+        if self.odd_end("\0".join(new)):
+            bad = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
+            known.update(dict.fromkeys(bad))
+            new.difference_update(bad)
         # Punctuation after a letter is a match of its own, so the word before it is coded without it.
         tails = {w: base for w in new if w[-1] in ".,!?" and (base := w.rstrip(".,!?")) and base[-1].isalpha()}
         plain = [*new.difference(tails), *set(tails.values()).difference(new, known)]
@@ -95,15 +97,41 @@ class Encoder:
             if tail not in self.marks:
                 self.marks[tail] = self._library([tail])[0]
             known[w] = known[base] + self.marks[tail]
-        firsts = iter(self._library([parts[0] for parts in split]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids and the end id of each text. Distinct words are looked up once, and ids are laid out by numpy."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        cuts = split.offsets.to_numpy()
+        cuts = cuts - cuts[0]
+        told = split.flatten().dictionary_encode()
+        words, codes = told.dictionary.to_pylist(), told.indices.to_numpy().copy()
+        firsts = [words[c] for c in codes[cuts[:-1]].tolist()]
+        self._learn(words)
+        ids = [self.known[w] for w in words]
+        bad = np.array([i is None for i in ids])
+        ids = [i or b"" for i in ids] if bad.any() else ids
+        odd = {i for i, w in enumerate(firsts) if w[-1:].isspace()}  # no space stands before a text's first word
+        codes[cuts[:-1]] = len(words) + np.arange(len(texts))
+        if bad.any():
+            bad = np.concatenate([bad, np.zeros(len(texts), bool)])
+            odd.update(np.unique(np.searchsorted(cuts, np.flatnonzero(bad[codes]), side="right") - 1).tolist())
+        ids += self._library(firsts)
+        pool = np.frombuffer(b"".join(ids), self.width)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // np.int32(pool.itemsize)
+        start = np.cumsum(size, dtype=np.int32) - size
         out = []
-        for text, parts in zip(texts, split):
-            coded = [*map(known.__getitem__, parts)]
-            coded[0] = next(firsts)  # no space before it
-            if parts[0][-1:].isspace() or None in coded:
-                coded = self._library([text])
-            coded.append(self.end)
-            out.append(b"".join(coded))
+        for a in range(0, len(texts), 64):  # few enough that the index arrays stay in the processor's cache
+            bounds = cuts[a : a + 65]
+            own = codes[bounds[0] : bounds[-1]]
+            n = size[own]
+            ends = np.cumsum(n, dtype=np.int32)
+            laid = pool[np.arange(ends[-1], dtype=np.int32) + np.repeat(start[own] - ends + n, n)].tobytes()
+            stops = (ends[bounds[1:] - bounds[0] - 1] * pool.itemsize).tolist()
+            out += [laid[x:y] + self.end for x, y in zip([0, *stops], stops)]
+        for i in odd:
+            out[i] = self._library([texts[i]])[0] + self.end
         return out
 
 
@@ -114,6 +142,7 @@ def encoder_of(path: str) -> Encoder:
 
 
 def _tokenise(path: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(path)
@@ -249,7 +278,10 @@ def _pack(idf: np.ndarray, mean: float, width: str, window: int, shard_tokens: i
                         seed = d
                         break
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()  # this worker may have tokenised; its words aren't needed any more
+        release()
         out, shard, held = Windows(TaskContext.get().partitionId(), window), [], 0
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
