@@ -50,6 +50,7 @@ from gaugeworks.llm.common import documents, fold, materialise, released, vocabu
 
 SPACE = "▁".encode()
 NEVER = -1e30
+SMALLEST = -600.0
 MEMORY, HALFWAY = 0.3, 100
 MOST_CLASSES, OWN = 8, 0.95
 LONGEST = 512  # bytes of a word that vectorised recursion takes; longer ones go one by one
@@ -78,20 +79,27 @@ class Pieces:
         rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
         weight = 1.0 / (rank + 20.0)
         self.start = np.log(weight / weight.sum())
-        self.child = np.zeros((sum(map(len, self.pieces)) + 1, 256), np.int32)
-        self.ends = np.full(len(self.child), -1, np.int32)
-        size = 1
+        # Children of the root by byte; of other nodes by the few byte values that stand behind a first one.
+        later = sorted({b for p in self.pieces for b in p[1:]})
+        self.code = np.zeros(256, np.uint8 if len(later) < 255 else np.uint16)
+        self.code[later] = np.arange(1, len(later) + 1)
+        self.root = np.zeros(256, np.int32)
+        prefixes = sorted({p[:k] for p in self.pieces for k in range(1, len(p) + 1)})
+        number = {p: i + 1 for i, p in enumerate(prefixes)}
+        self.child = np.zeros((len(prefixes) + 1, len(later) + 1), np.int32)
+        self.ends = np.full(len(prefixes) + 1, -1, np.int32)
+        for prefix, i in number.items():
+            if len(prefix) == 1:
+                self.root[prefix[0]] = i
+            else:
+                self.child[number[prefix[:-1]], self.code[prefix[-1]]] = i
         for i, piece in enumerate(self.pieces):
-            at = 0
-            for b in piece:
-                if not self.child[at, b]:
-                    self.child[at, b] = size
-                    size += 1
-                at = self.child[at, b]
-            self.ends[at] = i
-        self.child, self.ends = self.child[:size].copy(), self.ends[:size].copy()
+            self.ends[number[piece]] = i
         self.inner = self.child.any(axis=1)
 
+    def step(self, node: np.ndarray | int, byte: np.ndarray | int):
+        return self.child[node, self.code[byte]]
+
 
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
@@ -103,11 +111,11 @@ def _edges(trie: Pieces, words: np.ndarray, sizes: np.ndarray):
     n, width = words.shape
     for first in range(width):
         row = np.flatnonzero(sizes > first)
-        node = np.zeros(len(row), np.int32)
-        found = []
+        node, found = None, []
         at = first
         while len(row) and at < width:
-            node = trie.child[node, words[row, at]]
+            byte = words[row, at]
+            node = trie.root[byte] if node is None else trie.step(node, byte)
             at += 1
             ok = (node > 0) & (sizes[row] >= at)
             row, node = row[ok], node[ok]
@@ -127,7 +135,7 @@ def _columns(words: list[bytes]):
     while a < len(order):
         least = len(words[order[a]])
         b = a
-        while b < len(order) and len(words[order[b]]) <= least + 2 and (b - a) < 60_000:
+        while b < len(order) and len(words[order[b]]) <= least + 2 and (b - a) < 15_000:
             b += 1
         chosen = order[a:b]
         width = len(words[order[b - 1]]) + 1
@@ -144,7 +152,7 @@ def _long(trie: Pieces, weights: np.ndarray, word: bytes) -> tuple[list, np.ndar
     for first in range(len(text)):
         node = 0
         for at in range(first, len(text)):
-            node = trie.child[node, text[at]]
+            node = trie.step(node, text[at]) if node else trie.root[text[at]]
             if not node:
                 break
             if trie.ends[node] >= 0:
@@ -308,12 +316,17 @@ def _score(path: str, weights: np.ndarray, n: float, v: float, discount: float,
                 names, ids, _ = _distinct(table.column("text").to_pylist())
                 c, shares = _answers(told.as_py(), classes)
                 base = np.log10((c + 0.1) / below) if n else np.zeros(len(c))
-                kept = np.maximum(c - discount, 0.0)[:, None]
-                score = np.logaddexp(_log(kept * (shares * own + rest)), marginals(trie, weights, names)[:, None] + np.log(free))
+                whole_word = np.maximum(c - discount, 0.0)[:, None] * (shares * own + rest)
+                inside = marginals(trie, weights, names)
+                chance = whole_word + np.exp(inside)[:, None] * free
+                tiny = inside < SMALLEST  # words whose lattice a double can't hold: their texts stay in log space
                 known = (c > 0).astype(np.int64)
                 out = []
                 for i in ids:
-                    whole = _remembering(score[i], i, end) + prior
+                    if tiny[i].any():
+                        whole = _remembering(np.logaddexp(_log(whole_word[i]), inside[i, None] + np.log(free)), i, end) + prior
+                    else:
+                        whole = _remembering(chance[i], i, end, logs=False) + prior
                     top = whole.max()
                     out.append((len(i) + 1, int(known[i].sum()) + int(end_count > 0), int(n), float(base[i].sum() + end_base), float((top + np.log(np.exp(whole - top).sum())) / np.log(10))))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
@@ -322,8 +335,9 @@ def _score(path: str, weights: np.ndarray, n: float, v: float, discount: float,
     return run
 
 
-def _remembering(score: np.ndarray, ids: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Log-probability of a document by class. score: its tokens' static ones, a row each; end: the end's."""
+def _remembering(score: np.ndarray, ids: np.ndarray, end: np.ndarray, logs: bool = True) -> np.ndarray:
+    """Log-probability of a document by class. score: its tokens' static ones (or, without logs, probabilities), a row
+    each; end: the end's logarithm."""
     t = np.arange(len(ids) + 1)
     m = MEMORY * t / (t + HALFWAY)
     order = np.argsort(ids, kind="stable")
@@ -331,7 +345,10 @@ def _remembering(score: np.ndarray, ids: np.ndarray, end: np.ndarray) -> np.ndar
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(ids) else t[:0]
     before = np.empty(len(ids))
     before[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    shown = _log(m[:-1] * before / np.maximum(t[:-1], 1))
+    shown = m[:-1] * before / np.maximum(t[:-1], 1)
+    if not logs:
+        return np.log((1 - m[:-1])[:, None] * score + shown[:, None]).sum(axis=0) + np.log1p(-m[-1]) + end
+    shown = _log(shown)
     return np.logaddexp(np.log1p(-m[:-1])[:, None] + score, shown[:, None]).sum(axis=0) + np.log1p(-m[-1]) + end
 
 
@@ -345,7 +362,8 @@ def lattice_scores(docs: DataFrame, held_out, path: str | None = None, class_col
     place = F.lit(len(listed))
     for i, x in enumerate(listed):
         place = F.when(name == x, F.lit(i)).otherwise(place)
-    classes = len(listed) + 1
+    rest = sizes.filter(~F.coalesce(F.col("class").isin(listed), F.lit(False))).limit(1).count() if listed else 1
+    classes = len(listed) + int(rest > 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), place.cast("long").alias("class"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = write_blocks(rows, "lattice")
     parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
