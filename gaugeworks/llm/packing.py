@@ -1,10 +1,11 @@
 """Lexical retrieval packing: documents fill windows together with their BM25 neighbours.
 
-1. Documents are tokenised once; ids (packed), a min-hash sketch and the document frequencies of the
-   ids are written to the shared folder. The BM25 terms are the ids, so the statistics over all
-   documents have one number per id of the vocabulary.
-2. Rows are dealt in ranges of (sketch, row): similar documents meet, and a sketch that many documents
-   share is still cut into even ranges.
+1. Documents are tokenised once; ids (packed) and the document frequencies of the ids are written to the
+   shared folder. The BM25 terms are the ids, so the statistics over all documents have one number per
+   id of the vocabulary.
+2. Rows are dealt in ranges of (sketch, row). A sketch is three min-hashes of a document's ids, weighted by
+   the square of their idf; the end id and ids of a single document don't count. Copies have one sketch,
+   and similar documents often begin alike; a sketch that many documents share is still cut into even ranges.
 3. Each range is indexed shard by shard (at most `shard_tokens` ids and `shard_docs` documents). A seed
    document is laid into the open window; its best unused neighbours by BM25 over the seed's rarest
    terms follow until the window is full. The document that crosses the end is cut, and its rest opens
@@ -35,8 +36,10 @@ from gaugeworks.llm.common import documents, materialise, release, released, voc
 
 END, WINDOW = 0, 1024
 K1, B = 1.2, 0.75
-TOKENS = "doc_id long, uid long, n_tokens long, sketch long, ids binary, df array<int>"
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("sketch", pa.int64()), ("ids", pa.binary()), ("df", pa.list_(pa.int32()))])
+TOKENS = "doc_id long, uid long, n_tokens long, ids binary, df array<int>"
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("df", pa.list_(pa.int32()))])
+DEALT = "doc_id long, uid long, sketch long, ids binary"
+HASHES, RANK_BITS = 3, 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -147,9 +150,6 @@ def _tokenise(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(path)
         df = np.zeros(encoder.size, np.int32)
-        mixed = np.arange(encoder.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).astype(np.int64)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -157,12 +157,11 @@ def _tokenise(path: str):
                 rows = []
                 for doc_id, packed in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.frombuffer(packed, encoder.width)
-                    kinds = np.unique(ids)
-                    df[kinds] += 1
-                    rows.append((doc_id, uid, len(ids), int(mixed[kinds].min()), packed, None))
+                    df[np.unique(ids)] += 1
+                    rows.append((doc_id, uid, len(ids), packed, None))
                     uid += 1
                 yield _rows(rows)
-        yield _rows([(None, -1, 0, 0, None, df)])
+        yield _rows([(None, -1, 0, None, df)])
 
     return run
 
@@ -171,6 +170,47 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
 
 
+def sketch_ranks(df: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per min-hash the rank of each id and the id of each rank; an id is the least of a document's ids with a chance that grows with its squared idf."""
+    counts = df >= 2
+    counts[END] = False
+    out = []
+    for seed in range(1, HASHES + 1):
+        keys = np.random.default_rng(seed).exponential(size=len(df)) / np.maximum(idf.astype(float) ** 2, 1e-30)
+        ranks = np.full(len(df), len(df), np.int32)
+        order = np.argsort(np.where(counts, keys, np.inf), kind="stable")[: counts.sum()]
+        ranks[order] = np.arange(len(order))
+        named = np.full(len(df) + 1, len(df), np.int64)
+        named[: len(order)] = order
+        out.append((ranks, named))
+    return out
+
+
+def sketches(ids: np.ndarray, starts: np.ndarray, ranks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sketch of each document of a flat array; none is empty, as each has its end id.
+
+    It is made of ids, not ranks: long documents have low ranks, and would all be dealt to the first tasks.
+    """
+    out = np.zeros(len(starts), np.int64)
+    for rank, named in ranks:
+        out = out << RANK_BITS | named[np.minimum.reduceat(rank[ids], starts)]
+    return out
+
+
+def _sketched(ranks: list[tuple[np.ndarray, np.ndarray]], width: str):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = part.column(2).to_pylist()
+                size = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(width).itemsize
+                told = sketches(np.frombuffer(b"".join(raw), width), np.cumsum(size) - size, ranks)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(told), part.column(2)], names=["doc_id", "uid", "sketch", "ids"])
+
+    return run
+
+
 class Shard:
     """An inverted index over a bounded number of documents."""
 
@@ -314,7 +354,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     for at, count in tokens.filter("uid < 0").select(F.posexplode("df")).filter("col > 0").groupBy("pos").agg(F.sum("col")).collect():  # a row per id of the vocabulary
         df[at] = count
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    dealt = texts.repartitionByRange("sketch", "uid").sortWithinPartitions("sketch", "uid").select("doc_id", "ids")
+    dealt = texts.select("doc_id", "uid", "ids").mapInArrow(_sketched(sketch_ranks(df, idf), encoder.width), DEALT).repartitionByRange("sketch", "uid").sortWithinPartitions("sketch", "uid").select("doc_id", "ids")
     run = _pack(idf, max(1.0, (total or 0) / max(n, 1)), encoder.width, window, shard_tokens, shard_docs, query_terms, neighbours)
     return dealt.mapInArrow(run, PIECES)
 

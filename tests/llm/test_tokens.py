@@ -107,3 +107,26 @@ def test_packing_puts_neighbours_together(spark):
     for p in packing.pack_documents(df).collect():
         own[p["sequence_id"]].add(p["doc_id"] % 4)
     assert sum(map(len, own.values())) / len(own) < 2.2  # four at random
+
+
+def test_packing_sketches_tell_documents_apart():
+    r = np.random.default_rng(5)
+    docs = [np.append(r.choice(np.arange(1, 400), 40), packing.END) for _ in range(60)]
+    docs += docs[:20]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    size = np.array([len(d) for d in docs])
+    told = packing.sketches(np.concatenate(docs), np.cumsum(size) - size, packing.sketch_ranks(df, idf)).tolist()
+    assert told[60:] == told[:20] and len(set(told)) > 50 and min(told) >= 0
+
+
+def test_packing_copies_far_apart_meet(spark):
+    import random
+
+    r = random.Random(2)
+    texts = [cases.words(r, 40, "abcdefghijklmnop") for _ in range(60)]
+    df = spark.createDataFrame([(i, texts[i % 60]) for i in range(120)], "doc_id long, text string").coalesce(1)
+    own = defaultdict(set)
+    for p in packing.pack_documents(df, shard_docs=12).collect():
+        own[p["doc_id"]].add(p["sequence_id"])
+    assert sum(bool(own[i] & own[i + 60]) for i in range(60)) > 40  # none when rows are dealt in input order
