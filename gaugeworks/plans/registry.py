@@ -158,20 +158,31 @@ def compare_steps(spark, sf_dir):
     return told.drop("output_a", "output_b").orderBy("step_key")
 
 
+_ALL_POINTS = "SELECT event_type AS metric_name, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id % 2 = {0} GROUP BY event_type"
 _POINTS = "SELECT event_type AS metric_name, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id % 2 = {0} AND event_id % 50 = 0 GROUP BY event_type"
 
 
+def _compared_metrics(events):
+    """Events are points; users with even and odd ids are the two runs."""
+    rows = events.select("user_id", F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"), F.col("ts").alias("created_at"), F.col("event_id").alias("ord"))
+    told = compare.metric_rows(rows.filter("user_id % 2 = 0").drop("user_id"), rows.filter("user_id % 2 = 1").drop("user_id"))
+    total = F.aggregate(F.filter("deltas", lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v)
+    return told.select("metric_name", F.size("run_a").alias("n_a"), F.size("run_b").alias("n_b"), F.when(F.size(F.filter("deltas", lambda v: v.isNotNull())) > 0, _r(total, 4)).alias("delta_sum"), F.size(F.filter("deltas", lambda v: v.isNull())).alias("unmatched"), "direction", "same")
+
+
 @query(f"""WITH a AS ({_POINTS.format(0)}), b AS ({_POINTS.format(1)}),
 j AS (SELECT coalesce(a.metric_name, b.metric_name) AS metric_name, coalesce(a.v, []::DOUBLE[]) AS x, coalesce(b.v, []::DOUBLE[]) AS y FROM a FULL JOIN b ON a.metric_name = b.metric_name),
 d AS (SELECT *, list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: y[i] - x[i]) AS d FROM j)
 SELECT metric_name, len(x)::INT AS n_a, len(y)::INT AS n_b, round(list_sum(d), 4) AS delta_sum, len(list_filter(d, lambda v: v IS NULL))::INT AS unmatched,
 CASE WHEN len(list_filter(d, lambda v: v > 0)) > 0 AND len(list_filter(d, lambda v: v < 0)) > 0 THEN 'mixed' WHEN len(list_filter(d, lambda v: v > 0)) > 0 THEN 'up' WHEN len(list_filter(d, lambda v: v < 0)) > 0 THEN 'down' ELSE 'same' END AS direction, x = y AS same FROM d""")
 def compare_metrics(spark, sf_dir):
-    """Every fiftieth event is a point; users with even and odd ids are the two runs."""
-    rows = table(spark, sf_dir, "events").filter("event_id % 50 = 0").select("user_id", F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"), F.col("ts").alias("created_at"), F.col("event_id").alias("ord"))
-    told = compare.metric_rows(rows.filter("user_id % 2 = 0").drop("user_id"), rows.filter("user_id % 2 = 1").drop("user_id"))
-    total = F.aggregate(F.filter("deltas", lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v)
-    return told.select("metric_name", F.size("run_a").alias("n_a"), F.size("run_b").alias("n_b"), F.when(F.size(F.filter("deltas", lambda v: v.isNotNull())) > 0, _r(total, 4)).alias("delta_sum"), F.size(F.filter("deltas", lambda v: v.isNull())).alias("unmatched"), "direction", "same")
+    """Every fiftieth event, as the SQL has it; compare_metrics_all takes every one."""
+    return _compared_metrics(table(spark, sf_dir, "events").filter("event_id % 50 = 0"))
+
+
+@query(ORACLES["compare_metrics"].replace(_POINTS.format(0), _ALL_POINTS.format(0)).replace(_POINTS.format(1), _ALL_POINTS.format(1)))
+def compare_metrics_all(spark, sf_dir):
+    return _compared_metrics(table(spark, sf_dir, "events"))
 
 
 def _points(spark, sf_dir):

@@ -19,3 +19,9 @@ def test_confidence_interval_of_large_groups(spark, tmp_path):
     for segment, own in (("A", values), ("B", values[:60])):
         mean, half = statistics.fmean(own), stats.t_quantile(0.975, len(own) - 1) * statistics.stdev(own) / math.sqrt(len(own))
         assert [told[segment][c] for c in ("mean", "low", "high")] == pytest.approx([mean, mean - half, mean + half], abs=1e-4)
+
+
+def test_every_event_is_compared(spark):
+    events = pd.read_parquet("/root/testdata/sf0.001/events.parquet")
+    told = registry.compare_metrics_all(spark, "/root/testdata/sf0.001").toPandas()
+    assert told["n_a"].sum() + told["n_b"].sum() == len(events)
