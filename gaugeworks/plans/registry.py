@@ -201,6 +201,12 @@ def metric_scan(spark, sf_dir):
     return metric_source.scan(_points(spark, sf_dir).filter("run_id % 10 = 3"))
 
 
+@query(_SCAN)
+def metric_scan_all(spark, sf_dir):
+    """The points of all runs; metric_scan has those that its SQL names."""
+    return metric_source.scan(_points(spark, sf_dir))
+
+
 @query(f"SELECT * FROM ({_SCAN}) WHERE step_id IS NULL")
 def metric_scan_aggregate(spark, sf_dir):
     return metric_source.scan(_points(spark, sf_dir), aggregate_only=True)
@@ -292,6 +298,14 @@ def index_answers(spark, sf_dir):
     return rows.select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in LABELS]), at + 1).alias("golden"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN chr(65 + (p_size % 5)::INT) END AS golden FROM part")
+def index_answers_all(spark, sf_dir):
+    """Every part; one whose index is outside the four choices has no golden label."""
+    at = prepare.index_answer((F.col("p_size") % 5 + 1).cast("string"), F.lit(4), 1)
+    golden = F.when(F.col("p_size") % 5 < 4, F.element_at(F.array(*[F.lit(x) for x in LABELS]), at + 1))
+    return table(spark, sf_dir, "part").select("p_partkey", golden.alias("golden"))
+
+
 @query("SELECT p_partkey, 'Part ' || p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'Answer:' AS prompt FROM part")
 def rendered_prompts(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("choices", F.array(F.struct(F.lit("A").alias("label"), F.col("p_brand").alias("text")), F.struct(F.lit("B").alias("label"), F.col("p_type").alias("text"))))

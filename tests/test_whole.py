@@ -25,3 +25,10 @@ def test_every_event_is_compared(spark):
     events = pd.read_parquet("/root/testdata/sf0.001/events.parquet")
     told = registry.compare_metrics_all(spark, "/root/testdata/sf0.001").toPandas()
     assert told["n_a"].sum() + told["n_b"].sum() == len(events)
+
+
+def test_every_point_and_part_is_there(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert registry.metric_scan_all(spark, sf_dir).count() == len(pd.read_parquet(f"{sf_dir}/events.parquet", columns=["event_id"]))
+    told = registry.index_answers_all(spark, sf_dir).toPandas()
+    assert len(told) == len(pd.read_parquet(f"{sf_dir}/part.parquet", columns=["p_partkey"])) and told["golden"].isna().any()
