@@ -224,7 +224,8 @@ def _distinct(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.nda
 
 
 def _count(path: str, parts: int, classes: int):
-    """Rows of kind 0: counts of the block's words, and 255ths of them by class; of kind 1: expected uses of the pieces."""
+    """Rows of kind 0: counts of the block's words by class, an entry for each that isn't 0 and one for a word without
+    any; of kind 1: expected uses of the pieces."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +239,10 @@ def _count(path: str, parts: int, classes: int):
                 at = np.concatenate([np.zeros(0, np.int64), *(ids[i] * classes + kind[i] for i in used.tolist())])
                 by_class = np.bincount(at, minlength=len(names) * classes).reshape(len(names), classes)
                 counts = by_class.sum(axis=1).astype(np.int32)
-                shares = np.rint(255 * by_class / np.maximum(counts, 1)[:, None]).astype(np.uint8)
-                rows = packed_rows(0, block, hashes, [counts, *(np.ascontiguousarray(shares[:, k]) for k in range(classes))], parts)
+                told = by_class > 0
+                told[counts == 0, 0] = True
+                word, of = np.nonzero(told)
+                rows = packed_rows(0, block, hashes[word], [by_class[word, of].astype(np.int32), of.astype(np.uint8)], parts)
                 seen = np.flatnonzero(counts)
                 uses = expected_counts(trie, trie.start, [names[i] for i in seen.tolist()], counts[seen])
                 rows.append((1, 0, block, len(used), uses.astype(np.float32).tobytes()))
@@ -249,19 +252,26 @@ def _count(path: str, parts: int, classes: int):
 
 
 def _total(classes: int):
-    """Whole counts and their shares by class. The first block of a range is told the range's statistics too:
+    """Counts by class of each block's distinct hashes: numbers of hashes, of entries and of statistics, then the entries
+    of each hash, their classes and their counts. The first block of a range is told the range's statistics too:
     tokens, kinds, kinds seen once and twice, and by class tokens and (fractional) kinds."""
 
     def answer(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
-        keys, counts, *shares = columns_of(sizes, data, [np.uint64, np.int32, *[np.uint8] * classes])
-        _, place = np.unique(keys, return_inverse=True)
-        whole = np.bincount(place, weights=counts)
-        own = np.stack([np.bincount(place, weights=counts * (x / 255.0)) for x in shares], axis=1)
+        keys, counts, of = columns_of(sizes, data, [np.uint64, np.int32, np.uint8])
+        kinds, place = np.unique(keys, return_inverse=True)
+        own = np.bincount(place * classes + of, weights=counts, minlength=len(kinds) * classes).reshape(-1, classes)
+        whole = own.sum(axis=1)
         part = own / np.maximum(whole, 1)[:, None]
-        told, shown = whole.astype(np.int64)[place], np.rint(255 * part).clip(0, 255).astype(np.uint8)[place]
-        ends = np.cumsum(sizes)
-        out = [told[a:b].tobytes() + np.ascontiguousarray(shown[a:b].T).tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         statistics = np.array([whole.sum(), (whole > 0).sum(), (whole == 1).sum(), (whole == 2).sum(), *own.sum(axis=0), *part.sum(axis=0)])
+        out = []
+        ends = np.cumsum(sizes)
+        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+            at = place[a:b]
+            mine = own[at[np.append(True, at[1:] != at[:-1])]]
+            word, shown = np.nonzero(mine)
+            entries = np.bincount(word, minlength=len(mine)).astype(np.uint8)
+            head = np.array([len(mine), len(word), 0 if out else 1], "<i8")
+            out.append(head.tobytes() + entries.tobytes() + shown.astype(np.uint8).tobytes() + mine[word, shown].astype(np.int64).tobytes())
         out[0] += statistics.tobytes()
         return out
 
@@ -269,13 +279,17 @@ def _total(classes: int):
 
 
 def _answers(told: list[dict] | None, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's whole counts and their shares by class, in order of the words' hashes."""
-    counts, shares = [np.zeros(0, np.int64)], [np.zeros((0, classes))]
+    """Whole counts of a block's distinct hashes and their shares by class, in order of the hashes."""
+    counts = [np.zeros((0, classes))]
     for a in sorted(told or (), key=lambda a: a["part"]):
-        n = a["n"]
-        counts.append(np.frombuffer(a["data"], np.int64, n))
-        shares.append(np.frombuffer(a["data"], np.uint8, n * classes, 8 * n).reshape(classes, n).T / 255.0)
-    return np.concatenate(counts), np.concatenate(shares)
+        n, entries, _ = np.frombuffer(a["data"], "<i8", 3).tolist()
+        own = np.zeros((n, classes))
+        word = np.repeat(np.arange(n), np.frombuffer(a["data"], np.uint8, n, 24))
+        own[word, np.frombuffer(a["data"], np.uint8, entries, 24 + n)] = np.frombuffer(a["data"], np.int64, entries, 24 + n + entries)
+        counts.append(own)
+    own = np.concatenate(counts)
+    whole = own.sum(axis=1)
+    return whole.astype(np.int64), own / np.maximum(whole, 1)[:, None]
 
 
 def _sum_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +327,11 @@ def _score(path: str, weights: np.ndarray, n: float, v: float, discount: float,
         for batch in batches:
             for payload, told in zip(batch.column(0), batch.column(1)):
                 table = unpacked(payload.as_py())
-                names, ids, _ = _distinct(table.column("text").to_pylist())
+                names, ids, hashes = _distinct(table.column("text").to_pylist())
                 c, shares = _answers(told.as_py(), classes)
+                if len(c) < len(names):  # words of one hash share their counts
+                    place = np.unique(hashes, return_inverse=True)[1]
+                    c, shares = c[place], shares[place]
                 base = np.log10((c + 0.1) / below) if n else np.zeros(len(c))
                 whole_word = np.maximum(c - discount, 0.0)[:, None] * (shares * own + rest)
                 inside = marginals(trie, weights, names)
@@ -369,8 +386,8 @@ def lattice_scores(docs: DataFrame, held_out, path: str | None = None, class_col
     parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = materialise(blocks.select("block", "payload").mapInArrow(_count(path, parts, classes), PACKED), "lattice-counts")
     told = materialise(answered(packed.filter("kind = 0"), _total(classes)), "lattice-totals")
-    size = F.lit(8 + classes) * F.col("n")
-    extra = told.filter(F.length("data") > size).select(F.substring("data", (size + 1).cast("int"), F.lit(1 << 30)))
+    size = 8 * (4 + 2 * classes)
+    extra = told.filter(F.substring("data", 17, 1) == F.lit(b"\x01")).select(F.substring("data", -size, size))
     words = sum((np.frombuffer(r[0], np.float64) for r in extra.collect()), np.zeros(4 + 2 * classes))  # a few numbers per range
     summed = packed.filter("kind = 1").select("n", "data").mapInArrow(_sum_uses, "docs long, uses array<double>")
     trie = pieces_of(path)

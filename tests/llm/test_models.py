@@ -179,3 +179,24 @@ def test_toxicity_cases(spark):
     assert {r["score"] for r in toxicity.toxicity(df, fold(4) == 2, one).collect()} == {0.0}
     assert toxicity.toxicity(cases.empty(spark), fold(4) == 2, scorer).count() == 0
     assert toxicity.windows_of(10) == [0] and toxicity.windows_of(33) == [0, 1] and toxicity.windows_of(80) == [0, 16, 32, 48]
+
+
+def test_lattice_keeps_counts_of_a_rare_class():
+    import pyarrow as pa
+
+    from gaugeworks.llm import blocks
+
+    texts = [b"the cat sat"] * 499 + [b"the dog sat"]  # the second class has 0.2 % of the rows
+    table = pa.table({"text": pa.array(texts, pa.binary()), "held_out": [False] * 500, "class": [0] * 499 + [1]})
+    batch = pa.record_batch({"block": pa.array([0, 1]), "payload": pa.array([blocks._packed(table)] * 2, pa.binary())})
+    count = lattice_lm._count(vocabulary_path("piece_bpe_32k.model"), 1, 2)
+    rows = [r for b in count(iter([batch])) for r in b.to_pylist() if r["kind"] == 0]
+    data = lattice_lm._total(2)(0, np.array([r["n"] for r in rows]), [r["data"] for r in rows])
+    words = np.frombuffer(data[0][-64:], np.float64)
+    tokens, kinds, discount = words[4:6], words[6:8], 0.5
+    assert tokens.tolist() == [2 * 3 * 499, 6]
+    for r, told in zip(rows, data):
+        c, shares = lattice_lm._answers([{"part": 0, "n": r["n"], "data": told}], 2)
+        assert sorted(c.tolist()) == [2, 998, 1000, 1000]
+        assert np.allclose((c[:, None] * shares).sum(axis=0), tokens)
+        assert np.allclose(((c - discount)[:, None] * shares).sum(axis=0) / tokens + discount * kinds / tokens, 1)
