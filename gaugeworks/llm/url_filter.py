@@ -1,6 +1,7 @@
 """URL verdicts: explicit rules first, then a path-template tree with labelled purity.
 
-Per host the paths form a tree of segments. Segments that look like identifiers become wildcards, and
+Per host the first two segments of the paths form a tree; deeper ones don't count, so pages that differ only
+below the second level have one template. Segments that look like identifiers become wildcards, and
 so do the rare children of a node with more than `max_children` of them. Sibling branches whose shares
 of blocked pages do not differ by a two-proportion test are merged. A template is rejected if its
 labelled pages (those that a rule has judged) number at least `min_support` and the smoothed share of
