@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import work_folder, work_table
 
 BLOCK_BYTES = 4 << 20
+#: Bytes of text whose keys one owner sees.
+OWNED_BYTES = 16 << 20
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -69,6 +71,12 @@ def write_blocks(rows: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) ->
     return spark.table(table)
 
 
+def key_ranges(blocks: DataFrame, owned_bytes: int = OWNED_BYTES) -> int:
+    """Number of key ranges: it grows with the blocks, so that an owner's share doesn't."""
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    return max(4 * max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-total // owned_bytes))
+
+
 def with_answers(blocks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
     """blocks with an array of the structs that came back for each; blocks themselves don't move."""
     fields = [c for c in answers.columns if c != "block"]
@@ -96,19 +104,19 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "part", "block", "n", "data"])
 
 
-def answered(packed: DataFrame, answer: Callable[[int, np.ndarray, list[bytes], np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """The owner of each (kind, range) sees its arrays in block order and answers each of them.
+def answered(packed: DataFrame, answer: Callable[[int, np.ndarray, list[bytes]], list[bytes]], kinds_apart: bool = True) -> DataFrame:
+    """The owner of each (kind, range), or of each range, sees its arrays in block order and answers each of them.
 
-    answer(kind, sizes, data) returns one byte string for each array.
+    answer(kind, sizes, data) returns one byte string for each array; kind is that of the first one.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
+        table = table.sort_by([("block", "ascending"), ("kind", "ascending")])
         kind = table.column("kind")[0].as_py()
         replies = answer(kind, table.column("n").to_numpy(), table.column("data").to_pylist())
         return pa.table({"kind": table.column("kind"), "part": table.column("part"), "block": table.column("block"), "n": table.column("n"), "data": pa.array(replies, pa.binary())})
 
-    return packed.groupBy("kind", "part").applyInArrow(run, PACKED)
+    return packed.groupBy(*["kind"] * kinds_apart, "part").applyInArrow(run, PACKED)
 
 
 def joined(answers: list[dict], kind: int, dtype) -> np.ndarray:

@@ -1,25 +1,29 @@
 """Removal of repeated byte windows by a depth-limited radix sort of suffixes.
 
-Two suffixes are equal as far as the threshold goes if their windows of `length` bytes are equal. The
-windows are refined from the most significant digit down, and what stands alone after a digit is dropped:
-
-1. The leading digit of a window is its minimal 16-byte gram (by hash, leftmost): a function of the
-   window's bytes, so equal windows share it at the same offset. Consecutive windows with one minimum are
-   a run, and travel as one entry with a hash of the bytes that the run spans. Owners of digit ranges
-   learn which digits occur once (dropped), with one content (all of its windows repeat), or with several;
-   owners of content ranges learn which contents repeat.
-2. Runs whose digit has several contents send their bytes, one copy per content, to the owner of the
-   digit, which refines their windows by five digits of 40 bytes and compares the bytes of the groups
-   that are left. These groups are exactly the repeated windows. Digits with more than `hot` contents are
-   instead refined window by window, by counting rows in a shuffle that combines before it moves.
-3. Blocks of documents get their intervals back and cut them out.
-
-Each block tells an owner a digit or a content once, so a passage that a third of the documents share is
-as many entries as there are blocks.
-
-Cases: a null text is empty; texts shorter than the window keep all bytes; repeated rows repeat each
-other; a cut may split a character, kept bytes are counted and hashed as bytes, and `text` drops the
-halves; an empty table gives an empty result; other columns pass through untouched.
+Two suffixes are equal as far as the threshold goes if their windows of `length` bytes are equal. The windows are
+refined from the most significant digit down, and what stands alone after a digit is dropped:
+
+1. The leading digit of a window is its minimal gram, a fifth of the window long (by hash, the leftmost of equal
+   ones): a function of the window's bytes alone, so equal windows share it at the same offset. Consecutive windows
+   with one minimum are a run and travel as one entry, with a hash of the bytes that the run spans. Owners of digit
+   ranges learn which digits have several contents; owners of content ranges learn which contents repeat: all windows
+   of such a run do, those of a content that is alone under its digit don't.
+2. The windows of contents that are alone, but share their digit with others, take the remaining digits at once.
+   Each block sends a window's key once; owners of key ranges answer which keys occur again. Of a content that
+   repeats, one block sends the windows for all. Equal groups are exactly the repeated windows.
+3. Blocks of documents mark the answered windows and cut them out.
+
+Every exchange is of packed sorted arrays, an entry for each block and key: a passage that a third of the documents
+share is as many entries as there are blocks, never rows of windows, and no owner holds more than the keys of a fixed
+number of bytes and an entry per block of a hot one.
+
+Contents and windows are compared by 128 bits; among 10^13 of them two different ones meet with a chance of 10^-13.
+The leading digit's 63 bits only decide what is compared at all: digits that meet cost a comparison, not a result.
+
+Cases: a null text is empty; texts shorter than the window keep all bytes; a very long text is one row of one block
+and is worked on in pieces; repeated rows and ties repeat each other; a cut may split a character, kept bytes are
+counted and hashed as bytes, and `text` drops the halves; an empty table gives an empty result; other columns pass
+through untouched.
 """
 
 from __future__ import annotations
@@ -33,207 +37,139 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.blocks import PACKED, answered, columns_of, joined, packed_batch, packed_rows, unpacked, with_answers, write_blocks
+from gaugeworks.llm.blocks import PACKED, answered, columns_of, joined, key_ranges, packed_batch, packed_rows, unpacked, with_answers, write_blocks
 from gaugeworks.llm.common import documents, materialise, released
-from gaugeworks.llm.windows import C1, C2, bytes_of, digit_hashes, loaded_words, super_windows
+from gaugeworks.llm.windows import C1, bytes_of, grouped, super_windows, window_keys
 
 LENGTH = 200
-DIGIT = 40
-FOUND = "block long, digit long, lone boolean, text long, start long, n long, data binary, spans binary"
-_FOUND = pa.schema([("block", pa.int64()), ("digit", pa.int64()), ("lone", pa.bool_()), ("text", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("spans", pa.binary())])
+DIGITS, CONTENTS, WINDOWS = 0, 1, 2  # kinds of packed arrays; WINDOWS and above: pieces of a block
+DECIDED = -1
 
 
-def _runs(payload: bytes, length: int):
-    """data, starts of the texts, and per run: text, place, number of windows, digit, content, pair."""
-    data, starts, ends = bytes_of(unpacked(payload).column("text"))
-    text, place, n, digit = super_windows(data, starts, ends, length)
-    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-    content = np.fromiter((digest(view[a:b]) for a, b in zip(place.tolist(), (place + n + length - 1).tolist())), np.uint64, len(place))
-    return data, starts, text, place, n, digit, content, (digit * C1) ^ (content * C2)
+def _texts(payload: bytes):
+    return bytes_of(unpacked(payload).column("text"))
 
 
-def _announce(length: int, parts: int):
+def _runs(payload: bytes, length: int, at_once: int):
+    """data, starts of the texts, and per run: text, place, number of windows, digit spread over 64 bits, two words of content."""
+    data, starts, ends = _texts(payload)
+    text, place, n, digit = super_windows(data, starts, ends, length, length // 5, at_once)
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    content = np.frombuffer(b"".join(digest(view[a:b]) for a, b in zip(place.tolist(), (place + n + length - 1).tolist())), "<u8").reshape(-1, 2)
+    return data, starts, text, place, n, digit * C1, content[:, 0].copy(), content[:, 1].copy()
+
+
+def _announce(length: int, parts: int, at_once: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                *_, digit, content, pair = _runs(payload.as_py(), length)
+                *_, digit, high, low = _runs(payload.as_py(), length, at_once)
                 if not len(digit):
                     continue
-                order = np.lexsort((content, digit))
-                digits, first, many = np.unique(digit[order], return_index=True, return_counts=True)
-                least, most = content[order][first], content[order][np.append(first[1:], len(order)) - 1]
-                spread = digits << np.uint64(1)  # digits have 63 bits; ranges are of 64
-                rows = packed_rows(0, block, spread, [least, most, (many > 1).astype(np.uint8)], parts)
-                pairs, many = np.unique(pair, return_counts=True)
-                rows += packed_rows(1, block, pairs, [(many > 1).astype(np.uint8)], parts)
+                order = np.lexsort((high, digit))
+                digits, first = np.unique(digit[order], return_index=True)
+                least, most = high[order][first], high[order][np.append(first[1:], len(order)) - 1]
+                rows = packed_rows(DIGITS, block, digits, [least, most], parts)
+                _, first, many = grouped(high, low)
+                rows += packed_rows(CONTENTS, block, high[first], [low[first], (many > 1).astype(np.uint8)], parts)
                 yield packed_batch(rows)
 
     return run
 
 
 def _answer(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
-    """Digits: 0 once, 1 repeated with one content, 2 several contents. Contents: 0 once, 1 repeated, 2 repeated and this block shows it."""
-    if kind == 0:
-        keys, least, most, many = columns_of(sizes, data, [np.uint64, np.uint64, np.uint64, np.uint8])
-    else:
-        keys, many = columns_of(sizes, data, [np.uint64, np.uint8])
-    _, first, place, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    total = count + np.bincount(place, weights=many).astype(np.int64)
-    if kind == 0:
-        order = np.argsort(place, kind="stable")
+    """Digits: whether they have several contents. Contents and windows: 0 alone, 1 repeated, 2 repeated and this block is the first to have it."""
+    if kind == DIGITS:
+        keys, least, most = columns_of(sizes, data, [np.uint64] * 3)
+        number, _, count = grouped(keys, keys)
+        order = np.argsort(number, kind="stable")
         cuts = np.cumsum(count) - count
-        mixed = np.minimum.reduceat(least[order], cuts) != np.maximum.reduceat(most[order], cuts)
-        state = np.where(mixed, 2, total > 1).astype(np.uint8)[place]
+        state = (np.minimum.reduceat(least[order], cuts) != np.maximum.reduceat(most[order], cuts)).astype(np.uint8)[number]
     else:
-        state = (total > 1).astype(np.uint8)[place]
+        high, low, many = columns_of(sizes, data, [np.uint64, np.uint64, np.uint8])
+        number, first, count = grouped(high, low)
+        state = (count + np.bincount(number, weights=many) > 1).astype(np.uint8)[number]
         state[first] *= 2
     ends = np.cumsum(sizes)
     return [state[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
-def _spans(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
-    return np.stack([text, start, end], axis=1).astype("<i4").tobytes()
+def _asked(data: np.ndarray, place: np.ndarray, n: np.ndarray, length: int, at_once: int):
+    """Pieces of the runs that need more digits: their windows' two keys, and the groups of equal windows."""
+    ends = np.cumsum(n + length - 1)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * at_once, side="right")))
+        size = n[a:b] + length - 1
+        base = np.cumsum(size) - size
+        own = data[np.arange(size.sum()) + np.repeat(place[a:b] - base, size)]
+        windows = np.arange(n[a:b].sum()) + np.repeat(base - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+        high, low = window_keys(own, windows, length)
+        yield a, b, high, low, grouped(high, low)
+        a = b
 
 
-def _sort_out(length: int):
-    """Intervals that are certain, and the bytes of runs that need more digits."""
+def _sort_out(length: int, parts: int, at_once: int):
+    """Per block: what is certain and which runs are open, and the keys of the open runs' windows."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data, starts, text, place, n, digit, content, pair = _runs(payload.as_py(), length)
+                data, starts, text, place, n, digit, high, low = _runs(payload.as_py(), length, at_once)
                 if not len(digit):
                     continue
                 told = told.as_py()
-                digits, pairs = np.unique(digit), np.unique(pair)
-                state = joined(told, 0, np.uint8)[np.searchsorted(digits, digit)]
-                shown = joined(told, 1, np.uint8)[np.searchsorted(pairs, pair)]
+                digits, at = np.unique(digit, return_inverse=True)
+                mixed = joined(told, DIGITS, np.uint8)[at] > 0
+                number, first, _ = grouped(high, low)
+                state = joined(told, CONTENTS, np.uint8)
+                shows = np.zeros(len(n), bool)
+                shows[first] = state[number[first]] == 2
+                sure = state[number] > 0
                 start = place - starts[text]
-                sure = (state == 1) | (shown > 0)
-                rows = [(block, None, None, None, None, None, None, _spans(text[sure], start[sure], (start + n + length - 1)[sure]))] if sure.any() else []
-                first = np.zeros(len(pair), bool)
-                first[np.unique(pair, return_index=True)[1]] = True
-                ask = np.flatnonzero((state == 2) & ((shown == 0) | (shown == 2) & first))
-                whole, signed = data.tobytes(), digit.astype(np.int64)
-                for i in ask.tolist():
-                    a = int(place[i])
-                    rows.append((block, int(signed[i]), bool(shown[i] == 0), int(text[i]), int(start[i]), int(n[i]), whole[a : a + int(n[i]) + length - 1], None))
+                open_ = mixed & (~sure | shows)
+                decided = [np.stack([text[k], start[k], n[k]], axis=1).astype("<i4").tobytes() for k in (sure, open_)]
+                rows = [(DECIDED, -1, block, int(sure.sum()), b"".join(decided))] if sure.any() or open_.any() else []
+                for piece, (_, _, high, low, (_, first, many)) in enumerate(_asked(data, place[open_], n[open_], length, at_once)):
+                    rows += packed_rows(WINDOWS + piece, block, high[first], [low[first], (many > 1).astype(np.uint8)], parts)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
-
-    return run
-
-
-def _intervals(rows: list[tuple], row: np.ndarray, offset: np.ndarray, length: int) -> list[tuple]:
-    """Runs of flagged windows of each row, packed by block. row, offset: sorted flagged windows."""
-    if not len(row):
-        return []
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-    last = np.append(new[1:], len(row)) - 1
-    blocks = np.array([r[1] for r in rows], np.int64)[row[new]]
-    text = np.array([r[3] for r in rows], np.int64)[row[new]]
-    base = np.array([r[4] for r in rows], np.int64)[row[new]]
-    start, end = base + offset[new], base + offset[last] + length
-    order = np.argsort(blocks, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(blocks[order]) != 0])) if len(order) else []
-    return [(int(blocks[order[a]]), _spans(text[order[a:b]], start[order[a:b]], end[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(order)])]
-
-
-def refine(rows: list[tuple], length: int) -> list[tuple]:
-    """rows: (digit, block, lone, text, start, n, data), equal digits together. Repeated windows of the lone ones."""
-    data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-    sizes = np.array([len(r[6]) for r in rows], np.int64)
-    n = np.array([r[5] for r in rows], np.int64)
-    row = np.repeat(np.arange(len(rows)), n)
-    offset = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    place = (np.cumsum(sizes) - sizes)[row] + offset
-    key = np.array([r[0] for r in rows], np.int64).astype(np.uint64)[row] * C1
-    for at in range(0, length, DIGIT):
-        width = min(DIGIT, length - at)
-        key = (key ^ digit_hashes(data, place + at, width)) * C2
-        key ^= key >> np.uint64(31)
-        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-        stay = count[where] > 1
-        row, offset, place, key = row[stay], offset[stay], place[stay], key[stay]
-    # The digits are hashes: compare the bytes of each window with the one before it in its group.
-    order = np.lexsort((place, key))
-    row, offset, place, key = row[order], offset[order], place[order], key[order]
-    same = np.concatenate([[False], key[1:] == key[:-1]])
-    words = loaded_words(data)
-    differs = np.zeros(len(place), bool)
-    later = np.flatnonzero(same)
-    for k in [*range(0, length - 8, 8), length - 8] if length >= 8 else []:
-        differs[later] |= words[place[later] + k] != words[place[later - 1] + k]
-    flagged = np.ones(len(place), bool)
-    if differs.any():  # a hash met by different bytes: such groups are settled by the bytes themselves
-        for bad in np.unique(key[differs]):
-            members = np.flatnonzero(key == bad)
-            texts = [data[p : p + length].tobytes() for p in place[members].tolist()]
-            flagged[members] = [texts.count(t) > 1 for t in texts]
-    lone = np.array([r[2] for r in rows], bool)
-    flagged &= lone[row] if len(row) else flagged
-    row, offset = row[flagged], offset[flagged]
-    order = np.lexsort((offset, row))
-    return _intervals(rows, row[order], offset[order], length)
-
-
-def _own(length: int, held_bytes: int):
-    def out(spans):
-        return pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.binary())], names=["block", "spans"])
-
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            for line in zip(*(c.to_pylist() for c in batch.columns)):
-                if held > held_bytes and line[0] != rows[-1][0]:
-                    if spans := refine(rows, length):
-                        yield out(spans)
-                    rows, held = [], 0
-                rows.append(line)
-                held += len(line[6])
-        if rows and (spans := refine(rows, length)):
-            yield out(spans)
+                    yield packed_batch(rows)
 
     return run
 
 
-def _each_window(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for digit, block, lone, text, start, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                k = range(n)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(data[i : i + length]) for i in k], pa.binary()), pa.array([block] * n, pa.int64()), pa.array([lone] * n), pa.array([text] * n, pa.int64()), pa.array([start + i for i in k], pa.int64())], names=["window", "block", "lone", "text", "start"])
-
-    return run
-
+def _covered(data: np.ndarray, starts: np.ndarray, told: list[dict], length: int, at_once: int) -> np.ndarray:
+    """Which bytes of a block go."""
+    step = np.zeros(len(data) + 1, np.int32)
 
-def _pack_windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, text, start = (batch.column(i).to_numpy() for i in range(3))
-            spans = [(b, _spans(text[block == b], start[block == b], start[block == b] + length)) for b in np.unique(block).tolist()]
-            if spans:
-                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.binary())], names=["block", "spans"])
+    def mark(place, n):
+        np.add.at(step, place, 1)
+        np.add.at(step, place + n + length - 1, -1)
 
-    return run
+    for decided in (t for t in told if t["kind"] == DECIDED):
+        runs = np.frombuffer(decided["data"], "<i4").reshape(-1, 3).astype(np.int64)
+        place, n = starts[runs[:, 0]] + runs[:, 1], runs[:, 2]
+        sure = decided["n"]
+        mark(place[:sure], n[:sure])
+        place, n = place[sure:], n[sure:]
+        for piece, (a, b, _, _, (number, _, _)) in enumerate(_asked(data, place, n, length, at_once)):
+            hit = np.flatnonzero(joined(told, WINDOWS + piece, np.uint8)[number])
+            row = np.repeat(np.arange(a, b), n[a:b])
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            mark(place[row[hit]] + offset[hit], np.ones(len(hit), np.int64))
+    return np.cumsum(step[:-1]) > 0
 
 
-def _cut_out(names: list[str]):
+def _cut_out(names: list[str], length: int, at_once: int):
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, told in zip(batch.column(0), batch.column(1)):
                 table = unpacked(payload.as_py())
                 data, starts, ends = bytes_of(table.column("text"))
-                spans = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(x["spans"], "<i4").reshape(-1, 3) for x in told.as_py() or ())]).astype(np.int64)
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, starts[spans[:, 0]] + spans[:, 1], 1)
-                np.add.at(step, starts[spans[:, 0]] + spans[:, 2], -1)
-                gone = np.cumsum(step[:-1]) > 0
+                gone = _covered(data, starts, told.as_py() or [], length, at_once)
                 n_removed, n_spans, sha, kept = [], [], [], []
                 for a, b in zip(starts.tolist(), ends.tolist()):
                     own = gone[a:b]
@@ -251,29 +187,24 @@ def _cut_out(names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = 4_000, held_bytes: int = 4 << 20) -> DataFrame:
-    """docs with their texts cut, and _gw_bytes, _gw_removed, _gw_spans, _gw_sha256 of what was cut and kept."""
-    spark = docs.sparkSession
+def remove_repeats(docs: DataFrame, length: int = LENGTH, at_once: int = 1 << 20) -> DataFrame:
+    """docs with their texts cut, and _gw_bytes, _gw_removed, _gw_spans, _gw_sha256 of what was cut and kept.
+
+    length: bytes of a window, 40 at least. at_once: bytes that a task works on together.
+    """
+    if length < 40 or at_once + 2 * length >= 1 << 21:
+        raise ValueError("windows have 40 bytes at least, and pieces less than 2^21")
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     blocks = write_blocks(rows, "repeats")
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    told = answered(blocks.select("block", "payload").mapInArrow(_announce(length, parts), PACKED), _answer)
-    found = with_answers(blocks.select("block", "payload"), told, "told").select("block", "payload", "told").mapInArrow(_sort_out(length), FOUND)
-    found = materialise(found, "repeats-found")
-    open_ = found.filter("digit is not null").select("digit", "block", "lone", "text", "start", "n", "data")
-    spans = found.filter("spans is not null").select("block", "spans")
-    kinds = materialise(open_.groupBy("digit").count().filter(F.col("count") > hot), "repeats-hot")
-    usual = open_
-    if kinds.limit(1).count():  # never an issue of memory, only of where the windows are compared
-        usual = open_.join(kinds, "digit", "left_anti")
-        each = open_.join(kinds, "digit", "left_semi").mapInArrow(_each_window(length), "window binary, block long, lone boolean, text long, start long")
-        twice = each.groupBy("window").count().filter("count > 1")
-        lone = each.filter("lone").join(twice, "window", "left_semi").select("block", "text", "start")
-        spans = spans.unionByName(lone.mapInArrow(_pack_windows(length), "block long, spans binary"))
-    owned = usual.repartition("digit").sortWithinPartitions("digit").mapInArrow(_own(length, held_bytes), "block long, spans binary")
+    payloads, parts = blocks.select("block", "payload"), key_ranges(blocks)
+    told = answered(payloads.mapInArrow(_announce(length, parts, at_once), PACKED), _answer)
+    asked = with_answers(payloads, told, "told").select("block", "payload", "told").mapInArrow(_sort_out(length, parts, at_once), PACKED)
+    asked = materialise(asked, "repeats-asked")
+    decided = asked.filter(F.col("kind") == DECIDED)
+    told = decided.unionByName(answered(asked.filter(F.col("kind") >= WINDOWS), _answer, kinds_apart=False))
     fields = [f"`{f.name.replace('`', '``')}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields]
     schema = ", ".join([*fields, "_gw_bytes long, _gw_removed long, _gw_spans long, _gw_sha256 string"])
-    return with_answers(blocks.select("block", "payload"), spans.unionByName(owned), "told").select("payload", "told").mapInArrow(_cut_out(docs.columns), schema)
+    return with_answers(payloads, told, "told").select("payload", "told").mapInArrow(_cut_out(docs.columns, length, at_once), schema)
 
 
 def op9_repeats(spark, sf_dir):

@@ -65,9 +65,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot, held", [(4000, 1 << 22), (1, 1 << 22), (4000, 500)])
-def test_repeats(spark, hot, held):
-    df = cases.docs(spark).repartition(2)
+@pytest.mark.parametrize("at_once, parts", [(1 << 20, 2), (1 << 20, 9), (700, 2)])
+def test_repeats(spark, at_once, parts):
+    df = cases.docs(spark).repartition(parts)
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     texts = [(t or "").encode() for _, t in rows]
     want = Counter()
@@ -75,7 +75,7 @@ def test_repeats(spark, hot, held):
         kept = bytes(b for b, g in zip(t, gone) if not g)
         spans = sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
         want[(i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())] += 1
-    told = repeats.remove_repeats(df, hot=hot, held_bytes=held)
+    told = repeats.remove_repeats(df, at_once=at_once)
     assert told.columns[: len(df.columns)] == df.columns
     got = Counter((r["doc_id"], r["_gw_bytes"], r["_gw_removed"], r["_gw_spans"], r["_gw_sha256"]) for r in told.collect())
     assert got == want
@@ -95,6 +95,49 @@ def test_window_minima():
     assert windows.window_minima(v, 7).tolist() == [i + int(np.argmin(v[i : i + 7])) for i in range(494)]
 
 
+def test_anchors_depend_on_their_window_alone():
+    """Values that agree in their upper bits, in buffers of very different length."""
+    r = np.random.default_rng(1)
+    v = (r.integers(5, 9, 200).astype(np.uint64) << np.uint64(40)) | r.integers(0, 1 << 10, 200).astype(np.uint64)
+    want = windows.window_minima(v, 50)
+    for n in (1, 1000, 1 << 20):
+        rest = np.full(n, (1 << 62) + 5, np.uint64)
+        assert (windows.window_minima(np.concatenate([v, rest]), 50)[:151] == want).all()
+        assert (windows.window_minima(np.concatenate([rest, v]), 50)[n:] - n == want).all()
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 300, 64])
+def test_runs_of_a_cut_text(at_once):
+    """A text cut into pieces has the same windows under the same digits."""
+    data = np.frombuffer(cases.texts()[0].encode() * 3 + b"ab" * 300, np.uint8)
+    starts, ends = np.array([0, 90, 100]), np.array([90, 100, len(data)])
+    want = {}
+    for text, place, n, digit in zip(*(c.tolist() for c in windows.super_windows(data, starts, ends, 60, 12))):
+        want.update({(text, place + k): digit for k in range(n)})
+    got = {}
+    for text, place, n, digit in zip(*(c.tolist() for c in windows.super_windows(data, starts, ends, 60, 12, at_once))):
+        got.update({(text, place + k): digit for k in range(n)})
+    assert got == want and len(got) == 31 + (len(data) - 100 - 59)
+
+
+def test_groups():
+    high, low = np.array([5, 3, 5, 5, 3, 9], np.uint64), np.array([1, 2, 7, 1, 2, 1], np.uint64)
+    number, first, count = windows.grouped(high, low)
+    assert number.tolist() == [1, 0, 2, 1, 0, 3] and first.tolist() == [1, 0, 2, 5] and count.tolist() == [2, 2, 1, 1]
+
+
+def test_passage_in_many_contexts(spark):
+    """One passage in hundreds of documents that share nothing else."""
+    import random
+
+    r = random.Random(9)
+    passage = cases.words(r, 60)
+    texts = [(cases.words(r, 30) + " " + passage + " " + cases.words(r, 30)).encode() for _ in range(400)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    told = {r["doc_id"]: r["_gw_removed"] for r in repeats.remove_repeats(df).collect()}
+    assert told == {i: sum(gone) for i, gone in enumerate(brute_repeats(texts, 200))}
+
+
 def brute_join(rows, threshold=0.8):
     sets = []
     for _, t in rows:
