@@ -8,10 +8,13 @@ refined from the most significant digit down, and what stands alone after a digi
    with one minimum are a run and travel as one entry, with a hash of the bytes that the run spans. Owners of digit
    ranges learn which digits have several contents; owners of content ranges learn which contents repeat: all windows
    of such a run do, those of a content that is alone under its digit don't.
-2. The windows of contents that are alone, but share their digit with others, take the remaining digits at once.
-   Each block sends a window's key once; owners of key ranges answer which keys occur again. Of a content that
-   repeats, one block sends the windows for all. Equal groups are exactly the repeated windows.
-3. Blocks of documents mark the answered windows and cut them out.
+2. Contents that are alone, but share their digit with others, are cut where the gram's offset in the window crosses
+   a multiple of a fifth of the window. The windows of such a part all hold the same four fifths around the gram: the
+   second digit, one key for up to 40 windows. Owners answer which keys occur again; other parts are dropped. Of a
+   content that repeats, one block sends the parts for all.
+3. The windows of the parts that are left take the last digit, the whole window. Each block sends a window's key once;
+   equal groups are exactly the repeated windows.
+4. Blocks of documents mark the answered windows and cut them out.
 
 Every exchange is of packed sorted arrays, an entry for each block and key: a passage that a third of the documents
 share is as many entries as there are blocks, never rows of windows, and no owner holds more than the keys of a fixed
@@ -42,21 +45,27 @@ from gaugeworks.llm.common import documents, materialise, released
 from gaugeworks.llm.windows import C1, bytes_of, grouped, super_windows, window_keys
 
 LENGTH = 200
-DIGITS, CONTENTS, WINDOWS = 0, 1, 2  # kinds of packed arrays; WINDOWS and above: pieces of a block
+DIGITS, CONTENTS, KEYS = 0, 1, 2  # kinds of packed arrays; KEYS and above: pieces of a block
 DECIDED = -1
 
 
-def _texts(payload: bytes):
-    return bytes_of(unpacked(payload).column("text"))
-
-
 def _runs(payload: bytes, length: int, at_once: int):
-    """data, starts of the texts, and per run: text, place, number of windows, digit spread over 64 bits, two words of content."""
-    data, starts, ends = _texts(payload)
-    text, place, n, digit = super_windows(data, starts, ends, length, length // 5, at_once)
+    """data, starts of the texts, and per run: text, place, number of windows, digit spread over 64 bits, its gram's place, two words of content."""
+    data, starts, ends = bytes_of(unpacked(payload).column("text"))
+    text, place, n, digit, gram = super_windows(data, starts, ends, length, length // 5, at_once)
     view, digest = memoryview(data), xxhash.xxh3_128_digest
     content = np.frombuffer(b"".join(digest(view[a:b]) for a, b in zip(place.tolist(), (place + n + length - 1).tolist())), "<u8").reshape(-1, 2)
-    return data, starts, text, place, n, digit * C1, content[:, 0].copy(), content[:, 1].copy()
+    return data, starts, text, place, n, digit * C1, gram, content[:, 0].copy(), content[:, 1].copy()
+
+
+def _parts(place: np.ndarray, n: np.ndarray, gram: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Parts of runs whose gram's offset has one quotient by `width`: run, first window, number of windows, start of what they share."""
+    most, least = gram - place, gram - place - n + 1
+    kinds = most // width - least // width + 1
+    run = np.repeat(np.arange(len(n)), kinds)
+    quotient = (most // width)[run] - (np.arange(len(run)) - np.repeat(np.cumsum(kinds) - kinds, kinds))
+    high, low = np.minimum(quotient * width + width - 1, most[run]), np.maximum(quotient * width, least[run])
+    return run, gram[run] - high, high - low + 1, gram[run] - quotient * width
 
 
 def _announce(length: int, parts: int, at_once: int):
@@ -64,7 +73,7 @@ def _announce(length: int, parts: int, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                *_, digit, high, low = _runs(payload.as_py(), length, at_once)
+                *_, digit, _, high, low = _runs(payload.as_py(), length, at_once)
                 if not len(digit):
                     continue
                 order = np.lexsort((high, digit))
@@ -79,7 +88,7 @@ def _announce(length: int, parts: int, at_once: int):
 
 
 def _answer(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
-    """Digits: whether they have several contents. Contents and windows: 0 alone, 1 repeated, 2 repeated and this block is the first to have it."""
+    """Digits: whether they have several contents. Contents and keys: 0 alone, 1 repeated, 2 repeated and this block is the first to have it."""
     if kind == DIGITS:
         keys, least, most = columns_of(sizes, data, [np.uint64] * 3)
         number, _, count = grouped(keys, keys)
@@ -95,47 +104,95 @@ def _answer(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
     return [state[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
-def _asked(data: np.ndarray, place: np.ndarray, n: np.ndarray, length: int, at_once: int):
-    """Pieces of the runs that need more digits: their windows' two keys, and the groups of equal windows."""
-    ends = np.cumsum(n + length - 1)
+def _keys(data: np.ndarray, place: np.ndarray, n: np.ndarray, width: int, at_once: int):
+    """Keys of the `width` bytes from n consecutive places on, piece by piece: entries from, to, two words of key, groups of equal keys."""
+    ends = np.cumsum(n + width - 1)
     a = 0
     while a < len(n):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2 * at_once, side="right")))
-        size = n[a:b] + length - 1
+        size = n[a:b] + width - 1
         base = np.cumsum(size) - size
         own = data[np.arange(size.sum()) + np.repeat(place[a:b] - base, size)]
         windows = np.arange(n[a:b].sum()) + np.repeat(base - np.cumsum(n[a:b]) + n[a:b], n[a:b])
-        high, low = window_keys(own, windows, length)
+        high, low = window_keys(own, windows, width)
         yield a, b, high, low, grouped(high, low)
         a = b
 
 
+def _ask(block: int, keys, parts: int) -> list[tuple]:
+    """Packed keys of a block, each once, and whether it has them more than once."""
+    rows = []
+    for piece, (_, _, high, low, (_, first, many)) in enumerate(keys):
+        rows += packed_rows(KEYS + piece, block, high[first], [low[first], (many > 1).astype(np.uint8)], parts)
+    return rows
+
+
+def _told(told: list[dict], keys):
+    """For each piece: entries from, to, and whether each key occurs again."""
+    for piece, (a, b, _, _, (number, _, _)) in enumerate(keys):
+        yield a, b, joined(told, KEYS + piece, np.uint8)[number] > 0
+
+
+def _decided(block: int, sure: np.ndarray, open_: np.ndarray) -> tuple:
+    """A block's state: (text, start, windows) of what goes; (text, start, windows, start of what they share) of open parts."""
+    return (DECIDED, -1, block, len(sure), sure.astype("<i4").tobytes() + open_.astype("<i4").tobytes())
+
+
+def _state(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    for t in told:
+        if t["kind"] == DECIDED:
+            raw = np.frombuffer(t["data"], "<i4").astype(np.int64)
+            return raw[: 3 * t["n"]].reshape(-1, 3), raw[3 * t["n"] :].reshape(-1, 4)
+    return np.zeros((0, 3), np.int64), np.zeros((0, 4), np.int64)
+
+
 def _sort_out(length: int, parts: int, at_once: int):
-    """Per block: what is certain and which runs are open, and the keys of the open runs' windows."""
+    """Per block: what is certain and which parts are open, and the second digits of these."""
+    width = length // 5
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data, starts, text, place, n, digit, high, low = _runs(payload.as_py(), length, at_once)
+                data, starts, text, place, n, digit, gram, high, low = _runs(payload.as_py(), length, at_once)
                 if not len(digit):
                     continue
                 told = told.as_py()
-                digits, at = np.unique(digit, return_inverse=True)
-                mixed = joined(told, DIGITS, np.uint8)[at] > 0
+                mixed = joined(told, DIGITS, np.uint8)[np.unique(digit, return_inverse=True)[1]] > 0
                 number, first, _ = grouped(high, low)
                 state = joined(told, CONTENTS, np.uint8)
                 shows = np.zeros(len(n), bool)
                 shows[first] = state[number[first]] == 2
                 sure = state[number] > 0
-                start = place - starts[text]
                 open_ = mixed & (~sure | shows)
-                decided = [np.stack([text[k], start[k], n[k]], axis=1).astype("<i4").tobytes() for k in (sure, open_)]
-                rows = [(DECIDED, -1, block, int(sure.sum()), b"".join(decided))] if sure.any() or open_.any() else []
-                for piece, (_, _, high, low, (_, first, many)) in enumerate(_asked(data, place[open_], n[open_], length, at_once)):
-                    rows += packed_rows(WINDOWS + piece, block, high[first], [low[first], (many > 1).astype(np.uint8)], parts)
-                if rows:
-                    yield packed_batch(rows)
+                run, at, size, shared = _parts(place[open_], n[open_], gram[open_], width)
+                text_of = text[open_][run]
+                decided = np.stack([text, place - starts[text], n], axis=1)[sure], np.stack([text_of, at - starts[text_of], size, shared - starts[text_of]], axis=1)
+                if len(decided[0]) or len(decided[1]):
+                    yield packed_batch([_decided(block, *decided), *_ask(block, _keys(data, shared, np.ones_like(shared), length - width + 1, at_once), parts)])
+
+    return run
+
+
+def _narrow(length: int, parts: int, at_once: int):
+    """Per block: the parts whose second digit occurs again stay open; the keys of their windows."""
+    width = length // 5
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                told = told.as_py() or []
+                sure, open_ = _state(told)
+                if not len(sure) and not len(open_):
+                    continue
+                data, starts, _ = bytes_of(unpacked(payload.as_py()).column("text"))
+                base = starts[open_[:, 0]]
+                stay = np.zeros(len(open_), bool)
+                for a, b, again in _told(told, _keys(data, base + open_[:, 3], np.ones(len(open_), np.int64), length - width + 1, at_once)):
+                    stay[a:b] = again
+                open_, base = open_[stay], base[stay]
+                yield packed_batch([_decided(block, sure, open_), *_ask(block, _keys(data, base + open_[:, 1], open_[:, 2], length, at_once), parts)])
 
     return run
 
@@ -148,17 +205,13 @@ def _covered(data: np.ndarray, starts: np.ndarray, told: list[dict], length: int
         np.add.at(step, place, 1)
         np.add.at(step, place + n + length - 1, -1)
 
-    for decided in (t for t in told if t["kind"] == DECIDED):
-        runs = np.frombuffer(decided["data"], "<i4").reshape(-1, 3).astype(np.int64)
-        place, n = starts[runs[:, 0]] + runs[:, 1], runs[:, 2]
-        sure = decided["n"]
-        mark(place[:sure], n[:sure])
-        place, n = place[sure:], n[sure:]
-        for piece, (a, b, _, _, (number, _, _)) in enumerate(_asked(data, place, n, length, at_once)):
-            hit = np.flatnonzero(joined(told, WINDOWS + piece, np.uint8)[number])
-            row = np.repeat(np.arange(a, b), n[a:b])
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-            mark(place[row[hit]] + offset[hit], np.ones(len(hit), np.int64))
+    sure, open_ = _state(told)
+    mark(starts[sure[:, 0]] + sure[:, 1], sure[:, 2])
+    place, n = starts[open_[:, 0]] + open_[:, 1], open_[:, 2]
+    for a, b, again in _told(told, _keys(data, place, n, length, at_once)):
+        hit = np.flatnonzero(again)
+        windows = np.arange(len(again)) + np.repeat(place[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+        mark(windows[hit], np.ones(len(hit), np.int64))
     return np.cumsum(step[:-1]) > 0
 
 
@@ -198,10 +251,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, at_once: int = 1 << 20
     blocks = write_blocks(rows, "repeats")
     payloads, parts = blocks.select("block", "payload"), key_ranges(blocks)
     told = answered(payloads.mapInArrow(_announce(length, parts, at_once), PACKED), _answer)
-    asked = with_answers(payloads, told, "told").select("block", "payload", "told").mapInArrow(_sort_out(length, parts, at_once), PACKED)
-    asked = materialise(asked, "repeats-asked")
-    decided = asked.filter(F.col("kind") == DECIDED)
-    told = decided.unionByName(answered(asked.filter(F.col("kind") >= WINDOWS), _answer, kinds_apart=False))
+    for k, step in enumerate((_sort_out, _narrow)):
+        asked = materialise(with_answers(payloads, told, "told").select("block", "payload", "told").mapInArrow(step(length, parts, at_once), PACKED), f"repeats-asked-{k}")
+        told = asked.filter(F.col("kind") == DECIDED).unionByName(answered(asked.filter(F.col("kind") >= KEYS), _answer, kinds_apart=False))
     fields = [f"`{f.name.replace('`', '``')}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields]
     schema = ", ".join([*fields, "_gw_bytes long, _gw_removed long, _gw_spans long, _gw_sha256 string"])
     return with_answers(payloads, told, "told").select("payload", "told").mapInArrow(_cut_out(docs.columns, length, at_once), schema)

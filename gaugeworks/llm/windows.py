@@ -84,17 +84,17 @@ def super_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     """Runs of consecutive windows of one text that share their minimal gram.
 
     data holds the texts one after another, starts and ends bound them. Returns per run: index of its text, first
-    window's place in data, number of windows, hash of the minimal gram. About `at_once` bytes are worked on together;
+    window's place in data, number of windows, hash of the minimal gram and its place. About `at_once` bytes are worked on together;
     a longer text is cut, which can cut a run in two.
     """
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     text, start, end = _pieces(starts, ends, length, at_once)
     first = 0
     while first < len(text):
         last = max(first + 1, int(np.searchsorted(end, start[first] + at_once + length, side="right")))
         a, b = int(start[first]), int(end[last - 1])
-        own, place, n, digit = _runs_of(data[a:b], start[first:last] - a, end[first:last] - a, length, gram)
-        out.append((text[first:last][own], place + a, n, digit))
+        own, place, n, digit, at = _runs_of(data[a:b], start[first:last] - a, end[first:last] - a, length, gram)
+        out.append((text[first:last][own], place + a, n, digit, at + a))
         first = last
     return tuple(np.concatenate(column) for column in zip(*out))
 
@@ -107,7 +107,7 @@ def _runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     place = np.arange(len(text)) + (starts - np.cumsum(counts) + counts)[text]
     anchor = minima[place]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    return text[new], place[new], np.diff(np.append(new, len(text))), hashes[anchor[new]]
+    return text[new], place[new], np.diff(np.append(new, len(text))), hashes[anchor[new]], anchor[new]
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -112,14 +112,23 @@ def test_runs_of_a_cut_text(at_once):
     data = np.frombuffer(cases.texts()[0].encode() * 3 + b"ab" * 300, np.uint8)
     starts, ends = np.array([0, 90, 100]), np.array([90, 100, len(data)])
     want = {}
-    for text, place, n, digit in zip(*(c.tolist() for c in windows.super_windows(data, starts, ends, 60, 12))):
-        want.update({(text, place + k): digit for k in range(n)})
+    for text, place, n, digit, gram in zip(*(c.tolist() for c in windows.super_windows(data, starts, ends, 60, 12))):
+        want.update({(text, place + k): (digit, gram) for k in range(n)})
     got = {}
-    for text, place, n, digit in zip(*(c.tolist() for c in windows.super_windows(data, starts, ends, 60, 12, at_once))):
-        got.update({(text, place + k): digit for k in range(n)})
+    for text, place, n, digit, gram in zip(*(c.tolist() for c in windows.super_windows(data, starts, ends, 60, 12, at_once))):
+        got.update({(text, place + k): (digit, gram) for k in range(n)})
     assert got == want and len(got) == 31 + (len(data) - 100 - 59)
 
 
+def test_parts_share_four_fifths():
+    place, n, gram = np.array([0, 500, 900]), np.array([161, 7, 1]), np.array([160, 560, 910])
+    run, first, size, shared = repeats._parts(place, n, gram, 40)
+    got = [(r, w) for r, a, k in zip(run.tolist(), first.tolist(), size.tolist()) for w in range(a, a + k)]
+    assert got == [(r, w) for r in range(3) for w in range(place[r], place[r] + n[r])]
+    assert (shared >= first + size - 1).all() and (shared + 161 <= first + 200).all() and (size <= 40).all()
+    assert (run == 0).sum() == 5
+
+
 def test_groups():
     high, low = np.array([5, 3, 5, 5, 3, 9], np.uint64), np.array([1, 2, 7, 1, 2, 1], np.uint64)
     number, first, count = windows.grouped(high, low)
