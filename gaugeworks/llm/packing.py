@@ -18,6 +18,7 @@ own; a null doc_id is kept; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,20 +44,52 @@ HASHES, RANK_BITS = 3, 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def merge_encoding(tokenizer):
+    """The vocabulary as ranks for an encoder that merges by rank, or None where its merges aren't in the order of its ids."""
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    letters = {c: b for b, c in byte_letters().items()}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+    vocabulary, made = model["vocab"], [a + b for a, b in merges]
+    ids = [vocabulary.get(x, -1) for x in made]
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    single = {c for c in vocabulary if len(c) == 1}
+    if ids != sorted(set(ids)) or single != set(letters) or set(vocabulary) - set(made) - single - special:
+        return None
+    ranks = {bytes(letters[c] for c in x): i for x, i in vocabulary.items() if x not in special}
+    import public_tokenizers
+
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, others follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+#: Words of these letters are cut alike by every Unicode version's classes; longer ones are merged by the library's heap.
+PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]{1,100}").fullmatch
+
+
 class Encoder:
     """The library's ids, packed. Words that return come from a bounded memory.
 
     A space between two characters that aren't white space always starts a match of the pattern, so the
-    parts between such spaces are encoded apart. Texts with other white space beside a space go to the
-    library whole.
+    parts between such spaces are encoded apart. Texts with other white space beside a space, or with the
+    string of a special token, go to the library whole. New words of plain letters are merged by rank, which
+    gives the same ids where the vocabulary's merges are in the order of its ids.
     """
 
     def __init__(self, path: str, remembered: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.merging = merge_encoding(self.tokenizer)
         self.size = self.tokenizer.get_vocab_size()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width, self.code = ("<u2", "H") if self.size <= 65536 else ("<u4", "I")
         self.end = array(self.code, [END]).tobytes()
         self.opens = np.array([self.tokenizer.id_to_token(i).startswith("\u0120") for i in range(self.size)])
@@ -66,12 +99,13 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Each word with a space before it. Many go through the library as one text: an id that begins with a space begins a word."""
+    def _spaced(self, words: list[str], merging: bool) -> list[bytes]:
+        """Each word with a space before it. Many go through as one text: an id that begins with a space begins a word."""
         out = []
         for a in range(0, len(words), 4000):
             part = words[a : a + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.width)
+            text = " " + " ".join(part)
+            ids = np.array(self.merging.encode_ordinary(text) if merging else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):
                 out += self._library([" " + w for w in part])
@@ -81,20 +115,25 @@ class Encoder:
             out += [raw[x:y] for x, y in zip((cuts * size).tolist(), ends)]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that aren't remembered yet; None for those that white space sticks to."""
+    def _odd(self, word: str) -> bool:
+        return not word or word[0].isspace() or word[-1].isspace() or any(s in word for s in self.special)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words that aren't remembered; nothing for those that can't be encoded apart."""
         known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = set(words).difference(known)
-        if self.odd_end("\0".join(new)):
-            bad = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-            known.update(dict.fromkeys(bad))
-            new.difference_update(bad)
+        joined = "\0".join(new)
+        if self.odd_end(joined) or any(s in joined for s in self.special):
+            bad = {w for w in new if self._odd(w)}
+            known.update(dict.fromkeys(bad, b""))
+            new = [w for w in new if w not in bad]
         # Punctuation after a letter is a match of its own, so the word before it is coded without it.
         tails = {w: base for w in new if w[-1] in ".,!?" and (base := w.rstrip(".,!?")) and base[-1].isalpha()}
-        plain = [*new.difference(tails), *set(tails.values()).difference(new, known)]
-        known.update(zip(plain, self._spaced(plain)))
+        rest = [*(w for w in new if w not in tails), *set(tails.values()).difference(new, known)]
+        if self.merging:
+            plain = [w for w in rest if PLAIN(w)]
+            known.update(zip(plain, self._spaced(plain, True)))
+            rest = [w for w in rest if w not in known]
+        known.update(zip(rest, self._spaced(rest, False)))
         for w, base in tails.items():
             tail = w[len(base) :]
             if tail not in self.marks:
@@ -111,18 +150,26 @@ class Encoder:
         told = split.flatten().dictionary_encode()
         words, codes = told.dictionary.to_pylist(), told.indices.to_numpy().copy()
         firsts = [words[c] for c in codes[cuts[:-1]].tolist()]
-        self._learn(words)
-        ids = [self.known[w] for w in words]
-        bad = np.array([i is None for i in ids])
-        ids = [i or b"" for i in ids] if bad.any() else ids
-        odd = {i for i, w in enumerate(firsts) if w[-1:].isspace()}  # no space stands before a text's first word
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        ids = [*map(self.known.get, words)]
+        new = [w for w, i in zip(words, ids) if i is None]
+        if new:
+            self._learn(new)
+            ids = [*map(self.known.__getitem__, words)]
+        odd = {i for i, w in enumerate(firsts) if w[-1:].isspace() or any(s in w for s in self.special)}  # no space stands before a text's first word
+        for s in (s for s in self.special if " " in s):
+            odd.update(i for i, t in enumerate(texts) if s in t)
         codes[cuts[:-1]] = len(words) + np.arange(len(texts))
+        own = self._library(firsts)
+        size = np.fromiter(map(len, ids + own), np.int32, len(ids) + len(own))
+        bad = size == 0  # words that can't be encoded apart
+        bad[len(words) :] = False
         if bad.any():
-            bad = np.concatenate([bad, np.zeros(len(texts), bool)])
             odd.update(np.unique(np.searchsorted(cuts, np.flatnonzero(bad[codes]), side="right") - 1).tolist())
-        ids += self._library(firsts)
+        ids += own
         pool = np.frombuffer(b"".join(ids), self.width)
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // np.int32(pool.itemsize)
+        size //= np.int32(pool.itemsize)
         start = np.cumsum(size, dtype=np.int32) - size
         out = []
         for a in range(0, len(texts), 64):  # few enough that the index arrays stay in the processor's cache
@@ -295,28 +342,31 @@ class Windows:
         return out
 
 
-def _pack(idf: np.ndarray, mean: float, width: str, window: int, shard_tokens: int, shard_docs: int, query_terms: int, most: int):
-    def fill(shard: list[tuple], out: Windows) -> None:
-        index = Shard([ids for _, ids in shard], idf, mean, query_terms)
-        used = np.zeros(len(shard), bool)
-        seed, nearest = -1, []
-        for first in range(len(shard)):
-            if used[first]:
-                continue
-            seed = first
-            used[first] = True
-            out.lay(*shard[first])
-            while out.space < window:
-                nearest = index.neighbours(seed, used, most)
-                if not nearest:
+def fill(index: Shard, shard: list[tuple], out: Windows, most: int) -> None:
+    """Lay all documents of a shard: a seed, then its best unused neighbours; the one that crosses a window's end seeds the next."""
+    used = np.zeros(len(shard), bool)
+    for first in range(len(shard)):
+        if used[first]:
+            continue
+        seed = first
+        used[first] = True
+        out.lay(*shard[first])
+        while out.space < out.window:
+            nearest = index.neighbours(seed, used, most)
+            if not nearest:
+                break
+            for d in nearest:
+                used[d] = True
+                before = out.next
+                out.lay(*shard[d])
+                if out.next != before:  # it crossed the end: its rest is the next window's seed
+                    seed = d
                     break
-                for d in nearest:
-                    used[d] = True
-                    before = out.next
-                    out.lay(*shard[d])
-                    if out.next != before:  # it crossed the end: its rest is the next window's seed
-                        seed = d
-                        break
+
+
+def _pack(idf: np.ndarray, mean: float, width: str, window: int, shard_tokens: int, shard_docs: int, query_terms: int, most: int):
+    def filled(shard: list[tuple], out: Windows) -> None:
+        fill(Shard([ids for _, ids in shard], idf, mean, query_terms), shard, out, most)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,12 +379,12 @@ def _pack(idf: np.ndarray, mean: float, width: str, window: int, shard_tokens: i
                 shard.append((doc_id, ids))
                 held += len(ids)
                 if held >= shard_tokens or len(shard) >= shard_docs:
-                    fill(shard, out)
+                    filled(shard, out)
                     shard, held = [], 0
                     if out.rows:
                         yield out.batch()
         if shard:
-            fill(shard, out)
+            filled(shard, out)
         out.finish()
         if out.rows:
             yield out.batch()
