@@ -1,37 +1,35 @@
 """Document likelihood by a lattice over an existing subword vocabulary.
 
-A text is a sequence of words and one end. The lattice of a word has an edge for every vocabulary piece
-that fits its bytes, one per byte for what no piece covers, and one edge for the whole word if the
-learning documents have it. The word's probability is the sum over all paths, by a forward recursion in
-log space; a document's is the product over its words and its end, that is, the sum over all of its
-segmentations.
+A text is a sequence of words and one end. The lattice of a word (a space before it) has an edge for every vocabulary
+piece that fits its bytes, and one per byte for what no piece covers. The word's probability is the sum over all paths,
+that is, over all segmentations, by a forward recursion in log space:
 
-    P(word) = (c - D) / N  +  g * sum over segmentations of prod p(piece),      g = D * V / N
+    alpha[0] = 0,    alpha[to] = logsumexp over edges (from, to, piece) of alpha[from] + log p(piece)
 
-The whole-word edge also remembers the document: the t-th token has probability
+A document's `score` is the log10 of the product over its words' lattices and the end, which is one more piece. Texts
+are sequences of pieces in many ways, all of which count, so the probabilities of all texts sum to 1 at most.
 
-    (1 - m) P(word) + m n / t,      m = MEMORY * t / (t + HALFWAY)
+Piece probabilities come from the scores of the vocabulary file. The file orders its pieces by score and the scores are
+ranks, so they are read as weights 1 / (rank + 20). PRIOR uses a piece, dealt by these weights, and the uses that one
+expectation step under the same weights finds in the words of all learning documents give the probabilities.
 
-where n of the t tokens before it are the same word, so the text's probability is a product of proper
-conditional ones. Counts are also kept by class (the learning rows' language, the MOST_CLASSES - 1 most
-frequent ones and the rest): a text's probability is the mixture of those that the classes give it, each
-of them OWN parts its class's and 1 - OWN parts the whole corpus's. A text's own language isn't used.
+`word_score` is an extension beside it: a word's probability is its discounted share of the learning tokens, and the
+discounted mass goes by the lattice:
 
-c: count of the word, N: learning tokens, V: distinct ones, D: the absolute discount n1 / (n1 + 2 n2).
-Piece weights start from the scores of the vocabulary file and are fitted by one expectation step over
-the words of all learning documents. The end is a token of its own with P = c / N.
+    P(word) = max(c - D, 0) / N  +  D V / N * lattice(word)
 
-The corpus is held as blocks of documents. Each block tells the owner of a range of word hashes how often
-it has each distinct word; owners add up over all blocks and answer with the totals. So what is gathered
-grows with the input, and no word is ever sent as often as it occurs.
+c: count of the word, N: learning tokens, V: distinct ones, ends included; D: the absolute discount n1 / (n1 + 2 n2).
 
-Words are compared by 64-bit hashes: 10^9 distinct words meet with a chance of 3 %, and a meeting alters
-one count.
+The corpus is held as blocks of documents. Each block tells the owner of a range of word hashes how often it has each
+distinct word; owners add up over all blocks and answer with the totals. So what is gathered grows with the input, and
+no word is ever sent as often as it occurs.
 
-Cases: a null text is empty, and an empty text is the end alone; if there is nothing to learn from,
-counts are 0, the base score is that of the formula with N = V = 0 (0 where that is undefined) and the
-lattice alone gives the score; repeated rows are scored alike; an empty table gives an empty result;
-other columns are ignored.
+Words are compared by 64-bit hashes: 10^9 distinct words meet with a chance of 3 %, and a meeting alters one count.
+
+Cases: a null text is empty, and an empty text is the end alone; a very long text is one row of one block, and a very
+long word is worked on place by place in memory of a few numbers a byte; if there is nothing to learn from, counts are
+0, the base score is that of the formula with N = V = 0 (0 where that is undefined) and the file's weights alone give
+the score; repeated rows and ties are scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,14 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.blocks import PACKED, answered, columns_of, packed_batch, packed_rows, unpacked, with_answers, write_blocks
+from gaugeworks.llm.blocks import PACKED, answered, columns_of, key_ranges, packed_batch, packed_rows, unpacked, with_answers, write_blocks
 from gaugeworks.llm.common import documents, fold, materialise, released, vocabulary_path
 
 SPACE = "▁".encode()
 NEVER = -1e30
-SMALLEST = -600.0
-MEMORY, HALFWAY = 0.3, 100
-MOST_CLASSES, OWN = 8, 0.95
+PRIOR = 0.1
 LONGEST = 512  # bytes of a word that vectorised recursion takes; longer ones go one by one
 
 
@@ -145,33 +141,48 @@ def _columns(words: list[bytes]):
         a = b
 
 
-def _long(trie: Pieces, weights: np.ndarray, word: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """The same recursions for one long word, position by position: edges, forward and backward sums."""
-    text = b" " + word
-    edges = []
+def _edges_at(trie: Pieces, text: bytes, first: int):
+    """(to, piece) of the edges that leave one place."""
+    node = 0
+    for at in range(first, len(text)):
+        node = trie.step(node, text[at]) if node else trie.root[text[at]]
+        if not node:
+            return
+        if trie.ends[node] >= 0:
+            yield at + 1, int(trie.ends[node])
+
+
+def _long_forward(trie: Pieces, weights: np.ndarray, text: bytes) -> np.ndarray:
+    """The forward recursion for one long word, place by place."""
+    alpha = np.full(len(text) + 1, NEVER)
+    alpha[0] = 0.0
     for first in range(len(text)):
-        node = 0
-        for at in range(first, len(text)):
-            node = trie.step(node, text[at]) if node else trie.root[text[at]]
-            if not node:
-                break
-            if trie.ends[node] >= 0:
-                edges.append((first, at + 1, int(trie.ends[node])))
-    alpha, beta = np.full(len(text) + 1, NEVER), np.full(len(text) + 1, NEVER)
-    alpha[0] = beta[-1] = 0.0
-    for first, to, piece in edges:
-        alpha[to] = np.logaddexp(alpha[to], alpha[first] + weights[piece])
-    for first, to, piece in reversed(edges):
-        beta[first] = np.logaddexp(beta[first], beta[to] + weights[piece])
-    return edges, alpha, beta
+        for to, piece in _edges_at(trie, text, first):
+            alpha[to] = np.logaddexp(alpha[to], alpha[first] + weights[piece])
+    return alpha
+
+
+def _long_uses(trie: Pieces, weights: np.ndarray, text: bytes, total: np.ndarray, times: float) -> None:
+    """Adds the expected uses of the pieces in one long word, in one pass back."""
+    alpha, beta = _long_forward(trie, weights, text), np.full(len(text) + 1, NEVER)
+    beta[-1] = 0.0
+    for first in range(len(text) - 1, -1, -1):
+        for to, piece in _edges_at(trie, text, first):
+            beta[first] = np.logaddexp(beta[first], beta[to] + weights[piece])
+            total[piece] += times * np.exp(alpha[first] + weights[piece] + beta[to] - alpha[-1])
+
+
+def _split(words: list[bytes]) -> tuple[list[int], list[int]]:
+    long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+    return ([i for i, w in enumerate(words) if len(w) <= LONGEST] if long else list(range(len(words)))), long
 
 
 def marginals(trie: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Log of the sum over all segmentations of each word."""
     out = np.empty(len(words))
-    short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
-    for i in set(range(len(words))).difference(short):
-        out[i] = _long(trie, weights, words[i])[1][-1]
+    short, long = _split(words)
+    for i in long:
+        out[i] = _long_forward(trie, weights, b" " + words[i])[-1]
     for where, matrix, sizes in _columns([words[i] for i in short]):
         alpha = np.full((len(matrix), matrix.shape[1] + 1), NEVER)
         alpha[:, 0] = 0.0
@@ -185,11 +196,9 @@ def marginals(trie: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarr
 def expected_counts(trie: Pieces, weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """How often each piece is used, over all segmentations by their posterior, times the words' counts."""
     total = np.zeros(len(weights))
-    short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
-    for i in set(range(len(words))).difference(short):
-        edges, alpha, beta = _long(trie, weights, words[i])
-        for first, to, piece in edges:
-            total[piece] += counts[i] * np.exp(alpha[first] + weights[piece] + beta[to] - beta[0])
+    short, long = _split(words)
+    for i in long:
+        _long_uses(trie, weights, b" " + words[i], total, counts[i])
     for where, matrix, sizes in _columns([words[i] for i in short]):
         edges = list(_edges(trie, matrix, sizes))
         alpha = np.full((len(matrix), matrix.shape[1] + 1), NEVER)
@@ -210,6 +219,30 @@ def expected_counts(trie: Pieces, weights: np.ndarray, words: list[bytes], count
     return total
 
 
+class Lattice:
+    """Marginals of words under fixed weights; those that return come from a memory bounded by bytes."""
+
+    def __init__(self, path: str, weights: bytes, remembered: int = 24 << 20):
+        self.trie, self.weights = pieces_of(path), np.frombuffer(weights)
+        self.known: dict[bytes, float] = {}
+        self.remembered, self.held = remembered, 0
+
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        if self.held > self.remembered:
+            self.known, self.held = {}, 0
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, marginals(self.trie, self.weights, new).tolist()))
+        out = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+        self.held += sum(map(len, new)) + 120 * len(new)
+        return out
+
+
+@lru_cache(maxsize=1)
+def lattice_of(path: str, weights: bytes) -> Lattice:
+    """One memory of words for all tasks of a Python worker."""
+    return Lattice(path, weights)
+
+
 def _distinct(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
     """Distinct words in order of their hashes, each text's word numbers, and the sorted hashes."""
     known: dict[bytes, int] = {}
@@ -223,190 +256,121 @@ def _distinct(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.nda
     return [names[i] for i in order.tolist()], [place[i] for i in ids], hashes[order]
 
 
-def _count(path: str, parts: int, classes: int):
-    """Rows of kind 0: counts of the block's words by class, an entry for each that isn't 0 and one for a word without
-    any; of kind 1: expected uses of the pieces."""
+def _count(path: str, parts: int, held_words: int = 150_000):
+    """Rows of kind 0: counts of the block's distinct words; of kind 1: expected uses of the pieces in a task's words."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = pieces_of(path)
+        trie, seen = pieces_of(path), {}
+
+        def uses():
+            total = expected_counts(trie, trie.start, list(seen), np.fromiter(seen.values(), np.float64, len(seen)))
+            seen.clear()
+            return (1, 0, -1, 0, total.tobytes())
+
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 table = unpacked(payload.as_py())
                 names, ids, hashes = _distinct(table.column("text").to_pylist())
                 used = np.flatnonzero(~table.column("held_out").to_numpy(zero_copy_only=False))
-                kind = table.column("class").to_numpy()
-                at = np.concatenate([np.zeros(0, np.int64), *(ids[i] * classes + kind[i] for i in used.tolist())])
-                by_class = np.bincount(at, minlength=len(names) * classes).reshape(len(names), classes)
-                counts = by_class.sum(axis=1).astype(np.int32)
-                told = by_class > 0
-                told[counts == 0, 0] = True
-                word, of = np.nonzero(told)
-                rows = packed_rows(0, block, hashes[word], [by_class[word, of].astype(np.int32), of.astype(np.uint8)], parts)
-                seen = np.flatnonzero(counts)
-                uses = expected_counts(trie, trie.start, [names[i] for i in seen.tolist()], counts[seen])
-                rows.append((1, 0, block, len(used), uses.astype(np.float32).tobytes()))
-                yield packed_batch(rows)
+                counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *(ids[i] for i in used.tolist())]), minlength=len(names))
+                for i in np.flatnonzero(counts).tolist():
+                    seen[names[i]] = seen.get(names[i], 0) + int(counts[i])
+                rows = packed_rows(0, block, hashes, [counts.astype(np.int32)], parts)
+                if len(seen) > held_words:
+                    rows.append(uses())
+                if rows:
+                    yield packed_batch(rows)
+        if seen:
+            yield packed_batch([uses()])
 
     return run
 
 
-def _total(classes: int):
-    """Counts by class of each block's distinct hashes: numbers of hashes, of entries and of statistics, then the entries
-    of each hash, their classes and their counts. The first block of a range is told the range's statistics too:
-    tokens, kinds, kinds seen once and twice, and by class tokens and (fractional) kinds."""
-
-    def answer(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
-        keys, counts, of = columns_of(sizes, data, [np.uint64, np.int32, np.uint8])
-        kinds, place = np.unique(keys, return_inverse=True)
-        own = np.bincount(place * classes + of, weights=counts, minlength=len(kinds) * classes).reshape(-1, classes)
-        whole = own.sum(axis=1)
-        part = own / np.maximum(whole, 1)[:, None]
-        statistics = np.array([whole.sum(), (whole > 0).sum(), (whole == 1).sum(), (whole == 2).sum(), *own.sum(axis=0), *part.sum(axis=0)])
-        out = []
-        ends = np.cumsum(sizes)
-        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-            at = place[a:b]
-            mine = own[at[np.append(True, at[1:] != at[:-1])]]
-            word, shown = np.nonzero(mine)
-            entries = np.bincount(word, minlength=len(mine)).astype(np.uint8)
-            head = np.array([len(mine), len(word), 0 if out else 1], "<i8")
-            out.append(head.tobytes() + entries.tobytes() + shown.astype(np.uint8).tobytes() + mine[word, shown].astype(np.int64).tobytes())
-        out[0] += statistics.tobytes()
-        return out
+STATISTICS = 4
 
-    return answer
 
+def _total(kind: int, sizes: np.ndarray, data: list[bytes]) -> list[bytes]:
+    """Total counts of each block's distinct hashes. Before them the first block of a range is told the range's statistics,
+    others zeros: tokens, kinds of them, kinds seen once and twice."""
+    keys, counts = columns_of(sizes, data, [np.uint64, np.int32])
+    _, place = np.unique(keys, return_inverse=True)
+    whole = np.bincount(place, weights=counts)
+    told = whole[place].astype(np.int64)
+    statistics = np.array([whole.sum(), (whole > 0).sum(), (whole == 1).sum(), (whole == 2).sum()])
+    ends = np.cumsum(sizes)
+    return [(statistics * (i == 0)).tobytes() + told[a:b].tobytes() for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist()))]
 
-def _answers(told: list[dict] | None, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whole counts of a block's distinct hashes and their shares by class, in order of the hashes."""
-    counts = [np.zeros((0, classes))]
-    for a in sorted(told or (), key=lambda a: a["part"]):
-        n, entries, _ = np.frombuffer(a["data"], "<i8", 3).tolist()
-        own = np.zeros((n, classes))
-        word = np.repeat(np.arange(n), np.frombuffer(a["data"], np.uint8, n, 24))
-        own[word, np.frombuffer(a["data"], np.uint8, entries, 24 + n)] = np.frombuffer(a["data"], np.int64, entries, 24 + n + entries)
-        counts.append(own)
-    own = np.concatenate(counts)
-    whole = own.sum(axis=1)
-    return whole.astype(np.int64), own / np.maximum(whole, 1)[:, None]
 
-
-def _sum_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a task's vectors; one row leaves, as long as the vocabulary."""
-    total, docs = None, 0
+def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a task's vectors of numbers; one row leaves, as long as they."""
+    total = None
     for batch in batches:
-        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(raw, np.float32).astype(np.float64)
-            total, docs = (own if total is None else total + own), docs + n
+        for raw in batch.column(0).to_pylist():
+            own = np.frombuffer(raw)
+            total = own.copy() if total is None else total + own
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["docs", "uses"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
 
 
-def _log(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(x)
+def _summed(vectors: DataFrame, size: int) -> np.ndarray:
+    """The sum of packed vectors of `size` numbers, by place."""
+    out = np.zeros(size)
+    for at, x in vectors.mapInArrow(_sum_vectors, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col")).collect():  # a row per place
+        out[at] = x
+    return out
 
 
-def _score(path: str, weights: np.ndarray, n: float, v: float, discount: float, ends: np.ndarray, tokens: np.ndarray, kinds: np.ndarray):
-    """n, v: tokens and kinds of them, ends included. By class: documents, tokens (ends included) and kinds of words."""
+def _score(path: str, weights: np.ndarray, end: float, n: float, v: float, discount: float, ends: float):
+    """end: log-probability of the end. n, v: tokens and kinds of them, ends included."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = pieces_of(path)
-        classes, end_count = len(ends), ends.sum()
-        below = n + 0.1 * (v + 1)
-        end_base = np.log10((end_count + 0.1) / below) if n else 0.0
-        if n:
-            own, rest = OWN / np.maximum(tokens, 1), (1 - OWN) / n
-            free = np.maximum(OWN * discount * kinds / np.maximum(tokens, 1) + (1 - OWN) * discount * (v - (end_count > 0)) / n, 1e-12)
-            end = np.log(np.maximum(ends, 0.1) * own + end_count * rest)
-        else:
-            own, rest, free, end = np.zeros(classes), 0.0, np.ones(classes), np.zeros(classes)
-        prior = np.log((ends + 0.5) / (end_count + 0.5 * classes))
+        lattice = lattice_of(path, weights.tobytes())
+        below, tens = n + 0.1 * (v + 1), np.log(10)
+        end_base = np.log10((ends + 0.1) / below) if n else 0.0
+        end_word = np.log(max(ends - discount, 0) / n + discount * v / n * np.exp(end)) if n else end
         for batch in batches:
             for payload, told in zip(batch.column(0), batch.column(1)):
                 table = unpacked(payload.as_py())
                 names, ids, hashes = _distinct(table.column("text").to_pylist())
-                c, shares = _answers(told.as_py(), classes)
-                if len(c) < len(names):  # words of one hash share their counts
-                    place = np.unique(hashes, return_inverse=True)[1]
-                    c, shares = c[place], shares[place]
+                c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a["data"], np.int64, offset=8 * STATISTICS) for a in sorted(told.as_py() or (), key=lambda a: a["part"]))])
                 base = np.log10((c + 0.1) / below) if n else np.zeros(len(c))
-                whole_word = np.maximum(c - discount, 0.0)[:, None] * (shares * own + rest)
-                inside = marginals(trie, weights, names)
-                chance = whole_word + np.exp(inside)[:, None] * free
-                tiny = inside < SMALLEST  # words whose lattice a double can't hold: their texts stay in log space
+                inside = lattice.marginals(names)
+                with np.errstate(divide="ignore"):
+                    word = np.logaddexp(np.log(np.maximum(c - discount, 0) / n), np.log(discount * v / n) + inside) if n else inside
                 known = (c > 0).astype(np.int64)
-                out = []
-                for i in ids:
-                    if tiny[i].any():
-                        whole = _remembering(np.logaddexp(_log(whole_word[i]), inside[i, None] + np.log(free)), i, end) + prior
-                    else:
-                        whole = _remembering(chance[i], i, end, logs=False) + prior
-                    top = whole.max()
-                    out.append((len(i) + 1, int(known[i].sum()) + int(end_count > 0), int(n), float(base[i].sum() + end_base), float((top + np.log(np.exp(whole - top).sum())) / np.log(10))))
-                columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                yield from pa.table([table.column("doc_id"), table.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).combine_chunks().to_batches()
+                out = [(len(i) + 1, int(known[i].sum()) + int(ends > 0), int(n), float(base[i].sum() + end_base), float((inside[i].sum() + end) / tens), float((word[i].sum() + end_word) / tens)) for i in ids]
+                columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(),) * 3 + (pa.float64(),) * 3)]
+                yield from pa.table([table.column("doc_id"), table.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"]).combine_chunks().to_batches()
 
     return run
 
 
-def _remembering(score: np.ndarray, ids: np.ndarray, end: np.ndarray, logs: bool = True) -> np.ndarray:
-    """Log-probability of a document by class. score: its tokens' static ones (or, without logs, probabilities), a row
-    each; end: the end's logarithm."""
-    t = np.arange(len(ids) + 1)
-    m = MEMORY * t / (t + HALFWAY)
-    order = np.argsort(ids, kind="stable")
-    same = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(ids) else t[:0]
-    before = np.empty(len(ids))
-    before[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    shown = m[:-1] * before / np.maximum(t[:-1], 1)
-    if not logs:
-        return np.log((1 - m[:-1])[:, None] * score + shown[:, None]).sum(axis=0) + np.log1p(-m[-1]) + end
-    shown = _log(shown)
-    return np.logaddexp(np.log1p(-m[:-1])[:, None] + score, shown[:, None]).sum(axis=0) + np.log1p(-m[-1]) + end
-
-
-def lattice_scores(docs: DataFrame, held_out, path: str | None = None, class_column: str | None = "lang") -> DataFrame:
-    """docs: doc_id, text and, if it is there, a class to learn by. held_out: boolean column; the other rows are learned from."""
-    spark = docs.sparkSession
+def piece_weights(trie: Pieces, uses: np.ndarray, ends: float) -> tuple[np.ndarray, float]:
+    """Log-probabilities of the pieces and of the end: uses and PRIOR uses a piece, dealt by the file's weights."""
+    fitted = uses + PRIOR * len(uses) * np.exp(trie.start)
+    total = fitted.sum() + ends + PRIOR
+    return np.log(fitted / total), float(np.log((ends + PRIOR) / total))
+
+
+def lattice_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
+    """docs: doc_id, text. held_out: boolean column; the other rows are learned from."""
     path = path or vocabulary_path("piece_bpe_32k.model")
-    name = F.col(class_column).cast("string") if class_column in docs.columns else F.lit(None).cast("string")
-    sizes = docs.select(name.alias("class"), held_out.alias("held_out")).filter("not held_out").groupBy("class").count()
-    listed = [r["class"] for r in sizes.filter("class is not null").orderBy(F.desc("count"), "class").limit(MOST_CLASSES - 1).collect()]
-    place = F.lit(len(listed))
-    for i, x in enumerate(listed):
-        place = F.when(name == x, F.lit(i)).otherwise(place)
-    rest = sizes.filter(~F.coalesce(F.col("class").isin(listed), F.lit(False))).limit(1).count() if listed else 1
-    classes = len(listed) + int(rest > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), place.cast("long").alias("class"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = write_blocks(rows, "lattice")
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = materialise(blocks.select("block", "payload").mapInArrow(_count(path, parts, classes), PACKED), "lattice-counts")
-    told = materialise(answered(packed.filter("kind = 0"), _total(classes)), "lattice-totals")
-    size = 8 * (4 + 2 * classes)
-    extra = told.filter(F.substring("data", 17, 1) == F.lit(b"\x01")).select(F.substring("data", -size, size))
-    words = sum((np.frombuffer(r[0], np.float64) for r in extra.collect()), np.zeros(4 + 2 * classes))  # a few numbers per range
-    summed = packed.filter("kind = 1").select("n", "data").mapInArrow(_sum_uses, "docs long, uses array<double>")
+    payloads, parts = blocks.select("block", "payload"), key_ranges(blocks)
+    packed = materialise(payloads.mapInArrow(_count(path, parts), PACKED), "lattice-counts")
+    told = materialise(answered(packed.filter("kind = 0"), _total), "lattice-totals")
+    tokens, kinds, once, twice = _summed(told.select(F.substring("data", 1, 8 * STATISTICS).alias("data")), STATISTICS)
     trie = pieces_of(path)
-    uses = np.zeros(len(trie.pieces))
-    for at, x in summed.select(F.posexplode("uses")).groupBy("pos").agg(F.sum("col")).collect():  # one row per piece
-        uses[at] = x
-    # The file's weights count as a tenth of a use per piece on average, so no piece loses its probability.
-    fitted = uses + len(uses) * np.exp(trie.start) * 0.1
-    weights = np.log(fitted / fitted.sum())
-    ends = np.zeros(classes)
-    for r in sizes.select(F.when(F.col("class").isin(listed), F.col("class")).alias("class"), "count").groupBy("class").agg(F.sum("count").alias("count")).collect() if listed else sizes.agg(F.lit(None).alias("class"), F.coalesce(F.sum("count"), F.lit(0)).alias("count")).collect():
-        ends[listed.index(r["class"]) if r["class"] is not None else classes - 1] += r["count"]
-    tokens, kinds, once, twice = words[:4]
+    ends = float(docs.filter(~held_out).count())
+    weights, end = piece_weights(trie, _summed(packed.filter("kind = 1").select("data"), len(trie.pieces)), ends)
     discount = min(once / (once + 2 * twice), 0.95) if once and twice else 0.5
-    run = _score(path, weights, tokens + ends.sum(), kinds + (ends.sum() > 0), discount, ends, words[4 : 4 + classes] + ends, words[4 + classes :])
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_answers(blocks.select("block", "payload"), told, "told").select("payload", "told").mapInArrow(run, schema)
+    run = _score(path, weights, end, tokens + ends, kinds + (ends > 0), discount, ends)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
+    return with_answers(payloads, told, "told").select("payload", "told").mapInArrow(run, schema)
 
 
 def op3_lattice_lm(spark, sf_dir):
     return lattice_scores(documents(spark, sf_dir), fold(10) == 0)
-

@@ -42,29 +42,56 @@ def test_lattice_sums_all_segmentations():
             for i in p:
                 uses[i] += 3 * x / sum(weights)
     assert np.allclose(lattice_lm.expected_counts(trie, trie.start, words, np.full(len(words), 3.0)), uses)
-    long = [b"ab" * 400]
-    assert lattice_lm._long(trie, trie.start, long[0])[1][-1] == pytest.approx(lattice_lm.marginals(trie, trie.start, long)[0])
+    long, count = [b"ab" * 400], np.array([2.0])
+    told = lattice_lm.marginals(trie, trie.start, long)[0], lattice_lm.expected_counts(trie, trie.start, long, count)
     short = lattice_lm.LONGEST
     try:
         lattice_lm.LONGEST = 1000
-        assert lattice_lm.marginals(trie, trie.start, long)[0] == pytest.approx(lattice_lm._long(trie, trie.start, long[0])[1][-1])
+        assert lattice_lm.marginals(trie, trie.start, long)[0] == pytest.approx(told[0])
+        assert np.allclose(lattice_lm.expected_counts(trie, trie.start, long, count), told[1])
     finally:
         lattice_lm.LONGEST = short
 
 
-def test_memory_is_a_distribution():
-    """Over a vocabulary of two words and the end, the probabilities of all texts of n words sum to (1 - p_end)^n."""
-    p = {0: 0.5, 1: 0.3, None: 0.2}
-    for n in (1, 2, 3):
-        total = 0.0
-        for ids in product((0, 1), repeat=n):
-            whole = math.exp(lattice_lm._remembering(np.log([[p[i]] for i in ids]), np.array(ids), np.zeros(1))[0])
-            total += whole / (1 - lattice_lm.MEMORY * n / (n + lattice_lm.HALFWAY))
-        expect = 1.0
-        for t in range(n):
-            m = lattice_lm.MEMORY * t / (t + lattice_lm.HALFWAY)
-            expect *= (1 - m) * 0.8 + m
-        assert total == pytest.approx(expect)
+def test_scores_against_all_segmentations(spark):
+    """score and word_score of a small table by listing every segmentation of every word, learning included."""
+    rows = [(0, "the cat"), (1, "The hat a"), (2, "the the x1"), (3, None), (4, ""), (5, "cat zq"), (6, "a\tthe  cat\n"), (7, "é a")]
+    trie = lattice_lm.pieces_of(vocabulary_path("piece_bpe_32k.model"))
+    number = {p: i for i, p in enumerate(trie.pieces)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    split = {i: (t or "").encode().lower().split() for i, t in rows}
+    c = Counter(w for i, ws in split.items() if not held[i] for w in ws)
+    ends = sum(not h for h in held.values())
+    uses = np.zeros(len(number))
+    for w, k in c.items():
+        paths = [[number[p] for p in s] for s in segmentations(number, b" " + w)]
+        shares = np.array([math.exp(trie.start[p].sum()) for p in paths])
+        for p, x in zip(paths, shares / shares.sum()):
+            for i in p:
+                uses[i] += k * x
+    fitted = uses + lattice_lm.PRIOR * len(uses) * np.exp(trie.start)
+    total = fitted.sum() + ends + lattice_lm.PRIOR
+    chance = fitted / total
+    end = (ends + lattice_lm.PRIOR) / total
+    assert chance.sum() + end == pytest.approx(1)
+    inside = {w: sum(math.prod(chance[number[p]] for p in s) for s in segmentations(number, b" " + w)) for ws in split.values() for w in ws}
+    n, v = sum(c.values()) + ends, len(c) + 1
+    once, twice = (sum(k == x for k in c.values()) for x in (1, 2))
+    d = min(once / (once + 2 * twice), 0.95) if once and twice else 0.5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = {r["doc_id"]: r for r in lattice_lm.lattice_scores(df, fold(10) == 0).collect()}
+    for i, ws in split.items():
+        assert told[i]["score"] == pytest.approx(sum(math.log10(inside[w]) for w in ws) + math.log10(end))
+        want = sum(math.log10(max(c[w] - d, 0) / n + d * v / n * inside[w]) for w in ws) + math.log10(max(ends - d, 0) / n + d * v / n * end)
+        assert told[i]["word_score"] == pytest.approx(want)
+
+
+def test_lattice_remembers_within_bounds():
+    trie = lattice_lm.pieces_of(vocabulary_path("piece_bpe_32k.model"))
+    lattice = lattice_lm.Lattice(vocabulary_path("piece_bpe_32k.model"), trie.start.tobytes(), remembered=1000)
+    for k in range(20):
+        words = [f"word{j}".encode() for j in range(k, k + 10)]
+        assert np.allclose(lattice.marginals(words), lattice_lm.marginals(trie, trie.start, words)) and lattice.held < 4000
 
 
 @pytest.mark.parametrize("which", ["cases", "nothing", "held out only"])
@@ -179,24 +206,3 @@ def test_toxicity_cases(spark):
     assert {r["score"] for r in toxicity.toxicity(df, fold(4) == 2, one).collect()} == {0.0}
     assert toxicity.toxicity(cases.empty(spark), fold(4) == 2, scorer).count() == 0
     assert toxicity.windows_of(10) == [0] and toxicity.windows_of(33) == [0, 1] and toxicity.windows_of(80) == [0, 16, 32, 48]
-
-
-def test_lattice_keeps_counts_of_a_rare_class():
-    import pyarrow as pa
-
-    from gaugeworks.llm import blocks
-
-    texts = [b"the cat sat"] * 499 + [b"the dog sat"]  # the second class has 0.2 % of the rows
-    table = pa.table({"text": pa.array(texts, pa.binary()), "held_out": [False] * 500, "class": [0] * 499 + [1]})
-    batch = pa.record_batch({"block": pa.array([0, 1]), "payload": pa.array([blocks._packed(table)] * 2, pa.binary())})
-    count = lattice_lm._count(vocabulary_path("piece_bpe_32k.model"), 1, 2)
-    rows = [r for b in count(iter([batch])) for r in b.to_pylist() if r["kind"] == 0]
-    data = lattice_lm._total(2)(0, np.array([r["n"] for r in rows]), [r["data"] for r in rows])
-    words = np.frombuffer(data[0][-64:], np.float64)
-    tokens, kinds, discount = words[4:6], words[6:8], 0.5
-    assert tokens.tolist() == [2 * 3 * 499, 6]
-    for r, told in zip(rows, data):
-        c, shares = lattice_lm._answers([{"part": 0, "n": r["n"], "data": told}], 2)
-        assert sorted(c.tolist()) == [2, 998, 1000, 1000]
-        assert np.allclose((c[:, None] * shares).sum(axis=0), tokens)
-        assert np.allclose(((c - discount)[:, None] * shares).sum(axis=0) / tokens + discount * kinds / tokens, 1)
