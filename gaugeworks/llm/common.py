@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
 import os
@@ -13,29 +15,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_WORK = "/tmp/checkpoints/gaugeworks"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 class Work:
-    """The folders and tables that were written while it was open; drop() deletes them."""
+    """The folders and tables that were written while it was open; drop() deletes them.
+
+    What is written while none is open belongs to the application and is deleted when the driver's Python ends.
+    """
 
-    open: Work | None = None
+    _open: contextvars.ContextVar[Work | None] = contextvars.ContextVar("work", default=None)
+    _application: Work | None = None
 
     def __init__(self):
         self.folders: list[str] = []
         self.tables: list[str] = []
 
     def __enter__(self) -> Work:
-        self.outer, Work.open = Work.open, self
+        self._token = Work._open.set(self)
         return self
 
     def __exit__(self, *_) -> None:
-        Work.open = self.outer
+        Work._open.reset(self._token)
+
+    @classmethod
+    def current(cls) -> Work:
+        if cls._open.get() is not None:
+            return cls._open.get()
+        if cls._application is None:
+            cls._application = Work()
+            atexit.register(cls._application._end)
+        return cls._application
+
+    def _end(self) -> None:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            with contextlib.suppress(Exception):  # the session may be gone already
+                self.drop(spark)
 
     def drop(self, spark: SparkSession) -> None:
         for table in self.tables:
@@ -47,29 +64,36 @@ class Work:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK
+    """A fresh path below the folder that driver and executors share: spark.checkpoint.dir, or else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if Work.open is not None:
-        Work.open.folders.append(path)
+    Work.current().folders.append(path)
     return path
 
 
 def work_table(name: str) -> str:
     """A fresh table name."""
     table = f"gaugeworks_{name}_{uuid.uuid4().hex}"
-    if Work.open is not None:
-        Work.open.tables.append(table)
+    Work.current().tables.append(table)
     return table
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(build, name: str) -> DataFrame:
+    """build()'s rows as a written table; the working files that it made are deleted."""
+    with Work() as own:
+        made = build()
+    out = materialise(made, name)
+    own.drop(made.sparkSession)
+    return out
+
+
 def id_text(column: str = "doc_id") -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

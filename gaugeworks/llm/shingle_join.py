@@ -8,8 +8,10 @@ one coordinate by its own hash, and a second one in a quarter of the cases, so a
 children on average; sets with the same value share a child. Small nodes are leaves. After MAX_DEPTH
 levels what is left is a leaf of any size, cut into cells of two chunks each, so that its pairs are
 compared by many tasks. In a leaf all pairs are compared by their min-hash, and those that are near by
-their whole sets. A pair at similarity s survives a level with probability p = 1 - (1 - s)(1 - s/4), so
-ceil(log(1 - recall) / log(1 - p^MAX_DEPTH)) runs reach the target recall even in the deepest leaves.
+their whole sets. A pair whose min-hashes agree in a share a of the coordinates survives a level with
+probability p = 1 - (1 - a)(1 - a/4). All runs draw from the same coordinates, so the runs that reach the
+target recall even in the deepest leaves follow from the expectation of (1 - p^MAX_DEPTH)^runs over the
+binomial distribution of a at the threshold.
 
 A pair counts in the smallest leaf that both are in. Tasks emit link counts and one edge per set to the
 root of its links in the cell, never the pairs; edges become classes by large-star and small-star rounds.
@@ -291,6 +293,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def runs_for(threshold: float, recall: float) -> int:
+    """The least number of runs that miss at most 1 - recall of the pairs at the threshold in leaves of the last level."""
+    counts = range(COORDINATES + 1)
+    chance = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in counts]
+    lost = [1 - (1 - (1 - k / COORDINATES) * (1 - k / COORDINATES / 4)) ** MAX_DEPTH for k in counts]
+    runs = 1
+    while sum(c * x**runs for c, x in zip(chance, lost)) > 1 - recall and runs < 1000:
+        runs += 1
+    return runs
+
+
 def shingle_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, leaf: int = 1000, chunk: int = 500, slack: float = 0.5) -> DataFrame:
     """Per row: doc_id, class_id (least doc_id of its class), n_links (other documents at the threshold or above), keeper (one row of each class) and _k."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("_k"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -298,13 +311,13 @@ def shingle_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     members = materialise(blocks.select("block", "payload").mapInArrow(_members, MEMBERS), "members")
     rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "block", "at")
     sets = materialise(members.filter("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("first"), F.min_by("signature", rank).alias("signature")), "sets")
-    survive = 1 - (1 - threshold) * (1 - threshold / 4)
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive**MAX_DEPTH)))
+    runs = runs_for(threshold, recall)
     carried = ["set", "copies", F.col("first.block").alias("block"), F.col("first.at").alias("at"), "signature"]
     level, leaves = sets.select(F.lit(None).cast("long").alias("node"), *carried), None
     for depth in range(1, MAX_DEPTH + 1):
         split = materialise(level.mapInArrow(_split(runs), "node long, set long, copies long, block long, at int"), "paths")
-        sizes = split.groupBy("node").count().filter("count > 1")
+        # Written first, so that both sides of the join are plain exchanges and a node of any size can be cut in tasks.
+        sizes = materialise(split.groupBy("node").count().filter("count > 1"), "sizes")
         known = materialise(split.join(sizes, "node"), "nodes")
         done = known if depth == MAX_DEPTH else known.filter(F.col("count") <= leaf)
         leaves = done if leaves is None else leaves.unionByName(done)
