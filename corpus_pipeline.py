@@ -10,8 +10,8 @@ Every stage but the last returns the columns of its input. A stage's rows are wh
 repeat_removal changes a value (text, and n_chars with it). Null texts, nulls in other columns, repeated
 rows and empty tables are dealt with by the operators; of repeated rows stages 2 and 3 keep one.
 
-A stage's result has to be written before the next stage is called, as the pipeline does: a stage first
-deletes the working files of the one before it.
+Stages 2 to 4 write what they decide (row keys, or the cut rows) and delete their other working files before
+they return; what is left of a stage goes with run(), or else when the driver's Python ends.
 """
 
 from __future__ import annotations
@@ -21,47 +21,31 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import exact_dedup as equal
 from gaugeworks.llm import lang_id, packing, repeats, shingle_join
-from gaugeworks.llm.common import Work, documents, fold, keep_rows, materialise
-
-
-_last = Work()
-
-
-def _fresh(spark: SparkSession) -> Work:
-    """A place for this stage's working files; those of the stage before go."""
-    global _last
-    _last.drop(spark)
-    _last = Work()
-    return _last
+from gaugeworks.llm.common import Work, documents, fold, keep_rows, materialise, settled
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with _fresh(spark):
-        model = lang_id.identifier(docs.filter(fold(3) != 1))
-        return lang_id.identified(docs, model).filter("not _gw_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = lang_id.identifier(docs.filter(fold(3) != 1))
+    return lang_id.identified(docs, model).filter("not _gw_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with _fresh(spark):
-        return keep_rows(docs, equal.exact_dedup(docs).filter("kept"))
+    return keep_rows(docs, settled(lambda: equal.exact_dedup(docs).filter("kept").select("_k"), "kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with _fresh(spark):
-        return keep_rows(docs, shingle_join.shingle_join(docs).filter("keeper"))
+    return keep_rows(docs, settled(lambda: shingle_join.shingle_join(docs).filter("keeper").select("_k"), "keepers"))
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with _fresh(spark):
-        cut = repeats.remove_repeats(docs)
+    cut = settled(lambda: repeats.remove_repeats(docs).select(*[F.col(f"`{c}`") for c in docs.columns]), "cut")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with _fresh(spark):
-        return packing.pack_documents(docs)
+    return packing.pack_documents(docs)
 
 
 STAGES = [
@@ -79,9 +63,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = documents(spark, sf_dir), Work()
     for name, stage in STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
-        with Work() as own:
+        with Work() as working:
+            made = stage(spark, docs, sf_dir)
+        with Work() as result:
             docs = materialise(made, f"pipeline-{name}")
+        working.drop(spark)
         before.drop(spark)
-        before = own
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
