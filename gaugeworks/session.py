@@ -7,7 +7,8 @@ from pyspark.sql import SparkSession
 
 def local_session(cores: int | str = 8, app: str = "gaugeworks", partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with the settings every query assumes: UTC and adaptive execution."""
-    spark = (
+    there = SparkSession.getActiveSession()
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or 8))
@@ -16,7 +17,9 @@ def local_session(cores: int | str = 8, app: str = "gaugeworks", partitions: int
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if there is None or not there.conf.get("spark.checkpoint.dir", None):
+        builder = builder.config("spark.checkpoint.dir", "/tmp/checkpoints/gaugeworks")  # local: driver and executors are one process
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
