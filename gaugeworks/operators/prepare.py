@@ -124,8 +124,9 @@ def flattened_text(json: Column) -> Column:
     return coerce_json_text(json)
 
 
-def validated(rows: DataFrame, json: str, schema: str, on_error: str = "fail", max_rows: int | None = None, order: str | None = None) -> DataFrame:
-    """Rows of a declared schema. `skip` drops those that don't fit, after max_rows has counted them; `fail` raises."""
+def validated(rows: DataFrame, json: str, schema: str, on_error: str = "fail", max_rows: int | None = None, order: str | None = None, index: str | None = None) -> DataFrame:
+    """Rows of a declared schema. `skip` drops those that don't fit, after max_rows has counted them; `fail` raises, with
+    the row's number where `index` names its column."""
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
     if max_rows is not None:
@@ -138,5 +139,5 @@ def validated(rows: DataFrame, json: str, schema: str, on_error: str = "fail", m
         whole = whole & F.col(f"_row.{n}").isNotNull()
     if on_error == "skip":
         return told.filter(whole).select(*[F.col(f"_row.{n}").alias(n) for n in names])
-    checked = F.when(whole, F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("invalid row data: "), F.coalesce(F.col(json), F.lit("null")))))
+    checked = F.when(whole, F.col("_row")).otherwise(F.raise_error(F.concat(F.concat(F.lit("row "), F.col(index).cast("string"), F.lit(": ")) if index else F.lit(""), F.lit("invalid row data: "), F.coalesce(F.col(json), F.lit("null")))))
     return told.withColumn("_row", checked).select(*[F.col(f"_row.{n}").alias(n) for n in names])

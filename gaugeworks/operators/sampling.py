@@ -6,7 +6,7 @@ import os
 import time
 import warnings
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
 
 import pandas as pd
@@ -99,7 +99,7 @@ def worker_count(value: int | None = None, variable: str = "GAUGEWORKS_MAX_WORKE
 def external(rows: DataFrame, prompt: str, sample: Callable[[str], str], workers: int | None = None, order: str = "completion") -> DataFrame:
     """rows with response and latency_ms from a callable, `workers` calls at a time in each task. The first error fails the task.
 
-    order: `input` sorts a task's batch back by its rows; `completion` keeps batches as they come.
+    order: `input` keeps the order of a task's rows; `completion` gives the rows of a batch as their answers come.
     """
     n = worker_count(workers)
     names = rows.columns
@@ -111,8 +111,10 @@ def external(rows: DataFrame, prompt: str, sample: Callable[[str], str], workers
 
         with ThreadPoolExecutor(n) as pool:
             for pdf in batches:
-                told = list(pool.map(one, pdf[prompt]))
-                yield pdf[names].assign(response=[t for t, _ in told], latency_ms=[ms for _, ms in told])
+                calls = {pool.submit(one, p): i for i, p in enumerate(pdf[prompt])}
+                done = list(calls) if order == "input" else list(as_completed(calls))
+                told = [c.result() for c in done]
+                yield pdf[names].iloc[[calls[c] for c in done]].assign(response=[t for t, _ in told], latency_ms=[ms for _, ms in told])
 
     if order not in ("input", "completion"):
         raise ValueError("order is 'input' or 'completion'")

@@ -113,12 +113,12 @@ def _beta_share(a: float, b: float, x: float) -> float:
     return front / value
 
 
-def t_quantile(p: float, df: float) -> float:
+def t_inverse(p: float, df: float) -> float:
     """Inverse of Student's distribution, by bisection."""
     if p == 0.5:
         return 0.0
     if p < 0.5:
-        return -t_quantile(1 - p, df)
+        return -t_inverse(1 - p, df)
     lo, hi = 0.0, 1.0
     below = lambda t: 1 - 0.5 * _beta_share(df / 2, 0.5, df / (df + t * t))
     while below(hi) < p:
@@ -130,14 +130,14 @@ def t_quantile(p: float, df: float) -> float:
 
 
 def confidence_interval(rows: DataFrame, value: str, *keys: str, confidence: float = 0.95) -> DataFrame:
-    """mean, low and high by Student's t; one value is its own interval. Quantiles of distinct sizes come by a small join."""
+    """mean, low and high by Student's t; one value is its own interval. A t value is computed once for each distinct size."""
     x = F.col(value)
     told = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("_s")).filter("n > 0")
 
     @F.pandas_udf("double")
-    def quantile(n):
-        known = {k: t_quantile(0.5 + confidence / 2, k - 1) if k > 1 else 0.0 for k in n.unique()}
-        return n.map(known)
+    def t_value(n):
+        return n.map(lambda k: t_inverse(0.5 + confidence / 2, k - 1) if k > 1 else 0.0)
 
-    half = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(quantile("n") * F.col("_s") / F.sqrt("n"))
-    return told.withColumn("_h", half).select(*keys, "n", "mean", (F.col("mean") - F.col("_h")).alias("low"), (F.col("mean") + F.col("_h")).alias("high"))
+    sizes = told.select("n").distinct().withColumn("_t", t_value("n"))
+    half = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.col("_t") * F.col("_s") / F.sqrt("n"))
+    return told.join(sizes, "n").withColumn("_h", half).select(*keys, "n", "mean", (F.col("mean") - F.col("_h")).alias("low"), (F.col("mean") + F.col("_h")).alias("high"))

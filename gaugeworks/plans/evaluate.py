@@ -167,7 +167,7 @@ def run_biomedical(store: Store, rows: DataFrame, json_column: str = "json", mod
 
 
 #: Built-in evaluations by name.
-BUILTINS: dict[str, Callable[..., Report]] = {"similarity": run_similarity, "biomedical": run_biomedical}
+BUILTINS: dict[str, Callable[..., Report]] = {"similarity": run_similarity, "biomedical": run_biomedical, "custom_nocode": run_nocode}
 
 
 def resume(store: Store, run_id: int) -> None:

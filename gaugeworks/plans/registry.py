@@ -6,11 +6,14 @@ are metric points, documents with labels are scored samples, parts are multiple-
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import hashing, json_values, similarity, text
 from gaugeworks.operators import compare, confusion, latest, prepare, sampling, stats, template
 from gaugeworks.plans import store
+from gaugeworks.session import shared_folder
 from gaugeworks.sources import metrics as metric_source
 from gaugeworks.streaming import events as event_stream
 
@@ -62,8 +65,8 @@ def binary_classification(spark, sf_dir):
     return told.withColumns({c: _r(F.col(c)) for c in ("precision", "recall", "specificity", "f1")})
 
 
-_SUMMARY = """SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, var_pop(value) AS variance, quantile_cont(value, 0.5) AS median,
-min(value) AS min, max(value) AS max, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type"""
+_SUMMARY = """SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, var_pop(value) AS variance, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS median,
+min(value) AS min, max(value) AS max, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_cont(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events GROUP BY event_type"""
 
 
 @query(f"SELECT event_type, n, {', '.join(f'round({c}, 6) AS {c}' for c in ('mean', 'std', 'variance', 'median', 'min', 'max', 'p95', 'p99'))} FROM ({_SUMMARY})")
@@ -93,16 +96,16 @@ def clipped_mean(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(_r(stats.clipped_mean(F.col("value"), 0.0, 100.0)).alias("clipped_mean"))
 
 
-def _t_table(confidence: float, most: int) -> str:
-    """Quantiles as SQL literals, for as many rows as there are five values in the small tables' groups."""
-    return ", ".join(f"({n}, {stats.t_quantile(0.5 + confidence / 2, n - 1)!r}::DOUBLE)" for n in range(2, most + 1))
+def _t_table(confidence: float, sizes) -> str:
+    """Values of Student's t as SQL literals."""
+    return ", ".join(f"({n}, {stats.t_inverse(0.5 + confidence / 2, n - 1)!r}::DOUBLE)" for n in sizes)
 
 
-@query(f"""WITH q(n, t) AS (VALUES {_t_table(0.95, 60)}),
-g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS s FROM customer GROUP BY ALL HAVING count(*) <= 60)
-SELECT c_nationkey, c_mktsegment, g.n, round(mean, 4) AS mean, round(mean - coalesce(t * s / sqrt(g.n), 0), 4) AS low, round(mean + coalesce(t * s / sqrt(g.n), 0), 4) AS high FROM g LEFT JOIN q ON g.n = q.n""")
+@query(f"""WITH q(n, t) AS (VALUES {_t_table(0.95, range(2, 201))}),
+g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS s FROM customer GROUP BY ALL)
+SELECT c_nationkey, c_mktsegment, g.n, round(mean, 4) AS mean, round(mean - CASE WHEN g.n = 1 THEN 0 ELSE t * s / sqrt(g.n) END, 4) AS low, round(mean + CASE WHEN g.n = 1 THEN 0 ELSE t * s / sqrt(g.n) END, 4) AS high FROM g LEFT JOIN q ON g.n = q.n""")
 def confidence_interval(spark, sf_dir):
-    """Groups of every size; the SQL's table of quantiles, and with it the SQL's result, ends at 60 customers."""
+    """Groups of every size. The SQL's table of t values has groups of up to 200 customers."""
     told = stats.confidence_interval(table(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey", "c_mktsegment")
     return told.withColumns({c: _r(F.col(c), 4) for c in ("mean", "low", "high")})
 
@@ -132,13 +135,12 @@ def multiclass_f1(spark, sf_dir):
     return confusion.f1_metrics(_cells(spark, sf_dir)).withColumn("metric_value", _r(F.col("metric_value")))
 
 
-@query("SELECT c_custkey AS id, count(o_orderkey) AS samples, max(o_orderdate) AS started_at FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("""SELECT c_custkey AS id, count(o_orderkey) AS samples, CASE WHEN c_nationkey > 0 THEN c_nationkey::DOUBLE END AS duration_s FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey""")
 def list_runs(spark, sf_dir):
-    """Customers are runs, orders their steps."""
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("samples"), F.max("o_orderdate").alias("started_at"))
-    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    told = runs.join(orders, runs["id"] == orders["o_custkey"], "left").select("id", F.coalesce("samples", F.lit(0)).alias("samples"), "started_at")
-    return told.orderBy(F.desc("started_at"), F.desc("id"))
+    """Customers are runs, orders their steps; runs of nation 0 go on."""
+    start = F.timestamp_seconds(F.col("c_custkey") * 60)
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), start.alias("started_at"), F.when(F.col("c_nationkey") > 0, F.timestamp_seconds(F.col("c_custkey") * 60 + F.col("c_nationkey"))).alias("finished_at"))
+    return store.list_runs(runs, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"))).select("id", "samples", "duration_s")
 
 
 def _run_steps(spark, sf_dir, even: bool):
@@ -158,8 +160,7 @@ def compare_steps(spark, sf_dir):
     return told.drop("output_a", "output_b").orderBy("step_key")
 
 
-_ALL_POINTS = "SELECT event_type AS metric_name, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id % 2 = {0} GROUP BY event_type"
-_POINTS = "SELECT event_type AS metric_name, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id % 2 = {0} AND event_id % 50 = 0 GROUP BY event_type"
+_POINTS = "SELECT event_type AS metric_name, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id % 2 = {0} GROUP BY event_type"
 
 
 def _compared_metrics(events):
@@ -176,12 +177,6 @@ d AS (SELECT *, list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i:
 SELECT metric_name, len(x)::INT AS n_a, len(y)::INT AS n_b, round(list_sum(d), 4) AS delta_sum, len(list_filter(d, lambda v: v IS NULL))::INT AS unmatched,
 CASE WHEN len(list_filter(d, lambda v: v > 0)) > 0 AND len(list_filter(d, lambda v: v < 0)) > 0 THEN 'mixed' WHEN len(list_filter(d, lambda v: v > 0)) > 0 THEN 'up' WHEN len(list_filter(d, lambda v: v < 0)) > 0 THEN 'down' ELSE 'same' END AS direction, x = y AS same FROM d""")
 def compare_metrics(spark, sf_dir):
-    """Every fiftieth event, as the SQL has it; compare_metrics_all takes every one."""
-    return _compared_metrics(table(spark, sf_dir, "events").filter("event_id % 50 = 0"))
-
-
-@query(ORACLES["compare_metrics"].replace(_POINTS.format(0), _ALL_POINTS.format(0)).replace(_POINTS.format(1), _ALL_POINTS.format(1)))
-def compare_metrics_all(spark, sf_dir):
     return _compared_metrics(table(spark, sf_dir, "events"))
 
 
@@ -196,14 +191,9 @@ def _points(spark, sf_dir):
 _SCAN = "SELECT CASE WHEN event_type <> 'purchase' THEN event_id END AS step_id, event_type AS metric_name, value AS metric_value, NULL::VARCHAR AS unit, ts AS created_at FROM events"
 
 
-@query(f"{_SCAN} WHERE user_id % 10 = 3")
-def metric_scan(spark, sf_dir):
-    return metric_source.scan(_points(spark, sf_dir).filter("run_id % 10 = 3"))
-
-
 @query(_SCAN)
-def metric_scan_all(spark, sf_dir):
-    """The points of all runs; metric_scan has those that its SQL names."""
+def metric_scan(spark, sf_dir):
+    """The points of all runs."""
     return metric_source.scan(_points(spark, sf_dir))
 
 
@@ -214,10 +204,15 @@ def metric_scan_aggregate(spark, sf_dir):
 
 @query("SELECT event_type AS metric_name, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'purchase' GROUP BY event_type")
 def pending_union(spark, sf_dir):
-    """Persisted points (even ids) and pending ones (odd ids), as a bag."""
-    points = _points(spark, sf_dir)
-    both = points.filter("ord % 2 = 0").unionByName(points.filter("ord % 2 = 1")).filter("step_id is not null")
-    return both.groupBy("metric_name").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("metric_value"), 4).alias("total"))
+    """Persisted points (even ids) and pending ones (odd ids) of one run, as a bag."""
+    points = _points(spark, sf_dir).withColumn("run_id", F.lit(1).cast("long"))
+    kept = metric_source.MetricStore(spark, shared_folder(spark, "points"))
+    kept.emit(points.filter("ord % 2 = 0"))
+    kept.flush(1)
+    kept.emit(points.filter("ord % 2 = 1"))
+    names = [r[0] for r in points.select("metric_name").distinct().collect()]  # a few names
+    told = [kept.sample_values(1, n).agg(F.lit(n).alias("metric_name"), F.count(F.lit(1)).alias("n"), _r(F.sum("metric_value"), 4).alias("total")) for n in names]
+    return functools.reduce(lambda a, b: a.unionByName(b), told).filter("n > 0")
 
 
 @query("SELECT step_id, map_from_entries(list((metric_name, metric_value) ORDER BY metric_name))::VARCHAR AS metrics FROM (SELECT user_id AS step_id, event_type AS metric_name, round(arg_max(value, (ts, event_id)), 2)::VARCHAR AS metric_value FROM events GROUP BY ALL) GROUP BY step_id")
@@ -290,16 +285,8 @@ def choice_shuffle(spark, sf_dir):
     return rows.select("p_partkey", F.array_join(F.transform("p.choices", lambda c: c["text"]), ",").alias("texts"), F.col("p.golden").alias("golden"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN chr(65 + (p_size % 5)::INT) END AS golden FROM part WHERE p_size % 5 < 4")
-def index_answers(spark, sf_dir):
-    """Golden labels from a 1-based index column in text form."""
-    rows = table(spark, sf_dir, "part").filter("p_size % 5 < 4")
-    at = prepare.index_answer((F.col("p_size") % 5 + 1).cast("string"), F.lit(4), 1)
-    return rows.select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in LABELS]), at + 1).alias("golden"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size % 5 < 4 THEN chr(65 + (p_size % 5)::INT) END AS golden FROM part")
-def index_answers_all(spark, sf_dir):
+def index_answers(spark, sf_dir):
     """Every part; one whose index is outside the four choices has no golden label."""
     at = prepare.index_answer((F.col("p_size") % 5 + 1).cast("string"), F.lit(4), 1)
     golden = F.when(F.col("p_size") % 5 < 4, F.element_at(F.array(*[F.lit(x) for x in LABELS]), at + 1))
@@ -358,13 +345,6 @@ def latest_step_state(spark, sf_dir):
     return latest.latest(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-def pending_steps(spark, sf_dir):
-    """Customers without a finished order are steps still to do."""
-    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_counts(spark, sf_dir):
     return event_stream.counts(table(spark, sf_dir, "events"), "user_id", "event_type")
@@ -373,12 +353,9 @@ def event_counts(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_counts_streamed(spark, sf_dir):
     """The same plan over the table read as a stream."""
-    import uuid
-
+    folder = shared_folder(spark, "counts")
     rows = table(spark, sf_dir, "events")
-    name = f"counts_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/gaugeworks"
-    return event_stream.replay(spark, f"{sf_dir}/events.parquet*", rows.schema, lambda s: event_stream.counts(s, "user_id", "event_type"), f"{base.rstrip('/')}/{name}", name)
+    return event_stream.replay(spark, f"{sf_dir}/events.parquet*", rows.schema, lambda s: event_stream.counts(s, "user_id", "event_type"), f"{folder}/checkpoint", f"{folder}/out")
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -425,9 +402,9 @@ def typed_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", json_values.typed(v, "x", "DOUBLE").alias("d"), json_values.typed(v, "x", "STRING").alias("s"))
 
 
-@query("SELECT event_id, printf('%.3fs', value) AS duration, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS created FROM events WHERE round(value, 2) = value")
+@query("SELECT event_id, printf('%.3fs', value) AS duration, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS created FROM events")
 def time_texts(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("round(value, 2) = value")
+    rows = table(spark, sf_dir, "events")
     end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1e6).cast("long"))
     return rows.select("event_id", text.duration_text(F.col("ts"), end).alias("duration"), text.timestamp_text(F.col("ts")).alias("created"))
 
@@ -451,15 +428,6 @@ def event_states(spark, sf_dir):
     return store.event_states(rows)
 
 
-@query("""SELECT c_custkey, CASE WHEN o.s IS NULL THEN 'new' WHEN o.s = 'F' THEN 'reuse' ELSE 'again' END AS decision FROM customer
-LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey""")
-def memo_decisions(spark, sf_dir):
-    """What a step does when it is asked for: start, run again, or reuse the stored output."""
-    stored = latest.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    rows = table(spark, sf_dir, "customer").join(stored, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.select("c_custkey", F.when(F.col("o_orderstatus").isNull(), "new").when(F.col("o_orderstatus") == "F", "reuse").otherwise("again").alias("decision"))
-
-
 @query("""SELECT k::VARCHAR AS step_key, '$.p' AS path, '"' || x || '"' AS run_a, '"' || y || '"' AS run_b FROM (SELECT a.k, a.h AS x, b.h AS y FROM """ + _EVEN + " a JOIN " + _ODD + """ b ON a.k = b.k) WHERE x <> y""")
 def output_differences(spark, sf_dir):
     """Field by field, the outputs of steps that both runs have."""

@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import SparkSession
 
+_FOLDERS: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path that driver and executors share: below spark.checkpoint.dir, or else the warehouse. It goes when the driver's Python ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not _FOLDERS:
+        atexit.register(_drop_folders)
+    _FOLDERS.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def _drop_folders() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the session may be gone already
+        for folder in _FOLDERS if spark else ():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def local_session(cores: int | str = 8, app: str = "gaugeworks", partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session with the settings every query assumes: UTC and adaptive execution."""

@@ -122,11 +122,13 @@ class BatchCache:
     def path(self, at: Coordinates, offset: int, limit: int) -> str:
         return f"{self.root}/{cache_key(at.dataset, at.config or '', at.split or '', at.revision)}/{offset}_{limit}"
 
-    def batch(self, at: Coordinates, rows: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    def batch(self, at: Coordinates, rows: DataFrame, order: Sequence[str], offset: int, limit: int, json: str | None = None) -> DataFrame:
+        """A page of rows. Where `json` names a column of JSON rows, the page is written as typed columns, the union of its keys."""
         path = self.path(at, offset, limit)
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            rows.orderBy(*order).offset(offset).limit(limit).write.mode("overwrite").parquet(path)
+            page = rows.orderBy(*order).offset(offset).limit(limit)
+            (typed_rows(page, json) if json else page).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 

@@ -18,9 +18,10 @@ def windowed(events: DataFrame, at: str, width: str, lateness: str, *keys: str)
     return told.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n")
 
 
-def replay(spark: SparkSession, path: str, schema, build, checkpoint: str, name: str) -> DataFrame:
-    """Run a streaming plan over what is in a folder now, and return the complete result as a table."""
+def replay(spark: SparkSession, path: str, schema, build, checkpoint: str, out: str) -> DataFrame:
+    """Run a streaming plan over what is in a folder now, and return the complete result, written to the folder `out`."""
     stream = build(spark.readStream.schema(schema).parquet(path))
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)

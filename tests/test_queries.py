@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gaugeworks.plans import registry
+from gaugeworks.plans import registry, registry_runs  # noqa: F401  registers more queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

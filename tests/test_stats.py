@@ -45,8 +45,8 @@ def test_strict_mean_raises_on_nothing(spark):
 
 
 @pytest.mark.parametrize("p, df, t", [(0.975, 4, 2.776445), (0.975, 1, 12.706205), (0.95, 10, 1.812461), (0.995, 30, 2.749996), (0.975, 1000, 1.962339)])
-def test_t_quantile(p, df, t):
-    assert stats.t_quantile(p, df) == pytest.approx(t, abs=2e-6)
+def test_t_inverse(p, df, t):
+    assert stats.t_inverse(p, df) == pytest.approx(t, abs=2e-6)
 
 
 def test_confidence_interval(spark):
