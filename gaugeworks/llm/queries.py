@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_url_filter": url_filter.SQL,
 }

@@ -83,6 +83,79 @@ def test_templates(spark):
     assert [told[f"http://{u}"] for u in ("h/bad/9", "h/good/9", "h/mixed/9", "h/other/9", "other/bad/9")] == ["block", "allow", "allow", "allow", "allow"]
 
 
+def slow_tree(urls, rules, max_children=20, rare=0.02, min_support=5, purity=0.8, prior_weight=4.0, z=1.96):
+    """Verdicts by the definition, page by page."""
+
+    def judged(url):
+        host, path, _ = brute_url(url)
+        fits = [(len(t), v) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        shape = tuple("*" if re.search(url_filter.VARIABLE.replace(r"\z", r"\Z"), x) else x for x in path.split("/") if x)
+        return host, shape, max(fits)[1] if fits else None
+
+    rows = [judged(u) for u in urls]
+    children = Counter((h, s[:k], s[k]) for h, s, _ in rows for k in range(len(s)))
+    kinds, whole = Counter((h, p) for h, p, _ in children), Counter()
+    for (h, p, _), n in children.items():
+        whole[h, p] += n
+    wild = lambda h, s, k: kinds[h, s[:k]] > max_children and children[h, s[:k], s[k]] < rare * whole[h, s[:k]]
+    templates = [tuple("*" if wild(h, s, k) else x for k, x in enumerate(s)) for h, s, _ in rows]
+    bad, labelled = Counter(), Counter()
+    for (h, _, given), t in zip(rows, templates):
+        for k in range(len(t) + 1):
+            bad[h, t[:k]] += given == "block"
+            labelled[h, t[:k]] += given is not None
+    known = [(h, t) for h, t in labelled if t and labelled[h, t] >= min_support]
+    merged = {}
+    for h, parent in {(h, t[:-1]) for h, t in known}:
+        own = [t for g, t in known if g == h and t[:-1] == parent]
+        total = sum(labelled[h, t] for t in own)
+        share = sum(bad[h, t] for t in own) / total
+        alike = [t for t in own if abs(bad[h, t] / labelled[h, t] - share) <= z * (share * (1 - share) * (1 / labelled[h, t] + 1 / total)) ** 0.5]
+        merged |= {(h, t): (sum(bad[h, x] for x in alike), sum(labelled[h, x] for x in alike)) for t in alike}
+    out = []
+    for (h, _, given), t in zip(rows, templates):
+        p = 0.5
+        for k in range(len(t) + 1):
+            b, n = merged.get((h, t[:k]), (bad[h, t[:k]], labelled[h, t[:k]]))
+            p = (b + prior_weight * p) / (n + prior_weight)
+        out.append(given or ("block" if p >= purity else "allow"))
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    rules = (("block", "h1/a/x"), ("allow", "h1/a/x/ok"), ("block", "h2/"), ("allow", "h2/fine/"), ("block", "net/de/"), ("allow", "h3.net/de/2"))
+    names = ["a", "b", "fine", "de", "x", "ok", "news", "u"]
+    urls = [None, "http://h1", "http://h1/"]
+    for _ in range(1500):
+        host = r.choice(["h1", "h2", "www.h1", "h3.net", "h4.net", "H2", "other"])
+        depth = r.choice([0, 1, 2, 3, 3, 4, 6])
+        parts = [r.choice(names) if r.random() < 0.75 else r.choice([str(r.randint(1, 400)), f"page-{r.randint(100, 999)}", f"slug{chr(97 + r.randint(0, 25))}{chr(97 + r.randint(0, 25))}"]) for _ in range(depth)]
+        urls.append(f"http://{host}/" + "/".join(parts) + r.choice(["", "/", "?q=1"]))
+    told = {x["page_id"]: x["verdict"] for x in url_filter.url_filter(pages(spark, urls), rules).collect()}
+    want = slow_tree(urls, rules)
+    assert [told[i] for i in range(len(urls))] == want and {"allow", "block"} == set(want)
+
+
+def test_the_tree_reaches_the_whole_depth(spark):
+    """Branches that part at the fourth segment, and pages that only their ancestors' labels reach."""
+    rules = (("block", "h/a/b/c/spam/"), ("allow", "h/a/b/c/news/"))
+    urls = [f"http://h/a/b/c/{x}/{i}" for x in ("spam", "news") for i in range(100, 130)]
+    more = ["http://h/a/b/c/spam", "http://h/a/b/c/news", "http://h/a/b/c/other", "http://g/a/b/c/spam"]
+    told = {(urls + more)[r["page_id"]]: r["verdict"] for r in url_filter.url_filter(pages(spark, urls + more), rules).collect()}
+    assert [told[u] for u in more] == ["block", "allow", "allow", "allow"]
+    only = [f"http://s/en/{i}" for i in range(100, 130)] + ["http://s/de/1", "http://s", "http://s/x/y/z"]
+    told = {only[r["page_id"]]: r["verdict"] for r in url_filter.url_filter(pages(spark, only), (("block", "s/en/"),)).collect()}
+    assert set(told.values()) == {"block"}
+
+
+def test_the_tree_decides_sample_pages(spark):
+    told = url_filter.op8_url_filter(spark, "/root/testdata/sf0.1").filter("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in told} == {"allow", "block"}
+
+
 def test_many_children_become_a_wildcard(spark):
     rules = (("block", "h/u/a"),)
     urls = [f"http://h/u/a{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)] + ["http://h/u/zz"]
