@@ -1,20 +1,26 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-1. Each task folds the equal texts it meets into entries (one text, many rows) and writes rows and
-   entries to the index files. A copy that half of the corpus repeats leaves a task as one entry.
-2. The directory starts with one slot. Every bucket whose texts exceed the capacity splits, and the
-   directory doubles whenever a splitting bucket is as deep as the directory.
-3. Owner tasks stream their buckets (ranges of the key) in key order, chain the entries that share a
-   64-bit key and compare normalised bytes inside the chain. Memory holds one chain's distinct texts.
+1. Each task folds the equal texts it meets into entries (one text, many rows) and writes rows and entries. A copy
+   that half of the corpus repeats leaves a task as one entry.
+2. Entries go to the bucket files of the index by the leading bits of their key, as many as two buckets for `capacity`
+   bytes need. Every bucket that holds more, and more than one key, splits: its file is read and written again as two,
+   by one more bit, and the directory doubles whenever a splitting bucket is as deep as the directory itself.
+3. An owner task per bucket streams its file, chains the entries that share a 64-bit key and compares normalised
+   bytes inside the chain. Memory holds the bucket's distinct texts.
 4. Rows look up the class of their entry. An entry has at most one task's rows, so no key is hot.
 
+A key whose entries alone exceed the capacity (a text that very many tasks have met) can't be split by its bits. Its
+entries are dealt to tasks by their number first, folded there as in step 1, and what is left goes to the bucket.
+
 Cases: a null text is empty; empty texts equal each other; a null doc_id ranks below every other; of
-repeated rows with one doc_id exactly one stays; an empty table gives an empty result; columns other
+repeated rows with one doc_id exactly one stays; a very long text is one entry, larger than its bucket's
+capacity if need be; an empty table gives an empty result; columns other
 than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import documents, materialise, released, row_key
+from gaugeworks.llm.common import documents, materialise, release, released, row_key, work_folder, work_table
 
 #: A-Z only: the 26 other pairs of Unicode stay apart.
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-MAX_DEPTH = 18
+MAX_DEPTH = 20
 
 INDEX = "doc_id long, uid long, _k long, entry_id long, sha binary, leader boolean, key long, n long, top_null boolean, top_doc long, top_uid long, n_bytes long, text binary"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("_k", pa.int64()), ("entry_id", pa.int64()), ("sha", pa.binary()), ("leader", pa.bool_()), ("key", pa.int64()), ("n", pa.int64()), ("top_null", pa.bool_()), ("top_doc", pa.int64()), ("top_uid", pa.int64()), ("n_bytes", pa.int64()), ("text", pa.binary())])
@@ -81,77 +87,124 @@ def _fold_rows(combine_bytes: int):
 class Directory:
     """Slots for the leading `depth` bits of a key; each names a bucket with its own, local depth."""
 
-    def __init__(self, weights: dict[int, int], bits: int, capacity: int):
-        self.depth, self.slots, self.local = 0, [0], [0]
-        pending = [(0, 0, 0)]  # bucket, prefix, local depth
-        while pending:
-            bucket, prefix, depth = pending.pop()
-            lo, hi = prefix << (bits - depth), (prefix + 1) << (bits - depth)
-            total = sum(weights.get(p, 0) for p in range(lo, hi)) if hi - lo < len(weights) else sum(w for p, w in weights.items() if lo <= p < hi)
-            if total <= capacity or depth == bits:
-                continue
-            if depth == self.depth:
-                self.slots = [b for b in self.slots for _ in (0, 1)]
-                self.depth += 1
-            twin = len(self.local)
-            self.local[bucket] = depth + 1
-            self.local.append(depth + 1)
-            upper = (2 * prefix + 1) << (self.depth - depth - 1)
-            for s in range(upper, upper + (1 << (self.depth - depth - 1))):
-                self.slots[s] = twin
-            pending += [(bucket, 2 * prefix, depth + 1), (twin, 2 * prefix + 1, depth + 1)]
-
-
-@released
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in key order: chain equal keys, compare bytes, tell each entry its class."""
-    schema = pa.schema([("entry_id", pa.int64()), ("keep_null", pa.bool_()), ("keep_doc", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64())])
-    current, chain, done = None, [], []
+    def __init__(self, depth: int):
+        self.depth, self.slots, self.local = depth, list(range(1 << depth)), [depth] * (1 << depth)
+        self.prefix = list(range(1 << depth))
+
+    def split(self, bucket: int) -> tuple[int, int]:
+        """Two new buckets for the old one's keys: those with 0 and those with 1 as the next bit."""
+        depth, prefix = self.local[bucket], self.prefix[bucket]
+        if depth == self.depth:
+            self.slots = [b for b in self.slots for _ in (0, 1)]
+            self.depth += 1
+        zero = len(self.local)
+        self.local += [depth + 1, depth + 1]
+        self.prefix += [2 * prefix, 2 * prefix + 1]
+        half = 1 << (self.depth - depth - 1)
+        first = 2 * prefix * half
+        self.slots[first : first + 2 * half] = [zero] * half + [zero + 1] * half
+        return zero, zero + 1
+
+    def find(self, key: int) -> int:
+        """The bucket of a signed 64-bit key."""
+        return self.slots[(key % (1 << 64)) >> (64 - self.depth)] if self.depth else self.slots[0]
+
 
-    def close():
-        for _, members, n, top in chain:
-            done.extend((e, not top[0], top[1], top[2], n) for e in members)
+ENTRIES = ["key", "entry_id", "n", "top_null", "top_doc", "top_uid", "n_bytes", "text"]
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
+def _chained(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list]:
+    """[key, text, entries, rows, top] of each distinct text of a group whose ENTRIES begin at column `at`."""
+    chains: dict[int, list] = {}
     for batch in batches:
-        for key, entry, n, null, doc, uid, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            if key != current:
-                close()
-                current, chain = key, []
-                if len(done) >= 20_000:
-                    yield out()
-                    done = []
-            link = next((c for c in chain if c[0] == text), None)
+        for key, entry, n, null, doc, uid, _, text in zip(*(batch.column(at + i).to_pylist() for i in range(len(ENTRIES)))):
+            chain = chains.setdefault(key, [])
+            link = next((c for c in chain if c[1] == text), None)
             if link is None:
-                link = [text, [], 0, (False, 0, -1)]
+                link = [key, text, [], 0, (False, 0, -1)]
                 chain.append(link)
-            link[1].append(entry)
-            link[2] += n
-            link[3] = max(link[3], (not null, doc, uid))
-    close()
+            link[2].append(entry)
+            link[3] += n
+            link[4] = max(link[4], (not null, doc, uid))
+    for chain in chains.values():
+        yield from chain
+
+
+_CLASSES = pa.schema([("entry_id", pa.int64()), ("keep_null", pa.bool_()), ("keep_doc", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64())])
+CLASSES = "entry_id long, keep_null boolean, keep_doc long, keep_uid long, group_size long"
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's entries with their classes."""
+    done = []
+    for _, _, entries, n, top in _chained(batches, 1):
+        done += [(e, not top[0], top[1], top[2], n) for e in entries]
+        if len(done) >= 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _CLASSES)], schema=_CLASSES)
+            done = []
     if done:
-        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _CLASSES)], schema=_CLASSES)
+    release()
+
+
+_MERGED = pa.schema([("into", pa.int64()), ("key", pa.int64()), ("entry_id", pa.int64()), ("n", pa.int64()), ("top_null", pa.bool_()), ("top_doc", pa.int64()), ("top_uid", pa.int64()), ("n_bytes", pa.int64()), ("text", pa.binary())])
+MERGED = "into long, key long, entry_id long, n long, top_null boolean, top_doc long, top_uid long, n_bytes long, text binary"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One entry for each distinct text of a share of a key's entries, and a row without text for each entry that went into it."""
+    for key, text, entries, n, top in _chained(batches, 2):
+        rows = [(entries[0], key, entries[0], n, not top[0], top[1], top[2], len(text), text)] + [(entries[0], key, e) + (None,) * 6 for e in entries]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MERGED)], schema=_MERGED)
+
+
+def _write_buckets(entries: DataFrame, n: int) -> DataFrame:
+    """A table of files by bucket."""
+    spark = entries.sparkSession
+    table = work_table("dedup")
+    files = min(100_000, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    entries.select("bucket", *ENTRIES).repartition(files, "bucket").write.option("compression", "zstd").bucketBy(files, "bucket").option("path", work_folder(spark, "dedup-buckets")).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def build_index(entries: DataFrame, capacity: int) -> tuple[Directory, list[DataFrame]]:
+    """The directory, and tables of bucket files: a split bucket's entries are in a later table, where its halves are."""
+    spark = entries.sparkSession
+    total = entries.agg(F.sum("n_bytes")).first()[0] or 0
+    tree = Directory(min(MAX_DEPTH, max(0, (2 * total // capacity).bit_length())))
+    bucket = F.shiftrightunsigned("key", 64 - tree.depth) if tree.depth else F.lit(0)
+    table, tables = _write_buckets(entries.withColumn("bucket", bucket.cast("int")), len(tree.slots)), []
+    while True:
+        sizes = table.groupBy("bucket").agg(F.sum("n_bytes").alias("held"), (F.min("key") < F.max("key")).alias("several")).filter((F.col("held") > capacity) & F.col("several"))
+        full = sorted(r["bucket"] for r in sizes.collect() if tree.local[r["bucket"]] < MAX_DEPTH)  # buckets, 2^MAX_DEPTH at most
+        if not full:
+            return tree, [*tables, table]
+        bits = {b: tree.local[b] for b in full}
+        split = spark.createDataFrame([(b, 63 - bits[b], *tree.split(b)) for b in full], "bucket int, shift int, zero int, one int")
+        halves = table.join(F.broadcast(split), "bucket")
+        one = F.expr("shiftrightunsigned(key, shift) & 1") == 1
+        tables.append(table.join(F.broadcast(split.select("bucket")), "bucket", "left_anti"))
+        table = _write_buckets(halves.withColumn("bucket", F.when(one, F.col("one")).otherwise(F.col("zero"))), 2 * len(full))
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 64 << 20, combine_bytes: int = 24 << 20) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256 and _k, the row's key for keep_rows()."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("_k"), F.col("text").cast("string").cast("binary").alias("text"))
-    index = materialise(rows.mapInArrow(_fold_rows(combine_bytes), INDEX), "dedup-index")
-    leaders = index.filter("leader")
-    total = leaders.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(MAX_DEPTH, max(1, (8 * total // capacity).bit_length()))
-    slot = F.shiftrightunsigned("key", 64 - bits)
-    weights = {r[0]: r[1] for r in leaders.groupBy(slot.alias("p")).agg(F.sum("n_bytes")).collect()}  # 2^bits rows at most
-    tree = Directory(weights, bits, capacity)
-    slots = [(s, b) for s, b in enumerate(tree.slots)]
-    slot = F.shiftrightunsigned("key", 64 - tree.depth) if tree.depth else F.lit(0)
-    table = F.broadcast(spark.createDataFrame(slots, "slot long, bucket int"))  # 2^MAX_DEPTH rows at most
-    owned = leaders.withColumn("slot", slot.cast("long")).join(table, "slot")
-    chained = owned.repartition("bucket").sortWithinPartitions("bucket", "key", "entry_id").select("key", "entry_id", "n", "top_null", "top_doc", "top_uid", "text")
-    classes = chained.mapInArrow(_own, "entry_id long, keep_null boolean, keep_doc long, keep_uid long, group_size long")
+    index = materialise(rows.mapInArrow(_fold_rows(combine_bytes), INDEX), "dedup-entries")
+    entries = index.filter("leader").select(*ENTRIES)
+    hot = entries.groupBy("key").agg(F.sum("n_bytes").alias("held"), F.count(F.lit(1)).alias("told")).filter((F.col("held") > capacity) & (F.col("told") > 1)).select("key", F.ceil(F.col("held") / capacity).alias("shares"))
+    hot = materialise(hot, "dedup-hot")
+    merged = None
+    if hot.limit(1).count():
+        share = F.pmod(F.xxhash64("entry_id"), F.col("shares")).alias("share")
+        merged = materialise(entries.join(hot, "key").select("key", share, F.struct(*ENTRIES).alias("e")).select("key", "share", *[F.col(f"e.{c}").alias(f"_{c}") for c in ENTRIES]).groupBy("key", "share").applyInArrow(_merge, MERGED), "dedup-merged")
+        entries = entries.join(hot, "key", "left_anti").select(*ENTRIES).unionByName(merged.filter("text is not null").select(*ENTRIES))
+    _, tables = build_index(entries, capacity)
+    parts = [t.select("bucket", *ENTRIES).groupBy("bucket").applyInArrow(_own, CLASSES) for t in tables]
+    classes = materialise(functools.reduce(DataFrame.unionByName, parts), "dedup-classes")
+    if merged is not None:
+        told = merged.filter("text is null").select("entry_id", "into").join(classes.withColumnRenamed("entry_id", "into"), "into").drop("into")
+        classes = classes.join(merged.select("entry_id").distinct(), "entry_id", "left_anti").unionByName(told.select(*classes.columns))
     return index.select("doc_id", "uid", "_k", "entry_id", "sha").join(classes, "entry_id").select(
         "doc_id",
         F.when(~F.col("keep_null"), F.col("keep_doc")).alias("keep_id"),

@@ -43,14 +43,41 @@ def test_exact_empty(spark):
 
 
 def test_directory_doubles():
-    weights = {p: 10 for p in range(64)} | {5: 500}
-    tree = exact_dedup.Directory(weights, 6, 100)
-    assert len(tree.slots) == 1 << tree.depth and tree.depth == 6 and set(tree.slots) == set(range(len(tree.local)))
-    sums = Counter()
-    for p, w in weights.items():
-        sums[tree.slots[p >> (6 - tree.depth)]] += w
-    assert all(s <= 100 or tree.local[b] == 6 for b, s in sums.items())
-    assert exact_dedup.Directory({}, 4, 10).slots == [0]
+    tree = exact_dedup.Directory(2)
+    assert tree.split(1) == (4, 5) and tree.depth == 3 and tree.slots == [0, 0, 4, 5, 2, 2, 3, 3] and tree.local[4] == 3
+    tree.split(0)
+    assert tree.depth == 3 and tree.slots == [6, 7, 4, 5, 2, 2, 3, 3]
+    tree.split(5)
+    assert tree.depth == 4 and len(tree.slots) == 16 and tree.slots[6:8] == [8, 9]
+    for key in (0, 1, -1, (1 << 62) + 5, -(1 << 63), 7 << 59):
+        bucket = tree.find(key)
+        assert (key % (1 << 64)) >> (64 - tree.local[bucket]) == tree.prefix[bucket]
+    assert exact_dedup.Directory(0).find(-5) == 0
+
+
+def test_index_splits_overfull_buckets(spark):
+    """Keys that crowd under a few leading bits; every entry is in one file, that of the bucket the directory names."""
+    rows = [(k, i, 1, False, i, i, 10, b"0123456789") for i, k in enumerate([*(j << 48 for j in range(64)), *(-(j << 52) - 1 for j in range(20)), *[77] * 9])]
+    df = spark.createDataFrame(rows, "key long, entry_id long, n long, top_null boolean, top_doc long, top_uid long, n_bytes long, text binary")
+    tree, tables = exact_dedup.build_index(df, 100)
+    told = [r for t in tables for r in t.collect()]
+    assert len(told) == len(rows) and len(tables) > 3 and tree.depth == max(tree.local) > 4
+    held = Counter()
+    for r in told:
+        assert tree.find(r["key"]) == r["bucket"]
+        held[r["bucket"]] += r["n_bytes"]
+    keys = defaultdict(set)
+    for r in told:
+        keys[r["bucket"]].add(r["key"])
+    assert all(n <= 100 or len(keys[b]) == 1 or tree.local[b] == exact_dedup.MAX_DEPTH for b, n in held.items())
+
+
+def test_a_text_that_every_task_meets(spark):
+    """Entries of one text beyond the capacity, and texts that collide nowhere."""
+    rows = [(i, "Same text " * 30 if i % 3 else f"own {i}", None) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    told = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df, capacity=600, combine_bytes=200).collect()}
+    assert told == {i: (89, 60, i == 89) if i % 3 else (i, 1, True) for i in range(90)}
 
 
 def brute_repeats(texts, length):
