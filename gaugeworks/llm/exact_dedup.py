@@ -159,11 +159,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _write_buckets(entries: DataFrame, n: int) -> DataFrame:
-    """A table of files by bucket."""
+    """A table of files by bucket, written by about a task a bucket."""
     spark = entries.sparkSession
     table = work_table("dedup")
     files = min(100_000, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    entries.select("bucket", *ENTRIES).repartition(files, "bucket").write.option("compression", "zstd").bucketBy(files, "bucket").option("path", work_folder(spark, "dedup-buckets")).format("parquet").saveAsTable(table)
+    entries.select("bucket", *ENTRIES).repartitionByRange(n, "bucket").write.option("compression", "zstd").bucketBy(files, "bucket").option("path", work_folder(spark, "dedup-buckets")).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
