@@ -9,12 +9,14 @@ is a binary search per character. A document's cross-entropy is its words' summe
 characters; the lowest wins. Rejection is calibrated on the learning rows: a document is rejected if its
 cross-entropy exceeds their mean by `reject_sigmas` deviations at its length, or if it has no letter.
 
-The learning sample is bounded by `max_rows` documents (an equal share for each language, dealt by a hash
-of the id) and by `max_languages` languages, the most frequent ones; scoring covers every whole text.
+Every lang value of the learning rows has a model, so what is sent to the tasks grows with their number.
+The learning sample is bounded: an equal share of `max_rows` documents for each language, at least
+`min_rows`, dealt by a hash of the id; a learning text of more than `max_chars` characters gives one
+passage of that length, from a place by the same hash. Scoring covers every whole text.
 
 Cases: a null text or one without letters is `und` with score 0; if nothing can be learned from, all are
-`und`; equal entropies go to the language that sorts first; repeated rows are judged alike; an empty
-table gives an empty result; columns other than doc_id, text and lang are ignored.
+`und`; equal entropies go to the language that sorts first; repeated rows are judged alike; a very long
+text or word is scored whole, 1,000 texts at a time; an empty table gives an empty result; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -208,10 +210,12 @@ class Identifier:
 
 
 def learn(rows: list[tuple[str, str]], order: int = 4, reject_sigmas: float = 6.0) -> Identifier:
-    """rows: (lang, text). A tenth is set aside for the calibration if there are rows enough."""
+    """rows: (lang, text). A tenth, without the first row of any language, is set aside for the calibration if there are rows enough."""
     languages = sorted({lang for lang, _ in rows})
-    aside = [r for i, r in enumerate(rows) if i % 10 == 9] if len(rows) >= 100 else []
-    used = [r for i, r in enumerate(rows) if i % 10 != 9] if aside else rows
+    firsts = {lang: i for i, (lang, _) in reversed([*enumerate(rows)])}
+    apart = [len(rows) >= 100 and i % 10 == 9 and firsts[lang] != i for i, (lang, _) in enumerate(rows)]
+    aside = [r for r, x in zip(rows, apart) if x]
+    used = [r for r, x in zip(rows, apart) if not x]
     samples = {lang: Counter() for lang in languages}
     for lang, text in used:
         samples[lang].update(w for t in text.lower().split() if (w := letters_of(t)))
@@ -229,17 +233,23 @@ def learn(rows: list[tuple[str, str]], order: int = 4, reject_sigmas: float = 6.
     return out
 
 
-def identifier(docs: DataFrame, max_rows: int = 4000, max_languages: int = 100, order: int = 4) -> Identifier:
+def identifier(docs: DataFrame, max_rows: int = 4000, min_rows: int = 20, max_chars: int = 40_000, order: int = 4) -> Identifier:
     """Learn from the rows of docs that have a lang; docs is already the learning fold."""
     rows = docs.select(id_text().alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect(), key=lambda r: r["lang"])
-    share = max(1, max_rows // max(1, len(sizes)))
-    taken = F.lit(False)
-    deal = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 20))
-    for r in sizes:  # about `share` documents each
-        taken = taken | ((F.col("lang") == r["lang"]) & (deal < min(1 << 20, math.ceil(share / r["count"] * (1 << 20)))))
-    sample = rows.filter(taken).orderBy(F.xxhash64("id"), "id").limit(max_rows) if sizes else rows.limit(0)
-    return learn([(r["lang"], r["text"]) for r in sample.select("lang", "text").collect()], order)
+    rows = rows.withColumn("deal", F.shiftrightunsigned(F.xxhash64("id", F.lit("lang")), 24))  # 40 bits
+    told = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("deal").alias("least"))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in told.collect()}  # a row for each model that follows
+    if not sizes:
+        return learn([], order)
+    share = max(min_rows, max_rows // len(sizes))
+    limits = {lang: max(least, math.ceil(share / n * (1 << 40))) for lang, (n, least) in sizes.items()}
+    limit, least = (F.create_map(*(F.lit(x) for pair in m.items() for x in pair))[F.col("lang")] for m in (limits, {lang: x for lang, (_, x) in sizes.items()}))
+    spare = F.length("text") - max_chars
+    passage = F.when(spare <= 0, F.col("text")).otherwise(F.substring("text", F.pmod(F.col("deal"), spare + 1).cast("int") + 1, F.lit(max_chars)))
+    sample = rows.filter(F.col("deal") <= limit).select("lang", passage.alias("text"), "deal", "id", (F.col("deal") != least).alias("more"))
+    # Each language's first row comes before all others, so the bound leaves none out.
+    taken = sample.orderBy("more", "deal", "id", "text").limit(share * len(sizes)).collect()
+    return learn([(r["lang"], r["text"]) for r in sorted(taken, key=lambda r: (r["deal"], r["id"], r["text"]))], order)
 
 
 def _judge(model):

@@ -158,6 +158,86 @@ def test_language_id_cases(spark):
     assert {r["_gw_lang"] for r in lang_id.identified(df, nothing).collect()} == {"und"} and lang_id.identified(cases.empty(spark), model).count() == 0
 
 
+def slow_kneser_ney(samples, word, language, order, d=0.75):
+    """Natural log-probability of a word by the textbook recursion over dictionaries of strings."""
+    marked = {lang: {"\x02" + w + "\x02": k for w, k in c.items()} for lang, c in samples.items()}
+    letters = {ch for c in samples.values() for w in c for ch in w}
+    counts = [Counter() for _ in range(order + 1)]
+    for w, k in marked[language].items():
+        for end in range(1, len(w)):
+            for n in range(1, min(order, end + 1) + 1):
+                if n == order or n == end + 1:  # highest order, or nothing can stand to the left
+                    counts[n][w[end + 1 - n : end + 1]] += k
+    for n in range(1, order):
+        for gram in {w[end - n : end + 1] for w in marked[language] for end in range(n, len(w))}:
+            counts[n][gram[1:]] += 1
+
+    def chance(context, ch):
+        n = len(context) + 1
+        mine = {g: k for g, k in counts[n].items() if g[:-1] == context}
+        lower = chance(context[1:], ch) if context else 1.0 / max(2, len(letters) + 2)
+        if not mine:
+            return lower
+        total = sum(mine.values())
+        return max(mine.get(context + ch, 0) - d, 0) / total + min(d * len(mine) / total, 1.0) * lower
+
+    w = "\x02" + word + "\x02"
+    return sum(math.log(chance(w[max(0, at - order + 1) : at], w[at])) for at in range(1, len(w)))
+
+
+def test_kneser_ney_against_the_slow_recursion():
+    samples = {"a": Counter({"the": 5, "then": 2, "hat": 1, "a": 7}), "b": Counter({"der": 4, "den": 3, "hut": 1, "\u00fc": 2})}
+    words = ["the", "hen", "der", "a", "\u00fc", "zzz", "thethe", "x"]
+    for order in (1, 2, 3, 4):
+        told = lang_id.Models(["a", "b"], [samples["a"], samples["b"]], order).word_scores(words)
+        for i, w in enumerate(words):
+            assert told[i].tolist() == pytest.approx([slow_kneser_ney(samples, w, lang, order) for lang in "ab"])
+
+
+def test_every_language_is_learned(spark):
+    """No class is left out, however many there are and however rare or long their rows."""
+    words = [chr(97 + i // 26) * 3 + chr(97 + i % 26) * 3 for i in range(150)]
+    rows = [(1000 * i + k, f"l{i:03d}", f"{w} {w}") for i, w in enumerate(words) for k in range(3 if i else 400)]
+    rows.append((999_999, "long", "qqxqq " * 30_000))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = lang_id.identifier(df, max_rows=200, min_rows=2)
+    assert model.models.languages == sorted({r[1] for r in rows})
+    told = {r["lang"] for r in lang_id.identified(df, model).filter("_gw_lang = lang").select("lang").distinct().collect()}
+    assert told == {r[1] for r in rows}
+
+
+def slow_logit(network, words):
+    """One window, one word and one state at a time."""
+    p, h = {k: v.astype(float) for k, v in network.p.items()}, toxicity.HIDDEN
+    x = network.inputs(words)[0].astype(float)
+    states = {}
+    for s, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        state = np.zeros(h)
+        for t in order:
+            own = x[t] @ p["w" + s] + p["c" + s]
+            pushed = state @ p["u" + s]
+            z, r = (1 / (1 + np.exp(-(own[k : k + h] + pushed[k : k + h]))) for k in (0, h))
+            new = np.tanh(own[2 * h :] + r * pushed[2 * h :])
+            state = (1 - z) * new + z * state
+            states[s, t] = state
+    both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(words))]
+    weights = np.exp([v @ p["attend"] for v in both])
+    return sum(w * (v @ p["out"]) for w, v in zip(weights / weights.sum(), both)) + p["bias"][0]
+
+
+def test_scores_against_a_slow_network():
+    """The largest logit over all overlapping windows, with short, full and many windows."""
+    r = np.random.default_rng(3)
+    vocabulary = {f"w{i}": i + 1 for i in range(20)}
+    network = toxicity.Network(vocabulary, r.normal(0, 1, 21))
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 30, n)) for n in (1, 5, toxicity.WINDOW, toxicity.WINDOW + 1, 3 * toxicity.WINDOW + 7)]
+    told = toxicity.Scorer(network).largest(texts)
+    for text, got in zip(texts, told):
+        words = [toxicity.cleaned(w) for w in text.split()]
+        want = max(slow_logit(network, words[a : a + toxicity.WINDOW]) for a in toxicity.windows_of(len(words)))
+        assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_gradient():
     r = np.random.default_rng(0)
     net = toxicity.Network({"bad": 1, "good": 2}, np.array([0, 1.0, -1.0]))
