@@ -6,6 +6,7 @@
 2. Rows are dealt in ranges of (sketch, row). A sketch is three min-hashes of a document's ids, weighted by
    the square of their idf; the end id and ids of a single document don't count. Copies have one sketch,
    and similar documents often begin alike; a sketch that many documents share is still cut into even ranges.
+   Where the session's shuffle partitions would hold more than `task_shards` shards' ids each, there are more ranges.
 3. Each range is indexed shard by shard (at most `shard_tokens` ids and `shard_docs` documents). A seed
    document is laid into the open window; its best unused neighbours by BM25 over the seed's rarest
    terms follow until the window is full. The document that crosses the end is cut, and its rest opens
@@ -392,7 +393,7 @@ def _pack(idf: np.ndarray, mean: float, width: str, window: int, shard_tokens: i
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = 1 << 20, shard_docs: int = 2000, query_terms: int = 16, neighbours: int = 12) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = 1 << 20, shard_docs: int = 2000, query_terms: int = 16, neighbours: int = 12, task_shards: int = 16) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or vocabulary_path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -404,7 +405,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     for at, count in tokens.filter("uid < 0").select(F.posexplode("df")).filter("col > 0").groupBy("pos").agg(F.sum("col")).collect():  # a row per id of the vocabulary
         df[at] = count
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    dealt = texts.select("doc_id", "uid", "ids").mapInArrow(_sketched(sketch_ranks(df, idf), encoder.width), DEALT).repartitionByRange("sketch", "uid").sortWithinPartitions("sketch", "uid").select("doc_id", "ids")
+    sketched = texts.select("doc_id", "uid", "ids").mapInArrow(_sketched(sketch_ranks(df, idf), encoder.width), DEALT)
+    ranges = -(-(total or 0) // (shard_tokens * task_shards))
+    more = [ranges] if ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    dealt = sketched.repartitionByRange(*more, "sketch", "uid").sortWithinPartitions("sketch", "uid").select("doc_id", "ids")
     run = _pack(idf, max(1.0, (total or 0) / max(n, 1)), encoder.width, window, shard_tokens, shard_docs, query_terms, neighbours)
     return dealt.mapInArrow(run, PIECES)
 

@@ -200,3 +200,21 @@ def test_packing_copies_far_apart_meet(spark):
     for p in packing.pack_documents(df, shard_docs=12).collect():
         own[p["doc_id"]].add(p["sequence_id"])
     assert sum(bool(own[i] & own[i + 60]) for i in range(60)) > 40  # none when rows are dealt in input order
+
+
+def test_packing_ranges_grow_with_the_ids(spark):
+    """Beyond the session's shuffle partitions a task has a bounded share, and every id still lies in one piece."""
+    df = spark.createDataFrame([(i, f"word{i} " * (1 + i % 50)) for i in range(400)], "doc_id long, text string")
+    pieces = packing.pack_documents(df, shard_tokens=64, task_shards=2)
+    rows = pieces.collect()
+    assert len({p["sequence_id"] >> 33 for p in rows}) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = defaultdict(list)
+    for p in rows:
+        got[p["doc_id"]].append((p["start"], p["length"], p["doc_tokens"]))
+    assert len(got) == 400
+    for own in got.values():
+        at = 0
+        for start, length, size in sorted(own):
+            assert start == at
+            at += length
+        assert at == size
