@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeworks.llm import bpe_codec, exact_dedup, lang_id, lattice_lm, packing, quality_rules, repeats, shingle_join, toxicity, url_filter
+from gaugeworks.llm import axis_search, bpe_codec, code_compression, exact_dedup, lang_id, lattice_lm, packing, quality_rules, repeats, shingle_join, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_repeats": repeats.op9_repeats,
     "op10_shingle_join": shingle_join.op10_shingle_join,
+    "op11_code_compression": code_compression.op11_code_compression,
+    "op12_axis_search": axis_search.op12_axis_search,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op11_code_compression": code_compression.SQL,
 }
