@@ -10,10 +10,11 @@ residual norms r, q about the blocks' means,
 
     |x - c|^2  >=  (s - t)^2 / L + (r - q)^2
 
-so the sum of it over the blocks of a part bounds the distance from below. One block comes first, for every entry;
-entries whose bound is beyond the exact distance to the most promising one go. What is left meets the bound over four
-blocks, and the survivors of that get exact integer distances. Bounds are doubles with a margin far above their
-rounding, so no entry that could be nearest, or as near, ever goes.
+so the sum of it over the blocks of a part bounds the distance from below; it is itself the squared distance of two
+short points, a mean and a norm for each block, and one product of matrices gives it for all rows and entries. One block
+comes first, then four, then eight: each level takes the exact distance to its most promising entry and lets go of all whose bound
+is beyond the least of these. The survivors get exact integer distances. Bounds are doubles with a margin far above
+their rounding, so no entry that could be nearest, or as near, ever goes.
 
 Cases: rows whose vector is null or has null or non-finite components are dropped. All-equal and repeated rows are
 coded alike; the first codebook takes rows by (vec_id, vector), so repeated ids don't depend on the order of input, and
@@ -38,7 +39,7 @@ from gaugeworks.llm.vectors import dimension, embeddings, matrix, usable
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Blocks of a part, coarse to fine, before exact distances.
-LEVELS = (1, 4)
+LEVELS = (1, 4, 8)
 LARGEST = 2**26
 CHUNK = 1024
 
@@ -50,40 +51,39 @@ def integers(values: np.ndarray) -> np.ndarray:
     return scaled.astype(np.int64)
 
 
-def _blocks(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths of the blocks, and every row's sums and residual norms by block."""
+def _sketch(x: np.ndarray, count: int) -> np.ndarray:
+    """Rows as points whose squared distances are the bound: each block's mean and residual norm, scaled by its length."""
     bounds = np.unique(np.linspace(0, x.shape[1], count + 1).astype(int))
     length = np.diff(bounds)
     sums = np.add.reduceat(x, bounds[:-1], axis=1)
     squares = np.add.reduceat(x * x, bounds[:-1], axis=1)
-    return length, sums.astype(np.float64), np.sqrt((length * squares - sums * sums) / length)
+    return np.concatenate((sums / np.sqrt(length), np.sqrt((length * squares - sums * sums) / length)), axis=1)
 
 
-def _possible(bound: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Whether a lower bound, less its rounding, doesn't exceed a distance."""
-    return bound * (1 - 1e-9) - 1e-3 <= distance
+def _bounds(x: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Squared distances of all sketches of rows and entries, less a margin for the rounding of products of this size."""
+    own, others = np.einsum("ij,ij->i", x, x)[:, None], np.einsum("ij,ij->i", entries, entries)
+    return own - 2 * (x @ entries.T) + others - 1e-12 * (own + others) - 1e-3
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Per row of x the nearest entry (the lowest index of ties), its exact squared distance; and how many exact distances were taken."""
     if not x.shape[1]:
         return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 0
-    levels = [(_blocks(x, n), _blocks(entries, n)) for n in LEVELS]
-    (length, s, r), (_, t, q) = levels[0]
-    bound = (s - t.T) ** 2 / length + (r - q.T) ** 2
-    likely = x - entries[bound.argmin(axis=1)]
-    within = (likely * likely).sum(axis=1).astype(np.float64)
-    row, entry = np.nonzero(_possible(bound, within[:, None]))
-    for (length, s, r), (_, t, q) in levels[1:]:
-        bound = ((s[row] - t[entry]) ** 2 / length + (r[row] - q[entry]) ** 2).sum(axis=1)
-        kept = _possible(bound, within[row])
-        row, entry = row[kept], entry[kept]
+    within = np.full(len(x), np.inf)
+    possible, taken = np.ones((len(x), len(entries)), bool), 0
+    for count in LEVELS:
+        bound = _bounds(_sketch(x, count), _sketch(entries, count))
+        likely = x - entries[bound.argmin(axis=1)]
+        within, taken = np.minimum(within, (likely * likely).sum(axis=1)), taken + len(x)
+        possible &= bound <= within[:, None]
+    row, entry = np.nonzero(possible)
     apart = x[row] - entries[entry]
-    exact = (apart * apart).sum(axis=1)
+    exact = np.einsum("ij,ij->i", apart, apart)
     first = np.flatnonzero(np.diff(row, prepend=-1))
     least = np.minimum.reduceat(exact, first)
     index = np.minimum.reduceat(np.where(exact == np.repeat(least, np.diff(first, append=len(row))), entry, len(entries)), first)
-    return index, least, len(row)
+    return index, least, taken + len(row)
 
 
 def _coded(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
