@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.json_values import field_differences
-from gaugeworks.operators.latest import latest
+from gaugeworks.operators.latest import latest, ranked
 
 
 def step_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -34,35 +34,42 @@ def output_differences(steps: DataFrame) -> DataFrame:
     return field_differences(texts.filter("raw_a <> raw_b"), "raw_a", "raw_b", "step_key")
 
 
-def vectors(points: DataFrame, order: list[str]) -> DataFrame:
-    """metric_name and its values in order."""
-    held = F.array_sort(F.collect_list(F.struct(*order, "metric_value")))
-    return points.groupBy("metric_name").agg(F.transform(held, lambda x: x["metric_value"]).alias("vals"))
-
-
-def deltas(a: Column, b: Column) -> Column:
-    """b - a place by place, null beyond the shorter."""
-    return F.zip_with(a, b, lambda x, y: y - x)
-
-
-def direction(d: Column) -> Column:
-    up, down = F.exists(d, lambda x: F.coalesce(x > 0, F.lit(False))), F.exists(d, lambda x: F.coalesce(x < 0, F.lit(False)))
-    return F.when(up & down, "mixed").when(up, "up").when(down, "down").otherwise("same")
+def metric_pairs(a: DataFrame, b: DataFrame, order: tuple[str, ...] = ("created_at", "ord")) -> DataFrame:
+    """metric_name, position, in_a, in_b, value_a, value_b, delta (b - a): the points of both runs place by place.
 
+    A row for each place of the longer vector; what one run lacks is null. Places are ranks over ranges of points, so a
+    metric's vector is never in one task.
+    """
+    sides = [p.select("metric_name", F.col("metric_value").cast("double").alias("value"), *order, F.lit(i).alias("_side")) for i, p in enumerate((a, b))]
+    placed = ranked(sides[0].unionByName(sides[1]), ["_side", "metric_name"], order)
+    left, right = (placed.filter(F.col("_side") == i).select("metric_name", "position", F.col("value").alias(f"value_{n}"), F.lit(True).alias(f"in_{n}")) for i, n in enumerate("ab"))
+    both = left.join(right, ["metric_name", "position"], "full_outer")
+    here = {f"in_{n}": F.coalesce(f"in_{n}", F.lit(False)) for n in "ab"}
+    return both.withColumns(here).withColumn("delta", F.col("value_b") - F.col("value_a"))
 
-def equal_vectors(a: Column, b: Column) -> Column:
-    """Exact and in order; NaN equals nothing."""
-    return (a == b) & ~F.exists(a, lambda x: F.isnan(x))
 
+def metric_rows(pairs: DataFrame) -> DataFrame:
+    """metric_name, n_a, n_b, delta_sum, unmatched, direction, same of metric_pairs().
 
-def metric_rows(a: DataFrame, b: DataFrame, order: tuple[str, ...] = ("created_at", "ord")) -> DataFrame:
-    """Full outer join of metric vectors: values, deltas, direction, same."""
-    empty = F.array().cast("array<double>")
-    left = vectors(a, list(order)).withColumnRenamed("vals", "run_a")
-    right = vectors(b, list(order)).withColumnRenamed("vals", "run_b")
-    both = left.join(right, "metric_name", "full_outer").select("metric_name", F.coalesce("run_a", empty).alias("run_a"), F.coalesce("run_b", empty).alias("run_b"))
-    both = both.withColumn("deltas", deltas(F.col("run_a"), F.col("run_b")))
-    return both.withColumns({"direction": direction(F.col("deltas")), "same": equal_vectors(F.col("run_a"), F.col("run_b"))})
+    Direction: up, down, mixed or same by the signs of the deltas. Same: equal length and values, exact and in order; NaN
+    equals nothing.
+    """
+    a, b, d = F.col("value_a"), F.col("value_b"), F.col("delta")
+    alike = F.col("in_a") & F.col("in_b") & (a.eqNullSafe(b)) & ~(F.isnan(F.coalesce(a, F.lit(0.0))))
+    told = pairs.groupBy("metric_name").agg(
+        F.count_if("in_a").alias("n_a"), F.count_if("in_b").alias("n_b"), F.sum(d).alias("delta_sum"), F.count_if(d.isNull()).alias("unmatched"),
+        F.coalesce(F.bool_or((d > 0) & ~F.isnan(d)), F.lit(False)).alias("_up"), F.coalesce(F.bool_or(d < 0), F.lit(False)).alias("_down"), F.bool_and(alike).alias("same"),
+    )
+    way = F.when(F.col("_up") & F.col("_down"), "mixed").when(F.col("_up"), "up").when(F.col("_down"), "down").otherwise("same")
+    return told.select("metric_name", "n_a", "n_b", "delta_sum", "unmatched", way.alias("direction"), "same")
+
+
+def metric_vectors(pairs: DataFrame) -> DataFrame:
+    """metric_name, run_a, run_b, deltas as arrays, with direction and same: for showing run-level metrics, which are few points a name."""
+    at = F.array_sort(F.collect_list(F.struct("position", "in_a", "in_b", "value_a", "value_b", "delta")))
+    own = lambda n: F.transform(F.filter("_p", lambda p: p[f"in_{n}"]), lambda p: p[f"value_{n}"]).alias(f"run_{n}")
+    told = pairs.groupBy("metric_name").agg(at.alias("_p")).select("metric_name", own("a"), own("b"), F.transform("_p", lambda p: p["delta"]).alias("deltas"))
+    return told.join(metric_rows(pairs).select("metric_name", "direction", "same"), "metric_name")
 
 
 def differs(steps: DataFrame, metrics: DataFrame, input_same: bool, output_same: bool) -> bool:

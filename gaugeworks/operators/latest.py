@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gaugeworks.session import written
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -21,24 +24,25 @@ def last_values(points: DataFrame, key: Sequence[str], name: str, value: str, or
     return single.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(name, "_v"))).alias("metrics"))
 
 
-def indexed(rows: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
-    """A dense 0-based index in global order, without one task that holds all rows.
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """rows with a dense 0-based place within their group (`by`, none for all rows) in `order`; null keys are a group.
 
-    Rows are range-partitioned by the order; each partition is numbered on its own and shifted by the sizes of those
-    before it (one row per partition comes to the driver).
+    No task holds a group: rows are dealt by ranges of (group, order) and written with the number of their range, each
+    range numbers its part of a group, and the parts' sizes, added up in the order of ranges, shift it. Ties stay in one
+    range, in any order.
     """
-    from pyspark.sql.window import Window
-
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    placed = placed.persist()
-    sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
-    starts, total = {}, 0
-    for part, n in sizes:
-        starts[part] = total
-        total += n
-    shift = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_part")] if starts else F.lit(0)
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn(name, (nth + shift).cast("long")).drop("_part")
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    placed = written(rows.withColumn("_g", group).repartitionByRange("_g", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("_g", "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_g", "_part").orderBy(*order))
+    return placed.join(starts, ["_g", "_part"]).withColumn(name, (F.col("_start") + nth - 1).cast("long")).drop("_g", "_part", "_start")
+
+
+def indexed(rows: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
+    """A dense 0-based index in global order, without one task that holds all rows."""
+    return ranked(rows, [], order, name)
 
 
 def page(rows: DataFrame, order: Sequence[str], offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.quantiles import quantiles
+
 EPSILON = 2.220446049250313e-16
 
 
@@ -34,7 +36,7 @@ def stddev(x: Column, sample: bool = False) -> Column:
 
 
 def percentiles(x: Column, *at: float) -> Column:
-    """Exact, linear between neighbours. Holds a group's values: use approx_percentiles() for groups beyond memory."""
+    """Exact, linear between neighbours, as an aggregate that holds a group's values: quantiles.quantiles() is for groups of any size."""
     return F.percentile(x, F.array(*[F.lit(float(p)) for p in at]))
 
 
@@ -52,12 +54,9 @@ def clipped_mean(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 def summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """mean, std, variance (population), median, min, max, p95, p99 by key; no row for a key without values."""
     x = F.col(value)
-    told = rows.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.var_pop(x).alias("variance"),
-        F.min(x).alias("min"), F.max(x).alias("max"), percentiles(x, 0.5, 0.95, 0.99).alias("_p"),
-    )
-    told = told.filter("n > 0").withColumns({"median": F.col("_p")[0], "p95": F.col("_p")[1], "p99": F.col("_p")[2]})
-    return told.select(*keys, "n", "mean", "std", "variance", "median", "min", "max", "p95", "p99")
+    also = {"mean": F.avg(x), "std": F.stddev_pop(x), "variance": F.var_pop(x), "min": F.min(x), "max": F.max(x)}
+    told = quantiles(rows, value, keys, (0.5, 0.95, 0.99), also)
+    return told.select(*keys, "n", "mean", "std", "variance", F.col("q")[0].alias("median"), "min", "max", F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 
 
 def long_metrics(told: DataFrame, names: dict[str, str], *keys: str, unit: str | None = None) -> DataFrame:

@@ -202,6 +202,6 @@ def compared(store: Store, a: int, b: int) -> dict:
         raise StoreError("there is no such run")
     steps = cmp.step_rows(store.steps(a), store.steps(b))
     points = [store.metrics.points(i).filter("step_id is null") for i in (a, b)]
-    metrics = cmp.metric_rows(*points)
+    metrics = cmp.metric_vectors(cmp.metric_pairs(*points))
     warning = None if left["workflow_name"] == right["workflow_name"] else f"comparing {left['workflow_name']} with {right['workflow_name']}"
     return {"steps": steps, "outputs": cmp.output_differences(steps), "metrics": metrics, "warning": warning, "differs": cmp.differs(steps, metrics, left["input"] == right["input"], left["output"] == right["output"])}

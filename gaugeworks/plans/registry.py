@@ -166,9 +166,8 @@ _POINTS = "SELECT event_type AS metric_name, list(value ORDER BY ts, event_id) A
 def _compared_metrics(events):
     """Events are points; users with even and odd ids are the two runs."""
     rows = events.select("user_id", F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"), F.col("ts").alias("created_at"), F.col("event_id").alias("ord"))
-    told = compare.metric_rows(rows.filter("user_id % 2 = 0").drop("user_id"), rows.filter("user_id % 2 = 1").drop("user_id"))
-    total = F.aggregate(F.filter("deltas", lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v)
-    return told.select("metric_name", F.size("run_a").alias("n_a"), F.size("run_b").alias("n_b"), F.when(F.size(F.filter("deltas", lambda v: v.isNotNull())) > 0, _r(total, 4)).alias("delta_sum"), F.size(F.filter("deltas", lambda v: v.isNull())).alias("unmatched"), "direction", "same")
+    told = compare.metric_rows(compare.metric_pairs(rows.filter("user_id % 2 = 0").drop("user_id"), rows.filter("user_id % 2 = 1").drop("user_id")))
+    return told.select("metric_name", F.col("n_a").cast("int"), F.col("n_b").cast("int"), _r(F.col("delta_sum"), 4).alias("delta_sum"), F.col("unmatched").cast("int"), "direction", "same")
 
 
 @query(f"""WITH a AS ({_POINTS.format(0)}), b AS ({_POINTS.format(1)}),

@@ -137,7 +137,7 @@ def output_metrics(spark, sf_dir):
 def comparison_verdicts(spark, sf_dir):
     even, odd = (_run_steps(spark, sf_dir, x) for x in (True, False))
     points = _points(spark, sf_dir)
-    same = compare.metric_rows(points, points)
+    same = compare.metric_rows(compare.metric_pairs(points, points))
     own = compare.step_rows(even, even)
     told = [("itself", compare.differs(own, same, True, True)), ("other input", compare.differs(own, same, False, True)), ("other steps", compare.differs(compare.step_rows(even, odd), same, True, True))]
     return spark.createDataFrame(told, "pair string, differs boolean")

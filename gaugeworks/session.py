@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[str] = []
 
@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return _FOLDERS[-1]
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder, read back: what is read twice is computed once, and survives lost executors."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _drop_folders() -> None:
     spark = SparkSession.getActiveSession()
     with contextlib.suppress(Exception):  # the session may be gone already

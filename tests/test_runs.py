@@ -169,7 +169,7 @@ def test_comparisons(spark):
     p = "metric_name string, metric_value double, created_at timestamp, ord long"
     x = spark.createDataFrame([("m", 1.0, None, 1), ("m", 2.0, None, 2), ("gone", 1.0, None, 1), ("nan", float("nan"), None, 1)], p)
     y = spark.createDataFrame([("m", 1.5, None, 1), ("nan", float("nan"), None, 1)], p)
-    told = {r["metric_name"]: r for r in compare.metric_rows(x, y).collect()}
+    told = {r["metric_name"]: r for r in compare.metric_vectors(compare.metric_pairs(x, y)).collect()}
     assert told["m"]["deltas"] == [0.5, None] and told["m"]["direction"] == "up" and not told["m"]["same"]
     assert told["gone"]["direction"] == "same" and not told["gone"]["same"] and not told["nan"]["same"]
 
