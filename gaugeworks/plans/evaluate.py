@@ -69,13 +69,13 @@ def _execute(store: Store, run_id: int, ready: DataFrame, answer: Callable[[Data
     results = store.spark.read.parquet(path)
     store.finish_steps(run_id, results.select("step_key", "output", F.lit(None).cast("string").alias("error")))
     sample = F.expr("stack(3, 'latency_ms', latency_ms, 'is_correct', cast(is_correct as double), 'response_parsed', cast(parsed_response is not null as double)) as (metric_name, metric_value)")
-    store.metrics.emit(results.select(F.lit(run_id).cast("long").alias("run_id"), F.col("step_id"), sample).withColumn("unit", F.when(F.col("metric_name") == "latency_ms", "ms")))
+    store.metrics.emit(results.select(F.lit(run_id).cast("long").alias("run_id"), F.col("step_id"), sample).withColumn("unit", F.when(F.col("metric_name") == "latency_ms", "ms")), run_id)
     return store.steps(run_id).filter("status = 'completed'")
 
 
 def _run_metrics(store: Store, run_id: int, told: DataFrame) -> None:
     """Run-level points from (metric_name, metric_value, unit) rows."""
-    store.metrics.emit(told.select(F.lit(run_id).cast("long").alias("run_id"), F.lit(None).cast("long").alias("step_id"), "metric_name", "metric_value", "unit"))
+    store.metrics.emit(told.select(F.lit(run_id).cast("long").alias("run_id"), F.lit(None).cast("long").alias("step_id"), "metric_name", "metric_value", "unit"), run_id)
 
 
 def _latencies(store: Store, run_id: int) -> DataFrame:

@@ -6,8 +6,6 @@ are metric points, documents with labels are scored samples, parts are multiple-
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import hashing, json_values, similarity, text
@@ -206,12 +204,11 @@ def pending_union(spark, sf_dir):
     """Persisted points (even ids) and pending ones (odd ids) of one run, as a bag."""
     points = _points(spark, sf_dir).withColumn("run_id", F.lit(1).cast("long"))
     kept = metric_source.MetricStore(spark, shared_folder(spark, "points"))
-    kept.emit(points.filter("ord % 2 = 0"))
+    kept.emit(points.filter("ord % 2 = 0"), 1)
     kept.flush(1)
-    kept.emit(points.filter("ord % 2 = 1"))
-    names = [r[0] for r in points.select("metric_name").distinct().collect()]  # a few names
-    told = [kept.sample_values(1, n).agg(F.lit(n).alias("metric_name"), F.count(F.lit(1)).alias("n"), _r(F.sum("metric_value"), 4).alias("total")) for n in names]
-    return functools.reduce(lambda a, b: a.unionByName(b), told).filter("n > 0")
+    kept.emit(points.filter("ord % 2 = 1"), 1)
+    told = kept.sample_values(1)
+    return told.groupBy("metric_name").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("metric_value"), 4).alias("total"))
 
 
 @query("SELECT step_id, map_from_entries(list((metric_name, metric_value) ORDER BY metric_name))::VARCHAR AS metrics FROM (SELECT user_id AS step_id, event_type AS metric_name, round(arg_max(value, (ts, event_id)), 2)::VARCHAR AS metric_value FROM events GROUP BY ALL) GROUP BY step_id")

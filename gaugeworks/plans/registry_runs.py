@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeworks.functions import hashing, json_values, similarity, text
 from gaugeworks.operators import compare, confusion, prepare, sampling, template
@@ -24,7 +25,7 @@ def _customers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("step_key"), hashing.input_hash(F.col("c_name")).alias("input_hash"), "c_nationkey")
 
 
-def _asked_again(spark, sf_dir):
+def _asked_again(spark, sf_dir, between=lambda store, run_id: None):
     """A run's steps: customers with orders are begun first; a third of their nations' steps complete and a third fail. Then all customers are asked for."""
     runs = _store(spark)
     run_id = runs.create_run("memo")
@@ -33,8 +34,8 @@ def _asked_again(spark, sf_dir):
     todo, _ = runs.begin_steps(run_id, first)
     ended = todo.filter("c_nationkey % 3 < 2").select("step_key", F.concat(F.lit("out-"), "step_key").alias("output"), F.when(F.col("c_nationkey") % 3 == 1, "broken").alias("error"))
     runs.finish_steps(run_id, ended)
-    known = runs.steps(run_id).select("step_key", F.col("status").alias("before"))
-    return run_id, runs, known, runs.begin_steps(run_id, wanted)
+    between(runs, run_id)
+    return run_id, runs, runs.begin_steps(run_id, wanted)
 
 
 _FIRST = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
@@ -43,7 +44,7 @@ _FIRST = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
 @query(f"SELECT c_custkey::VARCHAR AS step_key, CASE WHEN NOT {_FIRST} THEN 'again or new' WHEN c_nationkey % 3 = 0 THEN 'reuse' ELSE 'again or new' END AS decision, CASE WHEN {_FIRST} AND c_nationkey % 3 = 0 THEN 'out-' || c_custkey END AS output FROM customer")
 def memo_decisions(spark, sf_dir):
     """What steps do when they are asked for again: run, or reuse the stored output."""
-    _, _, _, (todo, reused) = _asked_again(spark, sf_dir)
+    _, _, (todo, reused) = _asked_again(spark, sf_dir)
     run = todo.select("step_key", F.lit("again or new").alias("decision"), F.lit(None).cast("string").alias("output"))
     return run.unionByName(reused.select("step_key", F.lit("reuse").alias("decision"), "output"))
 
@@ -51,7 +52,7 @@ def memo_decisions(spark, sf_dir):
 @query(f"SELECT c_custkey::VARCHAR AS step_key FROM customer WHERE NOT {_FIRST} OR c_nationkey % 3 > 0")
 def pending_steps(spark, sf_dir):
     """Steps that are running after all were asked for again."""
-    run_id, runs, _, _ = _asked_again(spark, sf_dir)
+    run_id, runs, _ = _asked_again(spark, sf_dir)
     return runs.list_steps(run_id).filter("status = 'running'").select("step_key")
 
 
@@ -68,42 +69,46 @@ def failed_run_steps(spark, sf_dir):
     return runs.steps(run_id).select("step_key", "status", "error", "output")
 
 
-_STATES = (("a", "completed", None, '{"x":1}', True), ("b", "failed", "stopped", None, True), ("c", "running", None, '{"y":2}', False), ("d", "running", None, None, False))
-
-
-def _four_runs(spark):
+def _nation_runs(spark, sf_dir):
+    """A run for each nation, by its region: 0 completes with an output, 1 fails, 2 fails with an output and is resumed, the others go on."""
     runs = _store(spark)
     runs.create_tables()
-    ids = {n: runs.create_run(n, '{"model":"m-' + n + '"}') for n in "abcd"}
-    runs.set_output(ids["a"], '{"x":1}')
-    runs.complete_run(ids["a"])
-    runs.fail_run(ids["b"], "stopped")
-    runs.set_output(ids["c"], '{"y":2}')
-    runs.fail_run(ids["c"], "once")
-    runs.resume_run(ids["c"])
-    return runs, ids
-
-
-def _literals(rows) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
-
-
-@query(f"SELECT * FROM (VALUES {_literals(_STATES)}) t(workflow_name, status, error, output, ended)")
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():  # 25 runs
+        run = runs.create_run(r["n_name"], '{"model":"m-' + r["n_name"] + '"}')
+        if r["n_regionkey"] in (0, 2):
+            runs.set_output(run, f'{{"x":{r["n_nationkey"]}}}')
+        if r["n_regionkey"] == 0:
+            runs.complete_run(run)
+        if r["n_regionkey"] in (1, 2):
+            runs.fail_run(run, "stopped")
+        if r["n_regionkey"] == 2:
+            runs.resume_run(run)
+    return runs
+
+
+@query("""SELECT n_name AS workflow_name, CASE n_regionkey WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'running' END AS status, CASE n_regionkey WHEN 1 THEN 'stopped' END AS error,
+CASE WHEN n_regionkey IN (0, 2) THEN '{"x":' || n_nationkey || '}' END AS output, n_regionkey < 2 AS ended FROM nation""")
 def run_states(spark, sf_dir):
     """Completed, failed, resumed and new runs; a resumed one keeps its output and loses error and end."""
-    runs, _ = _four_runs(spark)
-    return runs.runs().select("workflow_name", "status", "error", "output", F.col("finished_at").isNotNull().alias("ended"))
+    return _nation_runs(spark, sf_dir).runs().select("workflow_name", "status", "error", "output", F.col("finished_at").isNotNull().alias("ended"))
 
 
-_LOG = [("a", "run.started", None), ("a", "run.completed", None), ("b", "run.started", None), ("b", "run.failed", "stopped"), ("c", "run.started", None), ("c", "run.failed", "once"), ("c", "run.resumed", None), ("d", "run.started", None)]
-
-
-@query(f"SELECT name, event_type, message, (row_number() OVER (PARTITION BY name ORDER BY nth))::INT AS nth FROM (SELECT *, row_number() OVER () AS nth FROM (VALUES {_literals(_LOG)}) t(name, event_type, message))")
+@query("""SELECT n_name AS name, e AS event_type, CASE e WHEN 'run.failed' THEN 'stopped' END AS message, row_number() OVER (PARTITION BY n_name ORDER BY i)::INT AS nth FROM (SELECT n_name, unnest(l) AS e, generate_subscripts(l, 1) AS i
+FROM (SELECT n_name, CASE n_regionkey WHEN 0 THEN ['run.started', 'run.completed'] WHEN 1 THEN ['run.started', 'run.failed'] WHEN 2 THEN ['run.started', 'run.failed', 'run.resumed'] ELSE ['run.started'] END AS l FROM nation))""")
 def run_events(spark, sf_dir):
     """The event log of each run, in order."""
-    runs, ids = _four_runs(spark)
-    told = [(n, r["event_type"], r["message"], i + 1) for n, run in ids.items() for i, r in enumerate(runs.events(run).collect())]
-    return spark.createDataFrame(told, "name string, event_type string, message string, nth int")
+    runs = _nation_runs(spark, sf_dir)
+    names = runs.runs().select(F.col("id").alias("run_id"), F.col("workflow_name").alias("name"))
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("created_at", "id"))
+    return runs.records("events").withColumn("nth", nth).join(names, "run_id").select("name", "event_type", "message", "nth")
+
+
+@query(f"SELECT c_custkey::VARCHAR AS step_key, CASE WHEN {_FIRST} AND c_nationkey % 3 = 0 THEN 'completed' ELSE 'running' END AS status, CASE WHEN {_FIRST} AND c_nationkey % 3 > 0 THEN 2 ELSE 1 END AS starts FROM customer")
+def resumed_steps(spark, sf_dir):
+    """A run fails, its state is compacted, and it is resumed and asks for all its steps: completed ones stay, those that failed by themselves or with the run are started again, each start an event."""
+    run_id, runs, _ = _asked_again(spark, sf_dir, between=lambda s, r: (s.fail_run(r, "stopped"), s.compact(r), s.resume_run(r)))
+    starts = runs.events(run_id).filter("event_type = 'step.started'").groupBy("step_id").agg(F.count(F.lit(1)).cast("int").alias("starts"))
+    return runs.steps(run_id).join(starts, F.col("id") == F.col("step_id")).select("step_key", "status", "starts")
 
 
 @query("SELECT o_orderkey::VARCHAR AS step_key, o_orderpriority AS own, o_orderstatus AS status, o_clerk AS input_hash, printf('%.2f', o_totalprice) AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'late' END AS error FROM (SELECT *, 'h' || o_custkey AS o_clerk FROM orders)")
@@ -213,24 +218,29 @@ def cached_batches(spark, sf_dir):
     return functools.reduce(lambda a, b: a.unionByName(b), pages)
 
 
-class Squares(datasets.PagedSource):
-    """A custom source of 1,050 rows."""
+class Customers(datasets.PagedSource):
+    """A custom source: the customers of a folder of tables, page by page in the order of the file."""
+
+    source_id = "gaugeworks_customers"
+
+    def _table(self):
+        import pyarrow.parquet as pq
 
-    source_id = "gaugeworks_squares"
+        return pq.ParquetFile(f"{self.options['tables']}/customer.parquet")
 
     def initialize(self):
-        return 1050
+        return self._table().metadata.num_rows
 
     def load_batch(self, offset, n):
-        return [{"n": i, "square": i * i} for i in range(offset, offset + n)]
+        return self._table().read(columns=["c_custkey", "c_mktsegment"]).slice(offset, n).to_pylist()
 
 
-@query("SELECT i AS row_index, i * i AS square FROM range(1050) t(i)")
+@query("SELECT row_number() OVER (ORDER BY file_row_number) - 1 AS row_index, c_custkey, c_mktsegment FROM (SELECT *, c_custkey AS file_row_number FROM customer)")
 def custom_source(spark, sf_dir):
-    """A custom source, read page by page."""
-    spark.dataSource.register(Squares)
-    rows = spark.read.format(Squares.source_id).load()
-    return rows.select("row_index", F.get_json_object("json", "$.square").cast("long").alias("square"))
+    """A custom source over a given table, read page by page."""
+    spark.dataSource.register(Customers)
+    rows = spark.read.format(Customers.source_id).option("tables", sf_dir).load()
+    return rows.select("row_index", F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), F.get_json_object("json", "$.c_mktsegment").alias("c_mktsegment"))
 
 
 @query("SELECT lang AS config, CASE lang WHEN 'en' THEN 'validation' ELSE 'test' END AS split, count(*) AS n, 'hf:mirror/documents:' || lang || ':' || CASE lang WHEN 'en' THEN 'validation' ELSE 'test' END AS source_id FROM documents WHERE doc_id % 3 = 1 GROUP BY lang")
