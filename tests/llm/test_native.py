@@ -90,18 +90,21 @@ def slow_tree(urls, rules, max_children=20, rare=0.02, min_support=5, purity=0.8
         host, path, _ = brute_url(url)
         fits = [(len(t), v) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
         shape = tuple("*" if re.search(url_filter.VARIABLE.replace(r"\z", r"\Z"), x) else x for x in path.split("/") if x)
-        return host, shape, max(fits)[1] if fits else None
+        return host, path, shape, max(fits)[1] if fits else None
 
-    rows = [judged(u) for u in urls]
+    every = [judged(u) for u in urls]
+    rows = sorted({(h, p): (h, s, g) for h, p, s, g in every}.values(), key=str)  # each path once
     children = Counter((h, s[:k], s[k]) for h, s, _ in rows for k in range(len(s)))
     kinds, whole = Counter((h, p) for h, p, _ in children), Counter()
     for (h, p, _), n in children.items():
         whole[h, p] += n
     wild = lambda h, s, k: kinds[h, s[:k]] > max_children and children[h, s[:k], s[k]] < rare * whole[h, s[:k]]
-    templates = [tuple("*" if wild(h, s, k) else x for k, x in enumerate(s)) for h, s, _ in rows]
-    bad, labelled = Counter(), Counter()
-    for (h, _, given), t in zip(rows, templates):
+    template = lambda h, s: tuple("*" if wild(h, s, k) else x for k, x in enumerate(s))
+    bad, labelled, size = Counter(), Counter(), Counter()
+    for h, s, given in rows:
+        t = template(h, s)
         for k in range(len(t) + 1):
+            size[h, t[:k]] += 1
             bad[h, t[:k]] += given == "block"
             labelled[h, t[:k]] += given is not None
     known = [(h, t) for h, t in labelled if t and labelled[h, t] >= min_support]
@@ -111,13 +114,14 @@ def slow_tree(urls, rules, max_children=20, rare=0.02, min_support=5, purity=0.8
         total = sum(labelled[h, t] for t in own)
         share = sum(bad[h, t] for t in own) / total
         alike = [t for t in own if abs(bad[h, t] / labelled[h, t] - share) <= z * (share * (1 - share) * (1 / labelled[h, t] + 1 / total)) ** 0.5]
-        merged |= {(h, t): (sum(bad[h, x] for x in alike), sum(labelled[h, x] for x in alike)) for t in alike}
+        merged |= {(h, t): tuple(sum(c[h, x] for x in alike) for c in (bad, labelled, size)) for t in alike}
     out = []
-    for (h, _, given), t in zip(rows, templates):
-        p = 0.5
+    for h, _, s, given in every:
+        t, p = template(h, s), 0.5
         for k in range(len(t) + 1):
-            b, n = merged.get((h, t[:k]), (bad[h, t[:k]], labelled[h, t[:k]]))
-            p = (b + prior_weight * p) / (n + prior_weight)
+            b, n, whole_ = merged.get((h, t[:k]), (bad[h, t[:k]], labelled[h, t[:k]], size[h, t[:k]]))
+            if n:
+                p += n / whole_ * (n / (n + prior_weight)) * (b / n - p)
         out.append(given or ("block" if p >= purity else "allow"))
     return out
 
@@ -151,9 +155,45 @@ def test_the_tree_reaches_the_whole_depth(spark):
     assert set(told.values()) == {"block"}
 
 
-def test_the_tree_decides_sample_pages(spark):
-    told = url_filter.op8_url_filter(spark, "/root/testdata/sf0.1").filter("rule is null").groupBy("verdict").count().collect()
-    assert {r["verdict"] for r in told} == {"allow", "block"}
+def _site(name, pages_, labelled):
+    """A site with a branch that a rule blocks and one that no rule reaches, of the given numbers of pages."""
+    return [f"http://{name}/es/{1000 + i}" for i in range(labelled)] + [f"http://{name}/en/{5000 + i}" for i in range(pages_ - labelled)]
+
+
+def test_verdicts_do_not_depend_on_the_number_of_pages(spark):
+    """The same pages ten times, and sites ten times as large: a branch isn't blocked for what a rule says of its sibling."""
+    sites = {"small.org": (130, 12), "even.org": (40, 20), "mostly.org": (50, 48)}
+    urls = [u for n, (p, b) in sites.items() for u in _site(n, p, b)] + [f"http://com/en/{i}" for i in range(100, 140)] + ["http://com/fr/1"]
+    grown = [u for n, (p, b) in sites.items() for u in _site(n, 10 * p, 10 * b)] + [f"http://com/en/{i}" for i in range(1000, 1400)] + ["http://com/fr/1"]
+    rules = url_filter.RULES
+    verdict = lambda us: {(brute_url(us[r["page_id"]])[:2], r["verdict"]) for r in url_filter.url_filter(pages(spark, us), rules).collect()}
+    once, often = verdict(urls), verdict(urls * 10)
+    assert once == often
+    by = lambda told: {(h, p.split("/")[1]): v for (h, p), v in told}
+    assert by(once) == by(verdict(grown)) == {("small.org", "es"): "block", ("small.org", "en"): "allow", ("even.org", "es"): "block", ("even.org", "en"): "allow",
+                                              ("mostly.org", "es"): "block", ("mostly.org", "en"): "block", ("com", "en"): "block", ("com", "fr"): "block"}
+
+
+def test_sql_where_the_tree_says_both(spark):
+    """The oracle on pages that rules reach in part: the tree blocks some of the others and allows some."""
+    urls = _site("a.org", 130, 12) + _site("b.org", 50, 48) + [f"http://example.com/en/{i}" for i in (*range(100, 130), *range(700, 705))] + ["http://example.com/en", "http://example.com/x/y", "http://d.net/de", None] * 2
+    urls += [f"http://net/{k}/{n}" for k in ("de", "fr") for n in range(100, 130)] + [f"http://b.org/en/{chr(97 + i)}{chr(97 + j)}q" for i in range(6) for j in range(6)]
+    duck = duckdb.connect()
+    table = pages(spark, urls)
+    frame = table.select("page_id", "url").toPandas()
+    duck.register("pages", frame)
+    want = {(r[0], r[-1]) for r in duck.sql(url_filter.SQL).fetchall()}
+    told = url_filter.url_filter(table).collect()
+    assert {(r["page_id"], r["verdict"]) for r in told} == want
+    assert {r["verdict"] for r in told if r["rule"] is None} == {"allow", "block"}
+
+
+def test_sample_pages_ten_times(spark):
+    once = url_filter.op8_url_filter(spark, "/root/testdata/sf0.01")
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    often = url_filter.url_filter(rows.crossJoin(spark.range(10)).drop("id"))
+    key = lambda df: {(r["page_id"], r["verdict"]) for r in df.collect()}
+    assert key(once) == key(often)
 
 
 def test_many_children_become_a_wildcard(spark):
@@ -166,7 +206,7 @@ def test_many_children_become_a_wildcard(spark):
 def test_oracles(spark):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         a, b = queries.QUERIES[name](spark, d).toPandas(), c.sql(sql).df()
