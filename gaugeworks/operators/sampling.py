@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import os
 import time
 import warnings
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor, as_completed
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from gaugeworks.functions.hashing import hash_number
 
@@ -96,30 +101,115 @@ def worker_count(value: int | None = None, variable: str = "GAUGEWORKS_MAX_WORKE
     return held
 
 
+def windowed(items: Iterable, call: Callable, workers: int, order: str = "completion", ahead: int | None = None) -> Iterator[tuple[int, object]]:
+    """(position, result) of call(item) for all items, at most `workers` calls in flight.
+
+    Items are taken as calls end, so a window slides over them without waiting for a batch. order: `completion` tells
+    results as they come; `input` holds those that are early, `ahead` at most, for the ones before them. The first error
+    is raised at once: no call starts after it, coroutines in flight are cancelled, and threads in flight are waited for.
+    `call` is a function, which runs in threads, or a coroutine function.
+    """
+    if order not in ("input", "completion"):
+        raise ValueError("order is 'input' or 'completion'")
+    ahead = max(4 * workers, 1000) if ahead is None else ahead
+    flight = _Tasks() if inspect.iscoroutinefunction(call) else _Threads(workers)
+    source, flying, early, told, more = enumerate(items), {}, {}, 0, True
+    try:
+        while True:
+            while more and len(flying) < workers and (order == "completion" or len(early) + len(flying) < ahead):
+                at, item = next(source, (None, None))
+                if at is None:
+                    more = False
+                else:
+                    flying[flight.start(call, item)] = at
+            if not flying:
+                return
+            for ended in flight.first(flying):
+                at, result = flying.pop(ended), ended.result()
+                if order == "completion":
+                    yield at, result
+                else:
+                    early[at] = result
+            while told in early:
+                yield told, early.pop(told)
+                told += 1
+    finally:
+        flight.stop(flying)
+
+
+class _Threads:
+    def __init__(self, workers: int):
+        self.pool = ThreadPoolExecutor(workers)
+
+    def start(self, call, item):
+        return self.pool.submit(call, item)
+
+    def first(self, flying):
+        return wait(flying, return_when=FIRST_COMPLETED).done
+
+    def stop(self, flying):
+        self.pool.shutdown(wait=True, cancel_futures=True)
+
+
+class _Tasks:
+    def __init__(self):
+        self.loop = asyncio.new_event_loop()
+
+    def start(self, call, item):
+        return self.loop.create_task(call(item))
+
+    def first(self, flying):
+        return self.loop.run_until_complete(asyncio.wait(flying, return_when=asyncio.FIRST_COMPLETED))[0]
+
+    def stop(self, flying):
+        for task in flying:
+            task.cancel()
+        if flying:
+            self.loop.run_until_complete(asyncio.gather(*flying, return_exceptions=True))
+        self.loop.close()
+
+
+def _picked(rows: list[tuple[pa.RecordBatch, int]]) -> pa.Table:
+    """Rows of several batches, in the given order."""
+    runs = [(batch, [i for _, i in own]) for _, own in groupby(rows, key=lambda r: id(r[0])) for own in [list(own)] for batch in [own[0][0]]]
+    return pa.Table.from_batches([batch.take(pa.array(at)) for batch, at in runs])
+
+
+#: Results that a task hands on together.
+HANDED = 500
+
+
 def external(rows: DataFrame, prompt: str, sample: Callable[[str], str], workers: int | None = None, order: str = "completion") -> DataFrame:
-    """rows with response and latency_ms from a callable, `workers` calls at a time in each task. The first error fails the task.
+    """rows with response and latency_ms from a function or coroutine function, `workers` calls at a time in each task.
 
-    order: `input` keeps the order of a task's rows; `completion` gives the rows of a batch as their answers come.
+    The first error fails the task, and no further call starts in it. order: `input` keeps the order of a task's rows.
     """
     n = worker_count(workers)
-    names = rows.columns
+    if order not in ("input", "completion"):
+        raise ValueError("order is 'input' or 'completion'")
+
+    if inspect.iscoroutinefunction(sample):
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(p):
+        async def one(row):
             began = time.perf_counter()
-            return sample(p), (time.perf_counter() - began) * 1000
+            return row, await sample(row[2]), (time.perf_counter() - began) * 1000
 
-        with ThreadPoolExecutor(n) as pool:
-            for pdf in batches:
-                calls = {pool.submit(one, p): i for i, p in enumerate(pdf[prompt])}
-                done = list(calls) if order == "input" else list(as_completed(calls))
-                told = [c.result() for c in done]
-                yield pdf[names].iloc[[calls[c] for c in done]].assign(response=[t for t, _ in told], latency_ms=[ms for _, ms in told])
+    else:
+
+        def one(row):
+            began = time.perf_counter()
+            return row, sample(row[2]), (time.perf_counter() - began) * 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = ((batch, i, p) for batch in batches for i, p in enumerate(batch[prompt].to_pylist()))
+        results = (told for _, told in windowed(given, one, n, order))
+        while some := list(islice(results, HANDED)):
+            told = _picked([row[:2] for row, _, _ in some])
+            told = told.append_column("response", pa.array([t for _, t, _ in some], pa.string())).append_column("latency_ms", pa.array([ms for _, _, ms in some], pa.float64()))
+            yield from told.combine_chunks().to_batches()
 
-    if order not in ("input", "completion"):
-        raise ValueError("order is 'input' or 'completion'")
     schema = rows.select("*", F.lit("").alias("response"), F.lit(0.0).alias("latency_ms")).schema
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def sampled(rows: DataFrame, prompt: str, spec: ModelSpec, labels: str | Sequence[str] | None = None, seed: str = "", workers: int | None = None) -> DataFrame:
@@ -139,20 +229,20 @@ def sampled(rows: DataFrame, prompt: str, spec: ModelSpec, labels: str | Sequenc
 
 
 def map_rows(rows: DataFrame, function: Callable, schema: str, workers: int | None = None, max_items: int | None = None, order: str = "input", index: str | None = None) -> DataFrame:
-    """A callable over rows (as dicts), results that are None dropped; `input` order needs the index column."""
+    """A function or coroutine function over rows (as dicts), results that are None dropped, `workers` calls at a time in each task.
+
+    order: `input` keeps the order of a task's rows and, by the index column if it is named, of all rows.
+    """
     rows = rows.limit(max_items) if max_items is not None else rows
-    n = worker_count(workers) if workers else MOST_WORKERS
+    n, shape = worker_count(workers) if workers else MOST_WORKERS, to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            with ThreadPoolExecutor(min(n, len(pdf), 64)) as pool:
-                told = [t for t in pool.map(function, pdf.to_dict("records")) if t is not None]
-            if told:
-                yield pd.DataFrame(told)
-
-    out = rows.mapInPandas(run, schema)
+        given = (row for batch in batches for row in batch.to_pylist())
+        results = (told for _, told in windowed(given, function, n, order) if told is not None)
+        while some := list(islice(results, HANDED)):
+            yield pa.RecordBatch.from_pylist(some, shape)
+
+    out = rows.mapInArrow(run, schema)
     return out.orderBy(index) if order == "input" and index else out
 
 
