@@ -15,6 +15,7 @@ from gaugeworks.plans.store import Store, sample_objects
 from gaugeworks.session import shared_folder
 from gaugeworks.sources import config, datasets
 from gaugeworks.sources.config import Style
+from gaugeworks.streaming import memo
 
 
 def _store(spark) -> Store:
@@ -111,6 +112,19 @@ def resumed_steps(spark, sf_dir):
     return runs.steps(run_id).join(starts, F.col("id") == F.col("step_id")).select("step_key", "status", "starts")
 
 
+@query("""WITH m AS (SELECT o_custkey % 10 AS run_id, o_custkey::VARCHAR AS step_key, o_orderkey AS ord, o_orderkey % 3 < 2 AS begins, CASE WHEN o_orderkey % 11 = 0 THEN 'other' ELSE 'same' END AS h, o_orderkey % 2 = 0 AS failed FROM orders),
+f AS (SELECT *, min(ord) FILTER (begins) OVER s AS first, arg_min(h, ord) FILTER (begins) OVER s AS own FROM m WINDOW s AS (PARTITION BY step_key)),
+w AS (SELECT *, max(ord) FILTER (NOT begins AND ord > first) OVER b AS told, arg_max(failed, ord) FILTER (NOT begins AND ord > first) OVER b AS broke, max(ord) FILTER (begins AND h = own) OVER b AS asked FROM f WINDOW b AS (PARTITION BY step_key ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN first IS NULL OR ord <= first THEN 'none' WHEN told IS NULL THEN 'running' WHEN NOT broke THEN 'completed' WHEN asked > told THEN 'running' ELSE 'failed' END AS status FROM w)
+SELECT run_id, step_key, ord, CASE WHEN NOT begins THEN CASE status WHEN 'none' THEN 'unknown' ELSE 'finish' END WHEN status = 'none' THEN 'start' WHEN h <> own THEN 'clash' WHEN status = 'completed' THEN 'reuse' WHEN status = 'failed' THEN 'retry' ELSE 'continue' END AS decision,
+CASE WHEN begins AND h = own AND status = 'completed' THEN 'out-' || told END AS output FROM t""")
+def streamed_decisions(spark, sf_dir):
+    """The memo's decisions over a stream of messages, the orders, with the state of each step kept between batches."""
+    folder, orders = shared_folder(spark, "decisions"), table(spark, sf_dir, "orders")
+    stream = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parquet*")
+    return memo.replay(memo.of_orders(stream), f"{folder}/checkpoint", f"{folder}/out")
+
+
 @query("SELECT o_orderkey::VARCHAR AS step_key, o_orderpriority AS own, o_orderstatus AS status, o_clerk AS input_hash, printf('%.2f', o_totalprice) AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'late' END AS error FROM (SELECT *, 'h' || o_custkey AS o_clerk FROM orders)")
 def sample_rows(spark, sf_dir):
     """Orders as samples: the output's fields under the step's own (a `status` of the output doesn't show), with its metrics."""
