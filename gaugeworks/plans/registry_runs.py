@@ -13,7 +13,7 @@ from gaugeworks.plans import evaluate, report
 from gaugeworks.plans.registry import _CELLS, _PREDICTED, LABELS, _points, _run_steps, query, table
 from gaugeworks.plans.store import Store, sample_objects
 from gaugeworks.session import shared_folder
-from gaugeworks.sources import config, datasets
+from gaugeworks.sources import config, datasets, paged
 from gaugeworks.sources.config import Style
 from gaugeworks.streaming import memo
 
@@ -257,6 +257,14 @@ def custom_source(spark, sf_dir):
     return rows.select("row_index", F.get_json_object("json", "$.c_custkey").cast("long").alias("c_custkey"), F.get_json_object("json", "$.c_mktsegment").alias("c_mktsegment"))
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 5000 AS page FROM orders")
+def mirrored_pages(spark, sf_dir):
+    """A mirrored dataset, all of its pages of 5,000 rows, each from the row groups that hold it."""
+    path, size = f"{sf_dir}/orders.parquet", 5000
+    told = [paged.pages(spark, path, at, size, ["o_orderkey", "o_custkey"]).withColumn("page", F.lit(at // size)) for at in range(0, paged.total_rows(path), size)]
+    return functools.reduce(lambda a, b: a.unionByName(b), told)
+
+
 @query("SELECT lang AS config, CASE lang WHEN 'en' THEN 'validation' ELSE 'test' END AS split, count(*) AS n, 'hf:mirror/documents:' || lang || ':' || CASE lang WHEN 'en' THEN 'validation' ELSE 'test' END AS source_id FROM documents WHERE doc_id % 3 = 1 GROUP BY lang")
 def picked_splits(spark, sf_dir):
     """A mirror with a folder for each language and split: the split that is picked, its rows and its name."""
@@ -300,6 +308,24 @@ def nocode_metrics(spark, sf_dir):
     return points.groupBy("metric_name").agg(F.round(F.sum("metric_value"), 4).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH a AS (SELECT golden, answer FROM {_ANSWERS}), l AS (SELECT * FROM (VALUES (0, 'A'), (1, 'B')) t(i, label)),
+f AS (SELECT i, count(*) FILTER (golden = label) AS support, 2 * count(*) FILTER (golden = label AND answer = label) / (count(*) FILTER (golden = label) + count(*) FILTER (answer = label)) AS f1 FROM a, l GROUP BY i)
+SELECT 'accuracy' AS metric_name, round(avg((golden = answer)::INT), 6) AS metric_value FROM a UNION ALL SELECT 'f1_label_' || i, round(f1, 6) FROM f UNION ALL SELECT 'macro_f1', round(avg(f1), 6) FROM f UNION ALL SELECT 'weighted_f1', round(sum(f1 * support) / sum(support), 6) FROM f""")
+def shown_metrics(spark, sf_dir):
+    """What a run shows of its metrics: the stored run-level ones, and F1 derived from its outputs."""
+    runs, told = _nocode(spark, sf_dir)
+    shown = evaluate.shown(runs, told.run_id, ["A", "B"], ["f1"])["metrics"]
+    return shown.filter("step_id is null and metric_name not like '%latency%'").select("metric_name", F.round("metric_value", 6).alias("metric_value"))
+
+
+@query(r"SELECT conv_id, sum(ceil(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) * 1.3))::BIGINT AS total_tokens, round(sum(ceil(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) * 1.3)) * 0.002, 6) AS cost FROM conversations GROUP BY conv_id")
+def token_costs(spark, sf_dir):
+    """Tokens of a conversation and what they cost at two tenths of a cent each."""
+    tokens = table(spark, sf_dir, "conversations").select("conv_id", text.token_estimate(F.col("text")).alias("tokens"))
+    total = F.sum("tokens")
+    return tokens.groupBy("conv_id").agg(total.alias("total_tokens"), F.round(total * F.lit(0.002), 6).alias("cost"))
+
+
 @query("SELECT p_partkey, p_size * 2 AS doubled FROM part WHERE p_size > 9")
 def mapped_rows(spark, sf_dir):
     """A callable over rows; results that are None go."""
