@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import hashing, similarity, text
 from gaugeworks.operators import compare as cmp
-from gaugeworks.operators import confusion, prepare, sampling, stats, template
+from gaugeworks.operators import confusion, embedding, prepare, sampling, stats, template
 from gaugeworks.operators.latest import indexed
 from gaugeworks.plans.store import Store, StoreError, list_runs, sample_objects
 from gaugeworks.sources.config import Style
@@ -132,7 +132,12 @@ def run_similarity(store: Store, rows: DataFrame, question: str, answer: str, or
     def body():
         ready = indexed(chosen, order).withColumns({"input": F.col(question).cast("string"), "golden": F.col(answer).cast("string")})
         ready = ready.withColumns({"step_key": hashing.row_key(F.col("row_index")), "input_hash": hashing.similarity_input_hash(F.col("input"))})
-        score = lambda r: sampling.sampled(r, "input", spec).withColumn("similarity", compute(F.col("response"), F.col("golden"))).withColumns({"is_correct": F.lit(None).cast("boolean"), "parsed_response": F.col("response")})
+        if measure in (None, "cosine"):  # fitted to what is given, so that a resumed run measures alike
+            model = embedding.fit(ready.select(F.col("golden").alias("text")).unionByName(ready.select(F.col("input").alias("text"))), "text")
+            compared_ = lambda r: embedding.similarities(r, "response", "golden", model)
+        else:
+            compared_ = lambda r: r.withColumn("similarity", compute(F.col("response"), F.col("golden")))
+        score = lambda r: compared_(sampling.sampled(r, "input", spec)).withColumns({"is_correct": F.lit(None).cast("boolean"), "parsed_response": F.col("response")})
         done = _execute(store, run_id, ready, score, ["input", "response", "golden", "similarity"])
         told = done.select(F.from_json("output", "similarity double").alias("o")).select("o.similarity")
         _run_metrics(store, run_id, stats.long_metrics(stats.summary(told, "similarity"), stats.SIMILARITY_METRICS))

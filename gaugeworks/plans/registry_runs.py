@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.functions import hashing, json_values, similarity, text
-from gaugeworks.operators import compare, confusion, prepare, sampling, template
+from gaugeworks.operators import compare, confusion, embedding, prepare, sampling, template
 from gaugeworks.plans import evaluate, report
 from gaugeworks.plans.registry import _CELLS, _PREDICTED, LABELS, _points, _run_steps, query, table
 from gaugeworks.plans.store import Store, sample_objects
@@ -384,6 +384,15 @@ def measured_similarity(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(score, 9).alias("score"))
 
 
+@query()
+def text_similarities(spark, sf_dir):
+    """Each turn's text against the one before it, by embeddings fitted to all turns. No SQL states a decomposition: see the tests."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    model = embedding.fit(turns, "text")
+    return embedding.similarities(turns.join(before, ["conv_id", "turn"]), "text", "before", model).select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' ELSE c_mktsegment END AS model, CASE WHEN c_mktsegment = 'BUILDING' THEN 'model' ELSE '' END AS overridden FROM customer")
 def assembled_inputs(spark, sf_dir):
     """The inputs that a configuration and given keys make, one for each segment, by which customers run."""

@@ -25,7 +25,7 @@ def cell(v):
     return f"{float(v):.9g}" if number else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query(spark, duck, name):
     a = registry.QUERIES[name](spark, DIR).toPandas()
     b = duck.sql(registry.ORACLES[name]).df()
