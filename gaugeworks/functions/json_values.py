@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gaugeworks.functions.text import utrim
 
@@ -48,36 +46,28 @@ def required_scalar(v: Column, key: str, row: Column, what: str) -> Column:
     return F.coalesce(value, F.raise_error(F.concat(F.lit("row "), row.cast("string"), F.lit(f": {what} column '{key}' is missing or not a scalar"))).cast("string"))
 
 
-def coerced_text(value) -> str:
-    """Trimmed strings; arrays and objects (keys sorted) joined by newlines, empty parts skipped; anything else is empty."""
-    if isinstance(value, str):
-        return value.strip()
-    if isinstance(value, dict):
-        value = [value[k] for k in sorted(value)]
-    return "\n".join(t for t in map(coerced_text, value) if t) if isinstance(value, list) else ""
+def coerced_text(json: Column) -> Column:
+    """Trimmed strings of JSON text at any depth, joined by newlines, empty ones skipped, other scalars ignored; keys in order.
 
-
-@F.pandas_udf(StringType())
-def coerce_json_text(texts: pd.Series) -> pd.Series:
-    """coerced_text of JSON: the nesting has no bound, so this is no Column expression."""
-    import json
-
-    def one(t):
-        try:
-            return "" if t is None else coerced_text(json.loads(t))
-        except ValueError:
-            return ""
-
-    return texts.map(one)
+    A variant writes its JSON with sorted keys, so what is wanted are the string literals in it that aren't followed by a
+    colon. Escaped backslashes and quotes first make way for two control characters, which JSON never holds as they are:
+    then a literal ends at the next quote, and no expression needs to follow the nesting. Text that doesn't parse gives "".
+    """
+    slash, quote = F.lit("\x01"), F.lit("\x02")
+    plain = F.replace(F.replace(F.to_json(F.try_parse_json(json)), F.lit("\\\\"), slash), F.lit('\\"'), quote)
+    found = F.filter(F.regexp_extract_all(plain, F.lit('"[^"]*+":?'), F.lit(0)), lambda s: ~s.endswith(":"))
+    whole = lambda s: F.replace(F.replace(s, quote, F.lit('\\"')), slash, F.lit("\\\\"))
+    texts = F.transform(found, lambda s: utrim(F.try_variant_get(F.try_parse_json(whole(s)), "$", "string")))
+    return F.coalesce(F.array_join(F.filter(texts, lambda t: t != ""), "\n"), F.lit(""))
 
 
 def ordered_text(v: Column, first: Sequence[str]) -> Column:
     """An object's values as text, the named keys first and the rest sorted; an array's items; joined by newlines."""
     kind = kind_of(v)
-    parts = [coerce_json_text(F.to_json(field(v, k))) for k in first]
-    rest = coerce_json_text(F.to_json(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*first))))
+    parts = [coerced_text(F.to_json(field(v, k))) for k in first]
+    rest = coerced_text(F.to_json(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*first))))
     named = F.array_join(F.filter(F.array(*parts, rest), lambda t: t != ""), "\n")
-    return F.when(kind.startswith("OBJECT"), named).when(kind.startswith("ARRAY"), coerce_json_text(F.to_json(v))).otherwise(F.lit(""))
+    return F.when(kind.startswith("OBJECT"), named).when(kind.startswith("ARRAY"), coerced_text(F.to_json(v))).otherwise(F.lit(""))
 
 
 def inferred_types(rows: DataFrame, json: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.hashing import hash_number
-from gaugeworks.functions.json_values import coerce_json_text, field, kind_of, ordered_text, parsed, text_field
+from gaugeworks.functions.json_values import coerced_text, field, kind_of, ordered_text, parsed, text_field
 from gaugeworks.functions.text import ascii_lower, utrim
 
 CHOICE = "struct<label:string,text:string>"
@@ -121,7 +121,7 @@ def question_rows(rows: DataFrame, json: str = "json", strict: bool = True) -> D
 
 
 def flattened_text(json: Column) -> Column:
-    return coerce_json_text(json)
+    return coerced_text(json)
 
 
 def validated(rows: DataFrame, json: str, schema: str, on_error: str = "fail", max_rows: int | None = None, order: str | None = None, index: str | None = None) -> DataFrame:

@@ -107,7 +107,7 @@ def test_differences(spark):
 
 
 def test_coercion(spark):
-    f = lambda t: one(spark, json_values.coerce_json_text(F.col("j")), j=t)
+    f = lambda t: one(spark, json_values.coerced_text(F.col("j")), j=t)
     assert f('" x "') == "x" and f('["a", ["b", ""], 4]') == "a\nb" and f('{"b":"2","a":"1"}') == "1\n2" and f("null") == "" and f("42") == "" and f(None) == ""
 
 
@@ -119,3 +119,40 @@ def test_provider_shapes(spark):
     assert one(spark, json_values.error_text(F.col("j"), F.lit(503)), j="") == "HTTP 503"
     assert one(spark, json_values.error_text(F.col("j"), F.lit(503)), j='{"error":"no"}') == "no"
     random.seed(0)
+
+
+def slow_text(value):
+    if isinstance(value, str):
+        return value.strip()
+    if isinstance(value, dict):
+        value = [value[k] for k in sorted(value)]
+    return "\n".join(t for t in map(slow_text, value) if t) if isinstance(value, list) else ""
+
+
+def test_nested_text_without_python(spark):
+    """Random JSON down to depth 8 with quotes, backslashes, colons, control characters and blanks in keys and values; no Python in the plan."""
+    import json
+    import random
+
+    r = random.Random(12)
+    pieces = ["a", "b c", '"', "\\", '\\"', '":', ":", "\n", "\t ", "{", "[,]", "é", "\u65e5", "\x01", "\x02", "//", " "]
+    word = lambda: "".join(r.choice(pieces) for _ in range(r.randint(0, 5)))
+
+    def value(depth):
+        kind = r.random()
+        if depth == 0 or kind < 0.3:
+            return r.choice([word(), word(), word(), 1, 2.5, True, None])
+        if kind < 0.6:
+            return [value(depth - 1) for _ in range(r.randint(0, 4))]
+        return {word(): value(depth - 1) for _ in range(r.randint(0, 4))}
+
+    values = [value(8) for _ in range(400)] + [{"a": {"b": {"c": {"d": {"e": {"f": ["deep", {"g": " x "}]}}}}}}, "x\n" * 20_000]
+    texts = [json.dumps(v, ensure_ascii=i % 2 == 0) for i, v in enumerate(values)] + ["{", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", json_values.coerced_text(F.col("t")).alias("o"))
+    told = {r["i"]: r["o"] for r in df.collect()}
+    assert [told[i] for i in range(len(values))] == [slow_text(v) for v in values]
+    assert [told[len(values) + i] for i in range(3)] == ["", "", ""]
+    from gaugeworks.plans import registry
+
+    for plan in (df, registry.question_rows(spark, "/root/testdata/sf0.001")):
+        assert not any(w in plan._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Arrow"))
