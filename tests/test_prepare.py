@@ -84,6 +84,25 @@ def test_template(spark):
     assert r["prompt"] == "q in x-y\n\n"
     df = df.withColumn("choices", F.array(F.struct(F.lit("A").alias("label"), F.lit("t").alias("text"))))
     assert template.render(df, "{% for c in choices %}{{ loop.index }}{{ c.label }}. {{ c.text }};{% endfor %}", "choices").first()["prompt"] == "1A. t;"
-    for bad in ("{{ x }}", "{% if row.n %}", "{% for c in choices %}", "{{ row.n | upper }}", "{{ row.n"):
+    for bad in ("{{ x }}", "{% if row.n %}", "{% for c in choices %}", "{{ row.n | shout }}", "{{ row.n", "{{ row.n is odd }}", "{% for c in row.n %}{% endfor %}", "{{ row }}", "{{ (row.n }}", "{{ row.n + 1 }}", "{% endif %}", "{{ row.xs < 'a' }}", "{{ row.n | replace('a') }}", "{% macro m() %}"):
         with pytest.raises(template.TemplateError):
             template.render(df, bad, "choices")
+
+
+@pytest.mark.parametrize("source, out", [
+    ("{% if row.n > 2 %}big{% elif row.n == 2 %}two{% else %}small{% endif %}", ["small", "two", "big", "small"]),
+    ("{% if row.t and not row.xs %}a{% endif %}|{{ 'y' if row.n is none else row.n }}", ["|1", "a|2", "|3", "|y"]),
+    ("{% if row.n == 1 or row.n == 3 and row.t == 'zz' %}hit{% endif %}", ["hit", "", "", ""]),
+    ("{% if (row.n == 1 or row.n == 3) and row.t == 'up' %}hit{% endif %}", ["hit", "", "", ""]),
+    ("{% for x in row.xs %}{{ loop.index }}/{{ loop.length }}{{ x | upper }}{% if not loop.last %}, {% endif %}{% else %}none{% endfor %}", ["1/2A, 2/2B", "none", "1/1C", "none"]),
+    ("{% for g in row.gs %}[{% for m in g.ms %}{{ g.k }}{{ m }}{% if m in row.xs %}!{% endif %}{% endfor %}]{% endfor %}", ["[pa!px][]", "", "[rc!]", ""]),
+    ("{{ row.t | default('-') | upper ~ '.' }} {{ row.xs | length }} {{ row.xs | first }}{{ row.xs|last }} {{ row.xs | join(', ') }}", ["UP. 2 ab a, b", "DOWN. 0  ", "-. 1 cc c", "-.   "]),
+    ("{% if 'o' in row.t %}o{% endif %}{% if 'x' not in row.xs %}x{% endif %}{{ row.t | replace('u', '\\'') }}", ["x'p", "oxdown", "x", "x"]),
+    ("a  {%- if row.n >= 2 -%}  b  {%- endif %} c", ["a c", "ab c", "ab c", "a c"]),
+    ("{% if row.n == '1' %}text{% endif %}{% if row.n != 1.0 %}other{% endif %}{{ row.t is string }}", ["true", "othertrue", "otherfalse", "otherfalse"]),
+])
+def test_template_statements(spark, source, out):
+    group = "struct<k:string,ms:array<string>>"
+    df = spark.createDataFrame([(1, "up", ["a", "b"], [("p", ["a", "x"]), ("q", [])], 1), (2, "down", [], None, 2), (3, None, ["c"], [("r", ["c"])], 3), (4, None, None, [], None)], f"i int, t string, xs array<string>, gs array<{group}>, n int")
+    assert [r["prompt"] for r in template.render(df, source).orderBy("i").collect()] == out
+
