@@ -5,7 +5,12 @@ repeated if a window of three words that holds it occurs at least twice in its t
 compared by 64-bit hashes within one document (for 20,000 words two differing windows agree with a
 chance of 1e-11). Every measure is one expression over the row, so there is no shuffle.
 
-Cases: null and empty texts have no words and fail; repeated rows are judged alike; an empty table
+Stop words are known of English, French, German and Spanish (`stop_words` is a parameter); the ratio is the share of a
+text's words that are one of them, in lower case, capitalised or in upper case. Prose of these languages has about a
+quarter of them. Prose of any other language has hardly any and isn't kept, unless its own are given or the rule is left out.
+
+Cases: null and empty texts have no words and fail; a very long text is one row like any other, its measures in memory
+of some times its size; bounds themselves pass, so a ratio that ties with one is kept; repeated rows are judged alike; an empty table
 gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -20,7 +25,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 #: Fixed by the contract of the base measures.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Frequent function words of the languages in the corpus; a text of some length has at least two.
+#: Frequent function words of the languages in the corpus.
 STOP_WORDS = (
     "the be to of and that have with a in is for on as was by it at from or an this he you not are "
     "le la les de des et en un une du que qui dans pour pas sur est au ce il "
@@ -33,7 +38,7 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 25.0),
     ("symbols_per_word", None, 0.1),
     ("exclaims_per_word", None, 0.6),
-    ("distinct_stop_words", 2.0, None),
+    ("stop_word_ratio", 0.06, None),
     ("dup_line_ratio", None, 0.5),
 )
 
@@ -47,6 +52,11 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _spelled(stop_words) -> list[str]:
+    """Each word in lower case, capitalised and in upper case."""
+    return list(dict.fromkeys([*stop_words, *(w.capitalize() for w in stop_words), *(w.upper() for w in stop_words)]))
+
+
 def _without(text: Column, characters: str) -> Column:
     for c in characters:
         text = F.replace(text, F.lit(c), F.lit(""))
@@ -70,7 +80,7 @@ def measured(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
         _once(lines).alias("lines"),
         # arrays_zip pads to the longest array: the last two entries are no windows
         _once(F.when(n >= 3, F.slice(windows, F.lit(1), n - 2)).otherwise(F.array().cast("array<bigint>"))).alias("windows"),
-        F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in dict.fromkeys([*stop_words, *(w.capitalize() for w in stop_words), *(w.upper() for w in stop_words)])]))).alias("distinct_stop_words"),
+        F.size(F.filter("words", lambda w: w.isin(*_spelled(stop_words)))).alias("n_stop_words"),
     )
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     rows = rows.select(
@@ -92,7 +102,7 @@ def measured(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
         _ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word_chars"),
         _ratio(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"),
         _ratio(F.col("n_exclaims"), F.col("n_words")).alias("exclaims_per_word"),
-        F.col("distinct_stop_words").cast("double").alias("distinct_stop_words"),
+        _ratio(F.col("n_stop_words"), F.col("n_words")).alias("stop_word_ratio"),
         _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
     )
 
@@ -119,7 +129,7 @@ def op7_quality_rules(spark, sf_dir):
 
 
 def _sql() -> str:
-    stop = ", ".join(f"'{w}'" for w in dict.fromkeys([*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS), *(w.upper() for w in STOP_WORDS)]))
+    stop = ", ".join(f"'{w}'" for w in _spelled(STOP_WORDS))
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -131,11 +141,11 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (length(text) - length(replace(text, '!', ''))) AS n_exclaims, len(lines) AS n_lines,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words,
-  len(list_intersect(words, [{stop}])) AS stops FROM w LEFT JOIN v USING (r)),
+  len(list_filter(words, lambda x: x IN ({stop}))) AS stops FROM w LEFT JOIN v USING (r)),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 25 * n_words AND n_symbols / n_words <= 0.1
-  AND n_exclaims / n_words <= 0.6 AND stops >= 2 AND n_dup_lines <= 0.5 * n_lines AS kept FROM f
+  AND n_exclaims / n_words <= 0.6 AND stops / n_words >= 0.06 AND n_dup_lines <= 0.5 * n_lines AS kept FROM f
 """
 
 

@@ -30,12 +30,22 @@ def test_base_measures(spark):
 
 
 def test_threshold_table(spark):
-    text = "the of and " + " ".join(f"word{i}" for i in range(60))
+    text = "the of and to in " + " ".join(f"word{i}" for i in range(60))
     df = spark.createDataFrame([(1, text), (2, text.replace("word", "$$$$$")), (3, " ".join("x" * 40 + str(i) for i in range(60)))], "doc_id long, text string")
     assert [r["kept"] for r in quality_rules.quality_rules(df).orderBy("doc_id").collect()] == [True, False, False]
     assert all(r["kept"] for r in quality_rules.quality_rules(df, thresholds=()).collect())
 
 
+def test_stop_words_are_a_ratio(spark):
+    """Two stop words are enough for no long text; the share counts, each spelling and each repetition."""
+    rest = [f"word{i}" for i in range(94)]
+    texts = [" ".join(["the", "of", "The", "AND", "de", "und"] + rest), " ".join(["the", "of", "The", "AND", "de"] + rest + ["x"]), " ".join(["the", "of"] + rest * 20), "the " * 3 + " ".join(rest[:47])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = quality_rules.quality_rules(df).orderBy("doc_id").collect()
+    assert [r["stop_word_ratio"] for r in told] == [6 / 100, 5 / 100, 2 / 1882, 3 / 50]
+    assert [r["kept"] for r in told] == [True, False, False, True] and not any(r["base_failed"] for r in told if r["doc_id"] != 2)
+
+
 def test_native_plans(spark):
     for name in ("op7_quality_rules", "op8_url_filter"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
