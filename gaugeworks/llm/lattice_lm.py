@@ -10,8 +10,10 @@ A document's `score` is the log10 of the product over its words' lattices and th
 are sequences of pieces in many ways, all of which count, so the probabilities of all texts sum to 1 at most.
 
 Piece probabilities come from the scores of the vocabulary file. The file orders its pieces by score and the scores are
-ranks, so they are read as weights 1 / (rank + 20). PRIOR uses a piece, dealt by these weights, and the uses that one
-expectation step under the same weights finds in the words of all learning documents give the probabilities.
+ranks, so they are read as weights 1 / (rank + 20). Expectation steps over the words of all learning documents follow:
+each counts the uses of the pieces under the weights so far, and these and PRIOR uses a piece, dealt by the file's
+weights, are the next ones. They end when the learning documents' log10 likelihood gains less than `least_gain` a token,
+or after `steps` of them.
 
 `word_score` is an extension beside it: a word's probability is its discounted share of the learning tokens, and the
 discounted mass goes by the lattice:
@@ -22,7 +24,8 @@ c: count of the word, N: learning tokens, V: distinct ones, ends included; D: th
 
 The corpus is held as blocks of documents. Each block tells the owner of a range of word hashes how often it has each
 distinct word; owners add up over all blocks and answer with the totals. So what is gathered grows with the input, and
-no word is ever sent as often as it occurs.
+no word is ever sent as often as it occurs. The expectation steps work on a table of the distinct learning words and
+their counts; a task of a step returns one number a piece.
 
 Words are compared by 64-bit hashes: 10^9 distinct words meet with a chance of 3 %, and a meeting alters one count.
 
@@ -162,14 +165,15 @@ def _long_forward(trie: Pieces, weights: np.ndarray, text: bytes) -> np.ndarray:
     return alpha
 
 
-def _long_uses(trie: Pieces, weights: np.ndarray, text: bytes, total: np.ndarray, times: float) -> None:
-    """Adds the expected uses of the pieces in one long word, in one pass back."""
+def _long_uses(trie: Pieces, weights: np.ndarray, text: bytes, total: np.ndarray, times: float) -> float:
+    """Adds the expected uses of the pieces in one long word, in one pass back; returns its log marginal."""
     alpha, beta = _long_forward(trie, weights, text), np.full(len(text) + 1, NEVER)
     beta[-1] = 0.0
     for first in range(len(text) - 1, -1, -1):
         for to, piece in _edges_at(trie, text, first):
             beta[first] = np.logaddexp(beta[first], beta[to] + weights[piece])
             total[piece] += times * np.exp(alpha[first] + weights[piece] + beta[to] - alpha[-1])
+    return float(alpha[-1])
 
 
 def _split(words: list[bytes]) -> tuple[list[int], list[int]]:
@@ -193,12 +197,12 @@ def marginals(trie: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarr
     return out
 
 
-def expected_counts(trie: Pieces, weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """How often each piece is used, over all segmentations by their posterior, times the words' counts."""
-    total = np.zeros(len(weights))
+def expectation(trie: Pieces, weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """How often each piece is used, over all segmentations by their posterior, times the words' counts; and the words' log likelihood."""
+    total, likelihood = np.zeros(len(weights)), 0.0
     short, long = _split(words)
     for i in long:
-        _long_uses(trie, weights, b" " + words[i], total, counts[i])
+        likelihood += counts[i] * _long_uses(trie, weights, b" " + words[i], total, counts[i])
     for where, matrix, sizes in _columns([words[i] for i in short]):
         edges = list(_edges(trie, matrix, sizes))
         alpha = np.full((len(matrix), matrix.shape[1] + 1), NEVER)
@@ -212,11 +216,12 @@ def expected_counts(trie: Pieces, weights: np.ndarray, words: list[bytes], count
             for to, row, piece in found:
                 beta[row, first] = np.logaddexp(beta[row, first], beta[row, to] + weights[piece])
         scale = counts[np.array(short)[where]]
+        likelihood += float(scale @ beta[:, 0])
         for first, found in edges:
             for to, row, piece in found:
                 share = np.exp(alpha[row, first] + weights[piece] + beta[row, to] - beta[row, 0]) * scale[row]
                 total += np.bincount(piece, weights=share, minlength=len(total))
-    return total
+    return total, likelihood
 
 
 class Lattice:
@@ -256,17 +261,20 @@ def _distinct(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.nda
     return [names[i] for i in order.tolist()], [place[i] for i in ids], hashes[order]
 
 
-def _count(path: str, parts: int, held_words: int = 150_000):
-    """Rows of kind 0: counts of the block's distinct words; of kind 1: expected uses of the pieces in a task's words."""
+#: Words, and bytes of them, that a task holds while it counts or works on them.
+HELD_WORDS, HELD_BYTES = 150_000, 16 << 20
+
+
+def _count(parts: int):
+    """Rows of kind 0: counts of the block's distinct words; of kind 1: distinct learning words of a task's blocks and their counts."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, seen = pieces_of(path), {}
+        seen, held = {}, 0
 
-        def uses():
-            total = expected_counts(trie, trie.start, list(seen), np.fromiter(seen.values(), np.float64, len(seen)))
-            seen.clear()
-            return (1, 0, -1, 0, total.tobytes())
+        def told():
+            sizes, counts = np.fromiter(map(len, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+            return (1, 0, -1, len(seen), b"".join([sizes.tobytes(), counts.tobytes(), *seen]))
 
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -275,18 +283,81 @@ def _count(path: str, parts: int, held_words: int = 150_000):
                 used = np.flatnonzero(~table.column("held_out").to_numpy(zero_copy_only=False))
                 counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *(ids[i] for i in used.tolist())]), minlength=len(names))
                 for i in np.flatnonzero(counts).tolist():
+                    held += len(names[i]) if names[i] not in seen else 0
                     seen[names[i]] = seen.get(names[i], 0) + int(counts[i])
                 rows = packed_rows(0, block, hashes, [counts.astype(np.int32)], parts)
-                if len(seen) > held_words:
-                    rows.append(uses())
+                if len(seen) > HELD_WORDS or held > HELD_BYTES:
+                    rows.append(told())
+                    seen, held = {}, 0
                 if rows:
                     yield packed_batch(rows)
         if seen:
-            yield packed_batch([uses()])
+            yield packed_batch([told()])
 
     return run
 
 
+@released
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per word of the rows of kind 1."""
+    for batch in batches:
+        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = raw.as_buffer()
+            ends = np.cumsum(np.frombuffer(raw, np.int64, n)).tolist()
+            counts, spelled = np.frombuffer(raw, np.int64, n, 8 * n), memoryview(raw)[16 * n :]
+            for a in range(0, n, 20_000):
+                words = [bytes(spelled[x:y]) for x, y in zip([ends[a - 1] if a else 0, *ends[a : a + 19_999]], ends[a : a + 20_000])]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts[a : a + 20_000])], names=["word", "c"])
+
+
+def learning_words(packed: DataFrame, parts: int) -> DataFrame:
+    """word, c: each distinct learning word once, written in as many files as there are ranges, so that steps spread over tasks."""
+    rows = packed.filter("kind = 1").select("n", "data").mapInArrow(_listed, "word binary, c long")
+    return materialise(rows.repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c")), "lattice-words")
+
+
+def _expect(path: str, weights: np.ndarray):
+    """One row a task: expected uses of the pieces in its words, and the words' log likelihood behind them."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, total, words, counts, held = pieces_of(path), np.zeros(len(weights) + 1), [], [], 0
+
+        def add() -> None:
+            uses, likelihood = expectation(trie, weights, words, np.array(counts, np.float64))
+            total[:-1] += uses
+            total[-1] += likelihood
+
+        for batch in batches:
+            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words.append(word)
+                counts.append(c)
+                held += len(word)
+                if len(words) >= HELD_WORDS or held > HELD_BYTES:
+                    add()
+                    words, counts, held = [], [], 0
+        if words:
+            add()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
+
+    return run
+
+
+def fitted_weights(words: DataFrame, path: str, tokens: float, ends: float, steps: int, least_gain: float) -> tuple[np.ndarray, float]:
+    """Log-probabilities of the pieces and of the end after expectation steps over `words`, which hold `tokens` words."""
+    trie = pieces_of(path)
+    weights, end = piece_weights(trie, np.zeros(len(trie.pieces)), ends)
+    before = -np.inf
+    for _ in range(steps if tokens else 0):
+        total = _summed(words.mapInArrow(_expect(path, weights), "data binary"), len(trie.pieces) + 1)
+        now = (total[-1] + ends * end) / (tokens + ends) / np.log(10)
+        weights, end = piece_weights(trie, total[:-1], ends)
+        if now - before < least_gain:
+            break
+        before = now
+    return weights, end
+
+
 STATISTICS = 4
 
 
@@ -354,18 +425,17 @@ def piece_weights(trie: Pieces, uses: np.ndarray, ends: float) -> tuple[np.ndarr
     return np.log(fitted / total), float(np.log((ends + PRIOR) / total))
 
 
-def lattice_scores(docs: DataFrame, held_out, path: str | None = None) -> DataFrame:
+def lattice_scores(docs: DataFrame, held_out, path: str | None = None, steps: int = 8, least_gain: float = 0.01) -> DataFrame:
     """docs: doc_id, text. held_out: boolean column; the other rows are learned from."""
     path = path or vocabulary_path("piece_bpe_32k.model")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     blocks = write_blocks(rows, "lattice")
     payloads, parts = blocks.select("block", "payload"), key_ranges(blocks)
-    packed = materialise(payloads.mapInArrow(_count(path, parts), PACKED), "lattice-counts")
+    packed = materialise(payloads.mapInArrow(_count(parts), PACKED), "lattice-counts")
     told = materialise(answered(packed.filter("kind = 0"), _total), "lattice-totals")
     tokens, kinds, once, twice = _summed(told.select(F.substring("data", 1, 8 * STATISTICS).alias("data")), STATISTICS)
-    trie = pieces_of(path)
     ends = float(docs.filter(~held_out).count())
-    weights, end = piece_weights(trie, _summed(packed.filter("kind = 1").select("data"), len(trie.pieces)), ends)
+    weights, end = fitted_weights(learning_words(packed, parts), path, tokens, ends, steps, least_gain)
     discount = min(once / (once + 2 * twice), 0.95) if once and twice else 0.5
     run = _score(path, weights, end, tokens + ends, kinds + (ends > 0), discount, ends)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"

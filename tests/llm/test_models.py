@@ -41,14 +41,16 @@ def test_lattice_sums_all_segmentations():
         for p, x in zip(paths, weights):
             for i in p:
                 uses[i] += 3 * x / sum(weights)
-    assert np.allclose(lattice_lm.expected_counts(trie, trie.start, words, np.full(len(words), 3.0)), uses)
+    assert np.allclose(lattice_lm.expectation(trie, trie.start, words, np.full(len(words), 3.0))[0], uses)
+    assert lattice_lm.expectation(trie, trie.start, words, np.full(len(words), 3.0))[1] == pytest.approx(3 * sums.sum())
     long, count = [b"ab" * 400], np.array([2.0])
-    told = lattice_lm.marginals(trie, trie.start, long)[0], lattice_lm.expected_counts(trie, trie.start, long, count)
+    told = lattice_lm.marginals(trie, trie.start, long)[0], lattice_lm.expectation(trie, trie.start, long, count)
+    assert told[1][1] == pytest.approx(2 * told[0])
     short = lattice_lm.LONGEST
     try:
         lattice_lm.LONGEST = 1000
         assert lattice_lm.marginals(trie, trie.start, long)[0] == pytest.approx(told[0])
-        assert np.allclose(lattice_lm.expected_counts(trie, trie.start, long, count), told[1])
+        assert np.allclose(lattice_lm.expectation(trie, trie.start, long, count)[0], told[1][0])
     finally:
         lattice_lm.LONGEST = short
 
@@ -62,17 +64,27 @@ def test_scores_against_all_segmentations(spark):
     split = {i: (t or "").encode().lower().split() for i, t in rows}
     c = Counter(w for i, ws in split.items() if not held[i] for w in ws)
     ends = sum(not h for h in held.values())
-    uses = np.zeros(len(number))
-    for w, k in c.items():
-        paths = [[number[p] for p in s] for s in segmentations(number, b" " + w)]
-        shares = np.array([math.exp(trie.start[p].sum()) for p in paths])
-        for p, x in zip(paths, shares / shares.sum()):
-            for i in p:
-                uses[i] += k * x
-    fitted = uses + lattice_lm.PRIOR * len(uses) * np.exp(trie.start)
-    total = fitted.sum() + ends + lattice_lm.PRIOR
-    chance = fitted / total
-    end = (ends + lattice_lm.PRIOR) / total
+    paths = {w: [[number[p] for p in s] for s in segmentations(number, b" " + w)] for w in c}
+
+    def next_chances(uses):
+        fitted = uses + lattice_lm.PRIOR * len(number) * np.exp(trie.start)
+        total = fitted.sum() + ends + lattice_lm.PRIOR
+        return fitted / total, (ends + lattice_lm.PRIOR) / total
+
+    (chance, end), before, done = next_chances(np.zeros(len(number))), -math.inf, 0
+    for _ in range(8):
+        uses, now = np.zeros(len(number)), ends * math.log10(end)
+        for w, k in c.items():
+            shares = np.array([math.prod(chance[p]) for p in paths[w]])
+            now += k * math.log10(shares.sum())
+            for p, x in zip(paths[w], shares / shares.sum()):
+                for i in p:
+                    uses[i] += k * x
+        (chance, end), done = next_chances(uses), done + 1
+        if now / (sum(c.values()) + ends) - before < 0.01:
+            break
+        before = now / (sum(c.values()) + ends)
+    assert 2 < done <= 8
     assert chance.sum() + end == pytest.approx(1)
     inside = {w: sum(math.prod(chance[number[p]] for p in s) for s in segmentations(number, b" " + w)) for ws in split.values() for w in ws}
     n, v = sum(c.values()) + ends, len(c) + 1
