@@ -37,7 +37,7 @@ the score; repeated rows and ties are scored alike; an empty table gives an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -197,30 +197,68 @@ def marginals(trie: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarr
     return out
 
 
-def expectation(trie: Pieces, weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """How often each piece is used, over all segmentations by their posterior, times the words' counts; and the words' log likelihood."""
-    total, likelihood = np.zeros(len(weights)), 0.0
+Bundle = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def bundles(words: list[bytes], counts: np.ndarray) -> Iterator[Bundle]:
+    """Words as (matrix of bytes with the space before them, sizes, counts): those of like size together, a long one alone."""
     short, long = _split(words)
     for i in long:
-        likelihood += counts[i] * _long_uses(trie, weights, b" " + words[i], total, counts[i])
+        yield np.frombuffer(b" " + words[i], np.uint8)[None], np.array([len(words[i]) + 1]), counts[i : i + 1]
     for where, matrix, sizes in _columns([words[i] for i in short]):
+        yield matrix, sizes, counts[np.array(short)[where]]
+
+
+def _products(edges: list, chances: np.ndarray, bundle: Bundle) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces, their expected uses, and log marginals of words so short that no product of chances leaves a double's range."""
+    matrix, sizes, counts = bundle
+    alpha = np.zeros((len(matrix), matrix.shape[1] + 1))
+    beta = np.zeros_like(alpha)
+    alpha[:, 0] = 1.0
+    beta[np.arange(len(matrix)), sizes] = 1.0
+    for first, found in edges:
+        for to, row, piece in found:
+            alpha[row, to] += alpha[row, first] * chances[piece]
+    for first, found in reversed(edges):
+        for to, row, piece in found:
+            beta[row, first] += beta[row, to] * chances[piece]
+    scale = counts / beta[:, 0]
+    used = [np.zeros(0, np.int64), *(piece for _, found in edges for _, _, piece in found)]
+    shares = [np.zeros(0), *(alpha[row, first] * scale[row] * chances[piece] * beta[row, to] for first, found in edges for to, row, piece in found)]
+    return np.concatenate(used), np.concatenate(shares), np.log(beta[:, 0])
+
+
+def _sums(edges: list, weights: np.ndarray, bundle: Bundle) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same in log space, for words of any size."""
+    matrix, sizes, counts = bundle
+    alpha = np.full((len(matrix), matrix.shape[1] + 1), NEVER)
+    beta = np.full_like(alpha, NEVER)
+    alpha[:, 0] = 0.0
+    beta[np.arange(len(matrix)), sizes] = 0.0
+    for first, found in edges:
+        for to, row, piece in found:
+            alpha[row, to] = np.logaddexp(alpha[row, to], alpha[row, first] + weights[piece])
+    for first, found in reversed(edges):
+        for to, row, piece in found:
+            beta[row, first] = np.logaddexp(beta[row, first], beta[row, to] + weights[piece])
+    used = [np.zeros(0, np.int64), *(piece for _, found in edges for _, _, piece in found)]
+    shares = [np.zeros(0), *(np.exp(alpha[row, first] + weights[piece] + beta[row, to] - beta[row, 0]) * counts[row] for first, found in edges for to, row, piece in found)]
+    return np.concatenate(used), np.concatenate(shares), beta[:, 0]
+
+
+def expectation(trie: Pieces, weights: np.ndarray, words: Iterable[Bundle]) -> tuple[np.ndarray, float]:
+    """How often each piece is used, over all segmentations by their posterior, times the words' counts; and the words' log likelihood."""
+    total, likelihood = np.zeros(len(weights)), 0.0
+    chances, fits = np.exp(weights), 650 / -weights.min()
+    for bundle in words:
+        matrix, sizes, counts = bundle
+        if matrix.shape[1] > LONGEST + 1:
+            likelihood += counts[0] * _long_uses(trie, weights, matrix[0].tobytes(), total, counts[0])
+            continue
         edges = list(_edges(trie, matrix, sizes))
-        alpha = np.full((len(matrix), matrix.shape[1] + 1), NEVER)
-        beta = np.full_like(alpha, NEVER)
-        alpha[:, 0] = 0.0
-        beta[np.arange(len(matrix)), sizes] = 0.0
-        for first, found in edges:
-            for to, row, piece in found:
-                alpha[row, to] = np.logaddexp(alpha[row, to], alpha[row, first] + weights[piece])
-        for first, found in reversed(edges):
-            for to, row, piece in found:
-                beta[row, first] = np.logaddexp(beta[row, first], beta[row, to] + weights[piece])
-        scale = counts[np.array(short)[where]]
-        likelihood += float(scale @ beta[:, 0])
-        for first, found in edges:
-            for to, row, piece in found:
-                share = np.exp(alpha[row, first] + weights[piece] + beta[row, to] - beta[row, 0]) * scale[row]
-                total += np.bincount(piece, weights=share, minlength=len(total))
+        used, shares, inside = _products(edges, chances, bundle) if matrix.shape[1] <= fits else _sums(edges, weights, bundle)
+        total += np.bincount(used, weights=shares, minlength=len(total))
+        likelihood += float((counts * inside).sum())
     return total, likelihood
 
 
@@ -310,34 +348,51 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts[a : a + 20_000])], names=["word", "c"])
 
 
+BUNDLED = "width int, n int, data binary"
+
+
+@released
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words and counts as bundles, so that no step has to lay them out again."""
+    words, counts, held = [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        out = [(m.shape[1], len(m), b"".join([sizes.tobytes(), c.tobytes(), m.tobytes()])) for m, sizes, c in bundles(words, np.array(counts, np.float64))]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["width", "n", "data"])
+
+    for batch in batches:
+        for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words.append(word)
+            counts.append(c)
+            held += len(word)
+            if len(words) >= HELD_WORDS or held > HELD_BYTES:
+                yield rows()
+                words, counts, held = [], [], 0
+    if words:
+        yield rows()
+
+
 def learning_words(packed: DataFrame, parts: int) -> DataFrame:
-    """word, c: each distinct learning word once, written in as many files as there are ranges, so that steps spread over tasks."""
+    """Each distinct learning word once, in bundles, written in as many files as there are ranges, so that steps spread over tasks."""
     rows = packed.filter("kind = 1").select("n", "data").mapInArrow(_listed, "word binary, c long")
-    return materialise(rows.repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c")), "lattice-words")
+    return materialise(rows.repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c")).mapInArrow(_bundled, BUNDLED), "lattice-words")
 
 
 def _expect(path: str, weights: np.ndarray):
     """One row a task: expected uses of the pieces in its words, and the words' log likelihood behind them."""
 
+    def laid(batch: pa.RecordBatch) -> Iterator[Bundle]:
+        for width, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            raw = raw.as_buffer()
+            yield np.frombuffer(raw, np.uint8, n * width, 16 * n).reshape(n, width), np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.float64, n, 8 * n)
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, total, words, counts, held = pieces_of(path), np.zeros(len(weights) + 1), [], [], 0
-
-        def add() -> None:
-            uses, likelihood = expectation(trie, weights, words, np.array(counts, np.float64))
+        trie, total = pieces_of(path), np.zeros(len(weights) + 1)
+        for batch in batches:
+            uses, likelihood = expectation(trie, weights, laid(batch))
             total[:-1] += uses
             total[-1] += likelihood
-
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.append(word)
-                counts.append(c)
-                held += len(word)
-                if len(words) >= HELD_WORDS or held > HELD_BYTES:
-                    add()
-                    words, counts, held = [], [], 0
-        if words:
-            add()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["data"])
 
     return run

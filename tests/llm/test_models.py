@@ -41,16 +41,20 @@ def test_lattice_sums_all_segmentations():
         for p, x in zip(paths, weights):
             for i in p:
                 uses[i] += 3 * x / sum(weights)
-    assert np.allclose(lattice_lm.expectation(trie, trie.start, words, np.full(len(words), 3.0))[0], uses)
-    assert lattice_lm.expectation(trie, trie.start, words, np.full(len(words), 3.0))[1] == pytest.approx(3 * sums.sum())
+    assert np.allclose(lattice_lm.expectation(trie, trie.start, lattice_lm.bundles(words, np.full(len(words), 3.0)))[0], uses)
+    assert lattice_lm.expectation(trie, trie.start, lattice_lm.bundles(words, np.full(len(words), 3.0)))[1] == pytest.approx(3 * sums.sum())
     long, count = [b"ab" * 400], np.array([2.0])
-    told = lattice_lm.marginals(trie, trie.start, long)[0], lattice_lm.expectation(trie, trie.start, long, count)
+    told = lattice_lm.marginals(trie, trie.start, long)[0], lattice_lm.expectation(trie, trie.start, lattice_lm.bundles(long, count))
     assert told[1][1] == pytest.approx(2 * told[0])
+    bundle = next(lattice_lm.bundles(words, np.arange(1.0, len(words) + 1)))
+    edges = list(lattice_lm._edges(trie, *bundle[:2]))
+    for a, b in zip(lattice_lm._products(edges, np.exp(trie.start), bundle), lattice_lm._sums(edges, trie.start, bundle)):
+        assert np.allclose(a, b)
     short = lattice_lm.LONGEST
     try:
         lattice_lm.LONGEST = 1000
         assert lattice_lm.marginals(trie, trie.start, long)[0] == pytest.approx(told[0])
-        assert np.allclose(lattice_lm.expectation(trie, trie.start, long, count)[0], told[1][0])
+        assert np.allclose(lattice_lm.expectation(trie, trie.start, lattice_lm.bundles(long, count))[0], told[1][0])
     finally:
         lattice_lm.LONGEST = short
 
