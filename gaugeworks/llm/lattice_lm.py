@@ -176,6 +176,11 @@ def _long_uses(trie: Pieces, weights: np.ndarray, text: bytes, total: np.ndarray
     return float(alpha[-1])
 
 
+def _fitting(weights: np.ndarray) -> float:
+    """Bytes of a word up to which no product of chances leaves a double's range."""
+    return 650 / -weights.min()
+
+
 def _split(words: list[bytes]) -> tuple[list[int], list[int]]:
     long = [i for i, w in enumerate(words) if len(w) > LONGEST]
     return ([i for i, w in enumerate(words) if len(w) <= LONGEST] if long else list(range(len(words)))), long
@@ -187,13 +192,19 @@ def marginals(trie: Pieces, weights: np.ndarray, words: list[bytes]) -> np.ndarr
     short, long = _split(words)
     for i in long:
         out[i] = _long_forward(trie, weights, b" " + words[i])[-1]
+    chances, fits = np.exp(weights), _fitting(weights)
     for where, matrix, sizes in _columns([words[i] for i in short]):
-        alpha = np.full((len(matrix), matrix.shape[1] + 1), NEVER)
-        alpha[:, 0] = 0.0
+        products = matrix.shape[1] <= fits
+        alpha = np.full((len(matrix), matrix.shape[1] + 1), 0.0 if products else NEVER)
+        alpha[:, 0] = 1.0 if products else 0.0
         for first, found in _edges(trie, matrix, sizes):
             for to, row, piece in found:
-                alpha[row, to] = np.logaddexp(alpha[row, to], alpha[row, first] + weights[piece])
-        out[np.array(short)[where]] = alpha[np.arange(len(matrix)), sizes]
+                if products:
+                    alpha[row, to] += alpha[row, first] * chances[piece]
+                else:
+                    alpha[row, to] = np.logaddexp(alpha[row, to], alpha[row, first] + weights[piece])
+        last = alpha[np.arange(len(matrix)), sizes]
+        out[np.array(short)[where]] = np.log(last) if products else last
     return out
 
 
@@ -249,7 +260,7 @@ def _sums(edges: list, weights: np.ndarray, bundle: Bundle) -> tuple[np.ndarray,
 def expectation(trie: Pieces, weights: np.ndarray, words: Iterable[Bundle]) -> tuple[np.ndarray, float]:
     """How often each piece is used, over all segmentations by their posterior, times the words' counts; and the words' log likelihood."""
     total, likelihood = np.zeros(len(weights)), 0.0
-    chances, fits = np.exp(weights), 650 / -weights.min()
+    chances, fits = np.exp(weights), _fitting(weights)
     for bundle in words:
         matrix, sizes, counts = bundle
         if matrix.shape[1] > LONGEST + 1:
@@ -341,11 +352,11 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = raw.as_buffer()
-            ends = np.cumsum(np.frombuffer(raw, np.int64, n)).tolist()
-            counts, spelled = np.frombuffer(raw, np.int64, n, 8 * n), memoryview(raw)[16 * n :]
+            offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n))])
+            words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), raw.slice(16 * n)])
+            counts = pa.array(np.frombuffer(raw, np.int64, n, 8 * n))
             for a in range(0, n, 20_000):
-                words = [bytes(spelled[x:y]) for x, y in zip([ends[a - 1] if a else 0, *ends[a : a + 19_999]], ends[a : a + 20_000])]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts[a : a + 20_000])], names=["word", "c"])
+                yield pa.RecordBatch.from_arrays([words.slice(a, 20_000).cast(pa.binary()), counts.slice(a, 20_000)], names=["word", "c"])
 
 
 BUNDLED = "width int, n int, data binary"
