@@ -9,7 +9,7 @@ import time
 import warnings
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby, islice
 
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from gaugeworks.functions.hashing import hash_number
+from gaugeworks.operators import providers
 
 #: Alphabet and longest length of random responses; workers unless told otherwise, and their bounds.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -47,20 +48,25 @@ class ModelSpec:
 
     provider: str
     model: str | None = None
+    settings: tuple[tuple[str, str], ...] = ()
 
     @property
     def display(self) -> str:
         return "demo-builtin" if self.model is None else f"{self.provider}:{self.model}"
 
 
+#: What a model's table may say beside its type.
+SETTINGS = ("account_id", "gateway_id", "base_url")
+
+
 def model_spec(spec: str | dict | None) -> ModelSpec:
+    """`random`, `random_label` or `provider:model`, as text or as a table's `type`; a table may also name the model as `model_id`."""
     if spec is None:
         return ModelSpec("random")
     if isinstance(spec, dict):
-        kind = spec.get("type")
-        if kind in ("random", "random_label"):
-            return ModelSpec(kind)
-        spec = f"{kind}:{spec.get('model_id', '')}"
+        kind = spec.get("type") or ""
+        told = model_spec(f"{kind}:{spec['model_id']}" if "model_id" in spec and ":" not in kind else kind)
+        return replace(told, settings=tuple((k, str(spec[k])) for k in SETTINGS if spec.get(k))) if told.model else told
     if spec in ("random", "random_label"):
         return ModelSpec(spec)
     provider, colon, model = spec.partition(":")
@@ -79,7 +85,7 @@ def model_of_input(text: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-#: A plug-in: prompts of an Arrow batch in, responses out. Registered by provider.
+#: A plug-in: prompts of an Arrow batch in, responses out. One that is registered for a provider replaces calls over HTTP.
 Sampler = Callable[[list[str]], list[str]]
 REGISTERED: dict[str, Callable[[str], Sampler]] = {}
 
@@ -223,7 +229,7 @@ def sampled(rows: DataFrame, prompt: str, spec: ModelSpec, labels: str | Sequenc
             return rows.withColumns({"response": random_label(F.col(prompt), F.array().cast("array<string>"), seed), "latency_ms": began})
         return rows.withColumns({"response": random_text(F.col(prompt), seed), "latency_ms": began})
     if spec.provider not in REGISTERED:
-        raise ValueError(f"no sampler is registered for {spec.display}")
+        return external(rows, prompt, providers.sampler(spec.provider, spec.model, dict(spec.settings)), workers)
     answer = REGISTERED[spec.provider](spec.model)
     return external(rows, prompt, lambda p: answer([p])[0], workers)
 
@@ -249,9 +255,11 @@ def map_rows(rows: DataFrame, function: Callable, schema: str, workers: int | No
 def chat(rows: DataFrame, messages: str, spec: ModelSpec, call: Callable[[str, str | None, list[dict]], dict] | None = None, workers: int | None = None) -> DataFrame:
     """rows with `reply` (content, tokens) of a conversation column (array of role and content).
 
-    Without `call` the random sampler answers the last message and counts its words; `call(provider, model, messages)`
-    returns {"content", "tokens"}.
+    The random sampler answers the last message and counts its words. Others are asked by `call(provider, model,
+    messages)`, which returns {"content", "tokens"}; without one, the provider is called over HTTP.
     """
+    if call is None and spec.model is not None:
+        call = providers.converser(spec.provider, spec.model, dict(spec.settings))
     last = F.element_at(F.col(messages), -1)["content"]
     if call is None:
         return rows.withColumn("_t", random_text(last)).withColumn("reply", F.struct(F.col("_t").alias("content"), F.size(F.split("_t", " ")).cast("long").alias("tokens"))).drop("_t")

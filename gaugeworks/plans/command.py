@@ -15,13 +15,13 @@ from gaugeworks.sources.config import Evaluation, assembled
 from gaugeworks.sources.datasets import Catalog, effective_limit
 
 
-def rows_of(catalog: Catalog, table: dict | str) -> tuple[DataFrame, int]:
-    """A configured dataset's rows and their number."""
+def rows_of(catalog: Catalog, table: dict | str, limit: int | None = None) -> tuple[DataFrame, int]:
+    """A configured dataset's rows, and how many of them are wanted."""
     table = {"name": table} if isinstance(table, str) else table
     source = table["name"] if "://" in table["name"] else f"hf://{table['name']}"
     at = catalog.resolved(source, table.get("config_name"), table.get("split"), table.get("revision"))
-    rows = catalog.rows(at)
-    return rows, rows.count()
+    n = effective_limit(limit, catalog.total_rows(at))
+    return catalog.rows(at, n), n
 
 
 def run(store: Store, name: str, evaluations: dict[str, Evaluation], given: dict | None = None, rows: DataFrame | None = None, catalog: Catalog | None = None, order: list[str] | None = None, run_id: int | None = None) -> Report:
@@ -36,8 +36,7 @@ def run(store: Store, name: str, evaluations: dict[str, Evaluation], given: dict
     if found.kind == "custom_code":
         return _command(store, name, params, run_id)
     if rows is None:
-        rows, total = rows_of(catalog, params["dataset"])
-        params["limit"] = effective_limit(params.get("limit"), total)
+        rows, params["limit"] = rows_of(catalog, params["dataset"], params.get("limit"))
     if found.kind == "builtin":
         return BUILTINS[params.pop("builtin", name)](store, rows, run_id=run_id, **params)
     with open(params["prompt_template_file"], encoding="utf-8") as f:

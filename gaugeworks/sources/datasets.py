@@ -78,10 +78,10 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def configs(self, dataset: str) -> list[str]:
+    def configs(self, dataset: str, revision: str | None = None) -> list[str]:
         return _folders(self.spark, f"{self.root}/{dataset}", "config")
 
-    def splits(self, dataset: str, config: str) -> list[str]:
+    def splits(self, dataset: str, config: str, revision: str | None = None) -> list[str]:
         return _folders(self.spark, f"{self.root}/{dataset}/config={config}", "split")
 
     def resolved(self, source: str, config: str | None = None, split: str | None = None, revision: str | None = None) -> Coordinates:
@@ -89,19 +89,20 @@ class Catalog:
         if at.kind != "hub":
             return at
         if config is None:
-            known = self.configs(at.dataset)
+            known = self.configs(at.dataset, revision)
             if not known:
                 raise DatasetError("dataset_unavailable")
             config = known[0]
-        return Coordinates("hub", at.dataset, config, pick_split(self.splits(at.dataset, config), split), revision)
+        return Coordinates("hub", at.dataset, config, pick_split(self.splits(at.dataset, config, revision), split), revision)
 
-    def rows(self, at: Coordinates) -> DataFrame:
+    def rows(self, at: Coordinates, first: int | None = None) -> DataFrame:
+        """All rows. `first` says how many are wanted; a catalog that fetches rows stops there."""
         if at.kind == "table":
             return self.spark.table(at.dataset)
         path = at.dataset if at.kind == "file" else f"{self.root}/{at.dataset}/config={at.config}/split={at.split}"
         return self.spark.read.json(path) if path.endswith((".json", ".jsonl")) else self.spark.read.parquet(path)
 
-    def total_rows(self, at: Coordinates) -> int:
+    def total_rows(self, at: Coordinates) -> int | None:
         return self.rows(at).count()
 
 
@@ -122,21 +123,31 @@ class BatchCache:
     def path(self, at: Coordinates, offset: int, limit: int) -> str:
         return f"{self.root}/{cache_key(at.dataset, at.config or '', at.split or '', at.revision)}/{offset}_{limit}"
 
-    def batch(self, at: Coordinates, rows: DataFrame, order: Sequence[str], offset: int, limit: int, json: str | None = None) -> DataFrame:
-        """A page of rows. Where `json` names a column of JSON rows, the page is written as typed columns, the union of its keys."""
+    def batch(self, at: Coordinates, rows: DataFrame, order: Sequence[str], offset: int, limit: int, json: str | None = None, index: str | None = None) -> DataFrame:
+        """A page of rows. Where `json` names a column of JSON rows, the page is written as typed columns, the union of its keys.
+
+        Where `index` names a column that counts the rows from 0, the page is a condition on it, which a paged source
+        answers without reading others, and the column stays. JSON rows are read from their source once.
+        """
         path = self.path(at, offset, limit)
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            page = rows.orderBy(*order).offset(offset).limit(limit)
-            (typed_rows(page, json) if json else page).write.mode("overwrite").parquet(path)
+            page = rows.orderBy(*order).offset(offset).limit(limit) if index is None else rows.filter((F.col(index) >= offset) & (F.col(index) < offset + limit))
+            if json:
+                page.write.mode("overwrite").parquet(f"{path}.raw")
+                page = typed_rows(self.spark.read.parquet(f"{path}.raw"), json, index)
+            page.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
 
-def typed_rows(rows: DataFrame, json_column: str) -> DataFrame:
-    """JSON rows as columns: keys sorted, types inferred over all rows, missing keys null. The key list comes to the driver."""
+def typed_rows(rows: DataFrame, json_column: str, index: str | None = None) -> DataFrame:
+    """JSON rows as columns: keys sorted, types inferred over all rows, missing keys null. The key list comes to the driver.
+
+    The index column, if one is named, comes first; a key of its name is left out.
+    """
     kinds = sorted((r["key"], r["type"]) for r in inferred_types(rows, json_column).collect())
     v = parsed(F.col(json_column))
-    return rows.select(*[typed(v, k, t).alias(k) for k, t in kinds])
+    return rows.select(*([F.col(index)] if index else []), *[typed(v, k, t).alias(k) for k, t in kinds if k != index])
 
 
 class PagedReader(DataSourceReader):

@@ -66,9 +66,10 @@ def total_rows(path: str) -> int:
     return sum(n for _, _, n in row_groups(path))
 
 
-class PageReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str], offset: int, limit: int | None):
-        self.path, self.columns = path, columns
+class IndexedReader(DataSourceReader):
+    """Rows [low, high) by their index; conditions on row_index make the range smaller."""
+
+    def __init__(self, offset: int, limit: int | None):
         self.low, self.high = offset, None if limit is None else offset + limit
 
     def pushFilters(self, filters):
@@ -83,6 +84,12 @@ class PageReader(DataSourceReader):
             if bounds[1] is not None:
                 self.high = f.value + bounds[1] if self.high is None else min(self.high, f.value + bounds[1])
 
+
+class PageReader(IndexedReader):
+    def __init__(self, path: str, columns: list[str], offset: int, limit: int | None):
+        super().__init__(offset, limit)
+        self.path, self.columns = path, columns
+
     def partitions(self):
         out, first = [], 0
         for path, group, n in row_groups(self.path):
