@@ -5,15 +5,17 @@ still be in progress: (place in the token trie, token before it, output so far).
 another only if merging their joined bytes gives back the two, so exactly one output survives at each
 position. The subset construction is done lazily: a state is the set of threads with their outputs cut
 by the common prefix, which is emitted at that moment. No thread is longer than the longest token, so
-the lookahead is bounded. States and arcs are made when first needed and dropped together once there
-are `max_states` of them.
+the lookahead is bounded. States and arcs are made when first needed. Once there are `max_states` of
+them, all but the one that is being left are dropped, within a piece too.
 
 Decoding. Token ids are read one by one; complete characters leave at once, the bytes of an unfinished
 one stay in the state. Ill-formed input yields U+FFFD per maximal ill-formed part, as Unicode advises.
 
 Cases: a null text is empty and has no ids; special tokens' strings are ordinary text; repeated rows
-are encoded alike; an empty table gives an empty result; other columns are ignored. Text that Spark
-holds is valid UTF-8, so decoding gives back its bytes.
+are encoded alike; an empty table gives an empty result; other columns are ignored. A very long text
+costs memory of its own size and its ids', whether it has blanks or not; words that return are kept up
+to a number of bytes. Ties don't arise: ranks differ. Text that Spark holds is valid UTF-8, so decoding
+gives back its bytes.
 """
 
 from __future__ import annotations
@@ -93,6 +95,16 @@ class Transducer:
         self.flush: list[tuple[int, ...]] = [()]
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def only(self, state: int) -> int:
+        """Drop all states but the root and this one; its new number."""
+        key = self.threads[state]
+        self.reset()
+        if key not in self.number:
+            self.number[key] = len(self.threads)
+            self.threads.append(key)
+            self.flush.append(key[-1][2])
+        return self.number[key]
+
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one step: (next state, tokens that are now certain)."""
         alive, fresh = [], None
@@ -123,11 +135,14 @@ class Transducer:
         return result
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.threads) > self.max_states:
-            self.reset()
         state, out, arcs = 0, [], self.arcs
         for byte in piece:
-            step = arcs.get(state << 8 | byte) or self.arc(state, byte)
+            step = arcs.get(state << 8 | byte)
+            if step is None:
+                if len(self.threads) > self.max_states or len(arcs) > 8 * self.max_states:
+                    state = self.only(state)
+                    arcs = self.arcs
+                step = self.arc(state, byte)
             state = step[0]
             if step[1]:
                 out.extend(step[1])
@@ -199,11 +214,11 @@ class Utf8Stream:
 class Codec:
     """Text to ids and back; words that return are kept in a bounded memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 64 << 20):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.stream = Utf8Stream(self.transducer.merges.token)
-        self.remembered = remembered
+        self.remembered, self.held = remembered, 0  # bytes
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _pieces(self, text: str) -> tuple[int, ...]:
@@ -215,13 +230,14 @@ class Codec:
         first, *rest = text.split(" ")
         known = self.known
         new = set(rest).difference(known)
-        if new and len(known) > self.remembered:
+        if new and self.held > self.remembered:
             known.clear()
-            new = set(rest)
+            new, self.held = set(rest), 0
         for w in new:
             if not w or w[0].isspace() or w[-1].isspace():
                 return [*self._pieces(text)]
             known[w] = self._pieces(" " + w)
+            self.held += len(w) + 8 * len(known[w]) + 150
         if first[-1:].isspace():
             return [*self._pieces(text)]
         return [*self._pieces(first), *chain.from_iterable(map(known.__getitem__, rest))]

@@ -43,7 +43,20 @@ def test_utf8_stream(data):
 def test_transducer_is_bounded():
     small = bpe_codec.Transducer(RANKS, max_states=50)
     for word in (b" hello", b" undetermined", b" aaaaaaaaaaaaaaaaaaaaaaaa", b"\xf0\x9f\x99\x82" * 3, b" hello"):
-        assert small.encode(word) == ENCODING._encode_bytes(word) and len(small.threads) <= 50 + 13 * len(word)
+        assert small.encode(word) == ENCODING._encode_bytes(word) and len(small.threads) <= 51
+
+
+def test_long_texts_without_blanks_stay_bounded():
+    letters = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8).tobytes()
+    codec = bpe_codec.Codec(RANKS, P.PATTERN, remembered=4000)
+    codec.transducer.max_states = 1000
+    for text in (letters.decode(), "ab" * 100_000):
+        ids = codec.encode(text)
+        assert ids == ENCODING.encode_ordinary(text) and codec.decode(ids) == text
+        assert len(codec.transducer.threads) <= 1001 and len(codec.transducer.arcs) <= 8001
+    for i in range(200):
+        codec.encode(f"w{i} " + f"word{i}" * 20)
+        assert codec.held < 4000 + 1000 and len(codec.known) < 40
 
 
 def test_op4_on_cases(spark):
