@@ -86,6 +86,7 @@ class Transducer:
                     self.ends.append(-1)
                 at = step
             self.ends[at] = rank
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -93,7 +94,7 @@ class Transducer:
         self.number = {root: 0}
         self.threads = [root]
         self.flush: list[tuple[int, ...]] = [()]
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs.clear()  # the same dict, for a piece may be in progress
 
     def only(self, state: int) -> int:
         """Drop all states but the root and this one; its new number."""
@@ -107,6 +108,8 @@ class Transducer:
 
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one step: (next state, tokens that are now certain)."""
+        if len(self.threads) > self.max_states or len(self.arcs) > 8 * self.max_states:
+            state = self.only(state)
         alive, fresh = [], None
         for node, before, output in self.threads[state]:
             step = self.child[node].get(byte)
@@ -137,12 +140,7 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         state, out, arcs = 0, [], self.arcs
         for byte in piece:
-            step = arcs.get(state << 8 | byte)
-            if step is None:
-                if len(self.threads) > self.max_states or len(arcs) > 8 * self.max_states:
-                    state = self.only(state)
-                    arcs = self.arcs
-                step = self.arc(state, byte)
+            step = arcs.get(state << 8 | byte) or self.arc(state, byte)
             state = step[0]
             if step[1]:
                 out.extend(step[1])
