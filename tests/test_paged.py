@@ -51,5 +51,23 @@ def test_pages_are_the_rows(spark, folder):
         paged.pages(spark, folder, 0, 0)
 
 
+def test_all_pages_are_one_scan(spark, folder):
+    rows = paged.numbered_pages(spark, folder, 40, ["i"])
+    assert sorted(map(tuple, rows.collect())) == [(i, i, i // 40) for i in range(195)]
+    assert rows.rdd.getNumPartitions() == paged.numbered_pages(spark, folder, 1).rdd.getNumPartitions() == 9
+    with pytest.raises(ValueError):
+        paged.numbered_pages(spark, folder, 0)
+
+
+def test_the_plan_of_mirrored_pages_is_that_of_a_single_page(spark, tmp_path):
+    from gaugeworks.plans import registry_runs
+
+    n = 12_001
+    pq.write_table(pa.table({"o_orderkey": range(n), "o_custkey": [i % 7 for i in range(n)]}), tmp_path / "orders.parquet", row_group_size=4000)
+    rows = registry_runs.mirrored_pages(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4 and "Union" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == [(i, i, i % 7, i // 5000) for i in range(n)]
+
+
 def test_no_files(spark, tmp_path):
     assert paged.pages(spark, str(tmp_path)).count() == 0 and paged.total_rows(str(tmp_path)) == 0
