@@ -72,6 +72,40 @@ def test_op4_on_cases(spark):
     assert digest["n_tokens"] == len(ids) and digest["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and digest["decoded_sha256"] == hashlib.sha256(b"<|endoftext|> x").hexdigest()
 
 
+class Untravelled(dict):
+    """A memory that is looked up, never gone through."""
+
+    def __iter__(self):
+        raise AssertionError("all remembered words were gone through")
+
+
+def test_new_words_cost_no_pass_over_the_memory():
+    encoder = packing.Encoder(P.path("byte_bpe_50k.json"))
+    encoder.known = Untravelled()
+    for text in ("one house, two houses. three! word.", "\0 a\0 new, word?! Ätz, 日, é,.!", "", " ", "a" * 101 + ", x"):
+        assert np.frombuffer(encoder.encode([text])[0], encoder.width).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_words_and_portions():
+    import pyarrow as pa
+
+    for words in ([""], ["a"], ["a", "", "b\0\n", "é日"]):
+        assert packing.spaceless(pa.array(words)) == words
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abc", None, "", "x" * 50, "éé", "y"])], names=["doc_id", "text"])
+    assert [p.column(0).to_pylist() for p in packing.portions(batch, 5)] == [[0, 1, 2], [3], [4, 5]]
+    assert [p.num_rows for p in packing.portions(batch.slice(3), 1 << 20)] == [3] and not [*packing.portions(batch.slice(0, 0))]
+
+
+def test_document_frequencies_beyond_a_byte(spark):
+    texts = [f"the word {i % 7}" if i % 3 else None for i in range(700)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = np.zeros(ENCODER.size, int)
+    for t in texts:
+        want[list({*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0})] += 1
+    told = [r["df"] for r in df.mapInArrow(packing._tokenise(P.path("byte_bpe_50k.json")), packing.TOKENS).filter("uid < 0").collect()]
+    assert np.sum(told, axis=0).tolist() == want.tolist() and want.max() == 700
+
+
 @pytest.mark.parametrize("settings_", [{}, {"shard_tokens": 3000, "shard_docs": 5, "neighbours": 2, "query_terms": 4}])
 def test_packing(spark, settings_):
     df = cases.docs(spark).repartition(2)
